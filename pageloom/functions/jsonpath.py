@@ -143,7 +143,10 @@ def is_json_body(body: Column) -> Column:
 
 def nesting(body: Column) -> Column:
     """How deep the brackets of a JSON text nest."""
-    brackets = F.regexp_replace(body, r'"(?:\\.|[^"\\])*+"|[^{}\[\]]', "")
+    # Escapes go first so that strings end at the next quote; no pattern here loops
+    # over a group, which on long texts would exhaust the regex engine's stack.
+    plain = F.regexp_replace(F.regexp_replace(body, r"\\.", ""), r'"[^"]*+"', "")
+    brackets = F.regexp_replace(plain, r"[^{}\[\]]++", "")
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("top"))
 
     def step(acc: Column, b: Column) -> Column:
