@@ -56,22 +56,35 @@ def _compact(values: Column) -> Column:
     return F.filter(values, lambda x: x.isNotNull())
 
 
+def _step_key(values: Column, key: str) -> Column:
+    return F.flatten(F.transform(values, lambda x: F.coalesce(
+        F.transform(_items(x), lambda y: _get(y, key)), F.array(_get(x, key)))))
+
+
+def _step_index(values: Column, index: str) -> Column:
+    return F.transform(values, lambda x: F.try_variant_get(x, F.lit(f"$[{index}]"), "variant"))
+
+
+def _step_all(values: Column, _: str) -> Column:
+    def members(x: Column) -> Column:
+        return F.map_values(F.try_variant_get(x, F.lit("$"), "map<string,variant>"))
+
+    return F.flatten(F.transform(values, lambda x: F.coalesce(_items(x), members(x), F.array().cast("array<variant>"))))
+
+
+def _step_deep(values: Column, key: str) -> Column:
+    raise ValueError("recursive descent needs json_descend()")
+
+
+_STEPS = {"key": _step_key, "index": _step_index, "all": _step_all, "deep": _step_deep}
+
+
 def json_values(v: Column, path: str) -> Column:
     """Every value a path reaches, as ``array<variant>``; arrays met on the way are entered."""
     steps = path_steps(path)
     out = F.array(v)
     for kind, arg in steps or []:
-        if kind == "key":
-            out = F.flatten(F.transform(out, lambda x, k=arg: F.coalesce(
-                F.transform(_items(x), lambda y: _get(y, k)), F.array(_get(x, k)))))
-        elif kind == "index":
-            out = F.transform(out, lambda x, i=arg: F.try_variant_get(x, F.lit(f"$[{i}]"), "variant"))
-        elif kind == "all":
-            members = lambda x: F.map_values(F.try_variant_get(x, F.lit("$"), "map<string,variant>"))
-            out = F.flatten(F.transform(out, lambda x: F.coalesce(_items(x), members(x), F.array().cast("array<variant>"))))
-        else:
-            raise ValueError("recursive descent needs json_descend()")
-        out = _compact(out)
+        out = _compact(_STEPS[kind](out, arg))
     empty = F.array().cast("array<variant>")
     return empty if steps is None else F.coalesce(_compact(out), empty)
 
@@ -94,8 +107,14 @@ def first_text(values: Column) -> Column:
 def split_branches(rule: str) -> list[str]:
     """Branches of a rule at ``||`` outside quotes and ``{{ }}``."""
     string = r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\""
-    piece = rf"(?:{string}|\{{\{{(?:{string}|(?!\}}\}}).)*\}}\}}|['\"].*|\|(?!\|)|[^|])"
-    return [b.strip() for b in re.findall(rf"(?:{piece})+", rule.strip(), re.S) if b.strip()]
+    hole = rf"\{{\{{(?:{string}|(?!\}}\}}).)*\}}\}}"
+    branches = [""]
+    for m in re.finditer(rf"{string}|{hole}|['\"].*|\|\||.", rule, re.S):
+        if m[0] == "||":
+            branches.append("")
+        else:
+            branches[-1] += m[0]
+    return [b.strip() for b in branches if b.strip()]
 
 
 def json_first_of(v: Column, paths: list[str] | str) -> Column:

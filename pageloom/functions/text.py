@@ -63,7 +63,8 @@ def decode_entities(c: Column) -> Column:
         code = F.when(F.length(F.regexp_replace(digits, "^0+", "")) <= 9, code.cast("bigint"))
         valid = code.isNotNull() & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         safe = F.when(valid, code).otherwise(F.lit(0xFFFD))
-        char = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+        # UTF-32 decoding would take a lone U+FEFF for a byte order mark.
+        char = F.when(safe == 0xFEFF, F.lit("\ufeff")).otherwise(F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"))
         return F.when(piece.rlike(head), F.concat(char, F.regexp_replace(piece, head, ""))).otherwise(piece)
 
     decoded = F.array_join(F.transform(F.split(out, r"(?=&#x?[0-9a-fA-F]+;)"), one), "")

@@ -81,23 +81,37 @@ def locate_highlights(highlights: DataFrame, articles: DataFrame) -> DataFrame:
     return rows.withColumn("occurrences", found).drop("_flat", "_needle")
 
 
+SLICES = 256
+
+
 def add_shelf(shelf: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     """Shelf after additions; an entry already there stays as it is.
 
     Each new stamp is at least one second past every stamp before it, so with
     rank ``i`` in batch order it is ``i + max(running max of stamp - i, newest
-    stored)``. A reader's shelf is what a person chose by hand; the window is per
-    reader. ``added_s`` is in whole seconds.
+    stored)``. Ranks and running maxima are taken inside slices of the batch
+    order first and carried over one row per reader and slice, so no reader's
+    additions have to meet in one task. ``added_s`` is in whole seconds and
+    ``order`` a whole number.
     """
     first = first_per_key(incoming, ["user_id", "id"], [F.col(order)])
     fresh = first.join(shelf.select("user_id", "id"), ["user_id", "id"], "left_anti")
+    span = fresh.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    fresh = fresh.crossJoin(F.broadcast(span))  # the span is one row
+    fresh = fresh.withColumn("_slice", F.floor((F.col(order) - F.col("_lo")) * SLICES / (F.col("_hi") - F.col("_lo") + 1)))
+    inside = Window.partitionBy("user_id", "_slice").orderBy(order)
+    fresh = fresh.withColumn("_i", F.row_number().over(inside))
+    so_far = F.max(F.col("added_s") - F.col("_i")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    fresh = fresh.withColumn("_run", so_far)
+    per = fresh.groupBy("user_id", "_slice").agg(F.count("*").alias("_n"), F.max(F.col("added_s") - F.col("_i")).alias("_m"))
+    earlier = Window.partitionBy("user_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    per = per.withColumn("_carry", F.max(F.col("_m") - F.col("_before")).over(earlier))
     top = shelf.groupBy("user_id").agg(F.max("added_s").alias("_top"))
-    w = Window.partitionBy("user_id").orderBy(order)
-    i = F.row_number().over(w)
-    fresh = fresh.join(top, "user_id", "left").withColumn("_i", i)
-    running = F.max(F.col("added_s") - F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    fresh = fresh.withColumn("added_s", F.col("_i") + F.greatest(running, F.coalesce("_top", F.lit(0))))
-    return shelf.unionByName(fresh.select(*shelf.columns))
+    rows = fresh.join(per.select("user_id", "_slice", "_before", "_carry"), ["user_id", "_slice"]).join(top, "user_id", "left")
+    running = F.greatest(F.col("_run") - F.col("_before"), F.col("_carry"), F.coalesce("_top", F.lit(0)))
+    rows = rows.withColumn("added_s", F.col("_before") + F.col("_i") + running)
+    return shelf.unionByName(rows.select(*shelf.columns))
 
 
 def list_shelf(shelf: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def split_across_days(windows: DataFrame, tz: str = "UTC") -> DataFrame:
     rows = rows.withColumn("day", F.explode(F.sequence(F.to_date("_from"), F.to_date(last))))
     day_start, day_end = F.col("day").cast("timestamp_ntz"), F.date_add("day", 1).cast("timestamp_ntz")
     inside = F.timestamp_diff("SECOND", F.greatest("_from", day_start), F.least("_to", day_end))
-    return rows.drop("_from", "_to").withColumn("day_secs", inside.cast("bigint"))
+    return rows.withColumn("day_secs", inside.cast("bigint")).drop("_from", "_to")
 
 
 def daily_reading(history: DataFrame, progress: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -111,12 +111,14 @@ def list_history(history: DataFrame, limit: int, text: str = "") -> DataFrame:
     return rows.filter(contains_any(["_shown"], text)).drop("_shown").withColumnRenamed("_rank", "rank")
 
 
-def upsert_progress(progress: DataFrame, events: DataFrame, keep: int = PROGRESS_KEPT) -> DataFrame:
+def upsert_progress(progress: DataFrame | None, events: DataFrame, keep: int = PROGRESS_KEPT) -> DataFrame:
     """H9: the latest clamped position per reader and address, newest ``keep`` per reader."""
     ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("ratio_raw"))).cast("float")
     new = events.select("user_id", "url", ratio.alias("ratio"), "updated_at", "event_id")
-    old = progress.withColumn("event_id", F.lit(-1).cast("bigint")) if "event_id" not in progress.columns else progress
-    latest = first_per_key(old.unionByName(new), ["user_id", "url"], [newest("updated_at"), -F.col("event_id")])
+    if progress is not None:
+        # Stored positions lose ties against new ones.
+        new = new.unionByName(progress.select("user_id", "url", "ratio", "updated_at").withColumn("event_id", F.lit(-1).cast("bigint")))
+    latest = first_per_key(new, ["user_id", "url"], [newest("updated_at"), -F.col("event_id")])
     kept = top_per_group(latest, ["user_id"], [F.col("updated_at").desc(), F.col("event_id").desc()], keep, ["url"])
     return kept.select("user_id", "url", "ratio", "updated_at")
 
