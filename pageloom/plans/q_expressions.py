@@ -59,7 +59,7 @@ def e4_deep(spark, sf):
 
 
 @query("e5_json_first_of", duck_sql("fx_json_bodies") + f"""
-SELECT body_id, coalesce(nullif(v->>'$.book.title', ''), nullif(v->>'$.data[0].name', ''), nullif(v->>'$.data.list[0].title', ''), '') AS title
+SELECT body_id, coalesce(nullif(v->>'$.book.title', ''), nullif(v->>'$[0].book.title', ''), nullif(v->>'$.data[0].name', ''), nullif(v->>'$.data.list[0].title', ''), '') AS title
 FROM (SELECT body_id, {VALID} AS v FROM fx_json_bodies) t""")
 def e5(spark, sf):
     v = F.try_parse_json("body")

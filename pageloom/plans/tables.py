@@ -42,7 +42,7 @@ SELECT * FROM (VALUES
  (3, 'bare address', '', '', '', '', '', '', false),
  (4, 'indexed', 'nav@li', 'li@a.0@text', 'li@a.0@href', '', '', 'article', false),
  (5, 'xpath', '//nav/ul/li', '//a/text()', 'a@href', '', '', '', false),
- (6, 'text match', 'tag.ul@children', 'text', 'a@href', '', '', '', true),
+ (6, 'children', 'tag.ul@children', '@text', 'a@href', '', '', '', true),
  (7, 'script', '@js:java.getElements(1)', '', '', '', '', '', true),
  (8, 'no address rule', 'ul li@all', 'a@text', '', '', '', '', true),
  (9, 'inferred', '', 'a@text', 'a@href', '', '', '', false),
