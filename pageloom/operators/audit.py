@@ -38,7 +38,7 @@ def audit_scope(sources: DataFrame, scope: str, now_s: int | Column, ids: DataFr
     chosen = {
         "failed": F.col("has_health") & ~F.col("health_ok"),
         "unchecked": ~F.col("has_health"),
-        "stale": ~F.col("has_health") | ~F.col("health_ok") | (now - F.col("checked_s") > STALE_SECONDS),
+        "stale": ~F.col("has_health") | F.coalesce(~F.col("health_ok"), F.lit(False)) | (now - F.col("checked_s") > STALE_SECONDS),
     }.get(scope, F.lit(True))
     rows = sources.filter(chosen)
     return rows if ids is None else rows.join(ids, "source_id", "left_semi")

@@ -114,7 +114,8 @@ def library_stats(sources: DataFrame, collections: DataFrame, history: DataFrame
 
 def upsert_collections(collections: DataFrame, incoming: DataFrame, order: str = "added_at") -> DataFrame:
     """Replace collections by address (the last of a batch wins), newest first."""
-    latest = first_per_key(incoming, ["url"], [-F.unix_micros(F.col(order))])
+    rest = [c for c in incoming.columns if c != "url"]
+    latest = incoming.groupBy("url").agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row")).select("url", "_row.*").select(*collections.columns)
     kept = collections.join(latest.select("url"), "url", "left_anti")
     return kept.unionByName(latest).orderBy(F.col(order).desc(), "url")
 

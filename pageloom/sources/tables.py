@@ -21,8 +21,8 @@ def read_pages(spark: SparkSession, path: str, columns: list[str] | None = None)
 def save_table(df: DataFrame, path: str, key: str | None = None, buckets: int = 64) -> None:
     """Replace a table in one step.
 
-    The rows go to a fresh folder beside the table first; a reader sees the old
-    table or the new one, never a part. With ``key`` the rows are laid out by a
+    The rows go to a fresh folder beside the table first and take its place by
+    renaming; nobody sees a half-written table. With ``key`` the rows are laid out by a
     hash bucket of it, so work on few readers opens few files.
     """
     spark = df.sparkSession
@@ -31,11 +31,10 @@ def save_table(df: DataFrame, path: str, key: str | None = None, buckets: int =
     staging, old = f"{path}.staging-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     writer = df.write
     if key:
-        # Rows of one bucket are spread over a few tasks, so a reader with a third
-        # of all rows does not end up in a single writer.
+        # Rebalancing splits a bucket that outgrows the advisory size, so a reader
+        # with a third of all rows does not end up in a single writer.
         out = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        out = out.repartition(F.col("bucket"), F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-        writer = out.write.partitionBy("bucket")
+        writer = out.hint("rebalance", "bucket").write.partitionBy("bucket")
     writer.mode("errorifexists").parquet(staging)
     hpath = jvm.org.apache.hadoop.fs.Path
     fs = hpath(path).getFileSystem(conf)

@@ -59,8 +59,8 @@ def merge_into(batch: DataFrame, path: str, key: str, aside: str, merge: Callabl
         merged = merge(stored, batch.drop("bucket")).withColumn("bucket", bucket_of(key))
         merged.write.mode("overwrite").parquet(aside)
     done = spark.read.parquet(aside)
-    done.repartition(F.col("bucket"), F.pmod(F.xxhash64(*done.columns), F.lit(8))).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    writer = done.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("bucket").parquet(path)
 
 
 def stream_progress(events: DataFrame, target: str, checkpoint: str, keep: int = 500) -> StreamingQuery:
