@@ -29,12 +29,13 @@ def highlight_id(url: Column, text: Column) -> Column:
     which ANSI mode would refuse.
     """
     data = F.concat(F.encode(url, "UTF-8"), F.lit(b"\x00"), F.encode(text, "UTF-8"))
-    octets = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
+    # One character per byte, so that each is one number away.
+    octets = F.split(F.decode(data, "ISO-8859-1"), "")
     mask = F.lit(0xFFFFFFFF).cast("bigint")
     start = F.struct(F.lit(OFFSET_HIGH).cast("bigint").alias("hi"), F.lit(OFFSET_LOW).cast("bigint").alias("lo"))
 
     def step(acc: Column, octet: Column) -> Column:
-        lo = acc["lo"].bitwiseXOR(F.conv(octet, 16, 10).cast("bigint"))
+        lo = acc["lo"].bitwiseXOR(F.ascii(octet).cast("bigint"))
         low = lo * PRIME_LOW
         high = acc["hi"] * PRIME_LOW + F.shiftright(low, 32) + F.shiftleft(lo, 8)
         return F.struct(high.bitwiseAND(mask).alias("hi"), low.bitwiseAND(mask).alias("lo"))

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.session import spread
+
 # --- fixed values (HTML syntax) -----------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD_ONLY = frozenset("base link meta noscript script style template title".split())
@@ -233,8 +235,12 @@ def _shred_batches(batches):
 
 
 def shred_pages(pages: DataFrame) -> DataFrame:
-    """One row per element. Narrow: pages are shredded where they are read."""
-    return pages.select(F.col("page_id").cast("bigint"), F.col("html")).mapInArrow(_shred_batches, NODE_SCHEMA)
+    """One row per element. Pages are shredded where they are read, unless the
+    input is too small to occupy the cores."""
+    rows = pages.select(F.col("page_id").cast("bigint"), F.col("html"))
+    if not pages.isStreaming:
+        rows = spread(rows, "page_id")
+    return rows.mapInArrow(_shred_batches, NODE_SCHEMA)
 
 
 def page_texts(nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.times import local_day, local_time
+from pageloom.functions.times import local_day
 from pageloom.operators.common import contains_any, first_per_key, top_per_group
 
 # --- fixed values -----------------------------------------------------------
@@ -17,14 +17,18 @@ RESUME_MIN_SECONDS, RESUME_MAX_RATIO = 10, 0.95
 
 
 
+def epoch() -> Column:
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+
+
 def seconds_of(c: Column) -> Column:
     """Whole seconds since the epoch of a UTC instant, zone-free or not."""
-    return F.floor(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), c.cast("timestamp_ntz")) / 1000000)
+    return F.floor(F.timestamp_diff("MICROSECOND", epoch(), c.cast("timestamp_ntz")) / 1000000)
 
 
 def newest(c: str) -> Column:
     """Order for "newest first" inside min_by structs."""
-    return -F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col(c).cast("timestamp_ntz"))
+    return -F.timestamp_diff("MICROSECOND", epoch(), F.col(c).cast("timestamp_ntz"))
 
 
 def started(ratio: Column) -> Column:
@@ -51,13 +55,15 @@ def reading_windows(history: DataFrame, progress: DataFrame) -> DataFrame:
 
 def split_across_days(windows: DataFrame, tz: str = "UTC") -> DataFrame:
     """H3: credited seconds per local day a window touches."""
-    start = F.date_trunc("SECOND", local_time(F.col("start_at"), tz)).cast("timestamp_ntz")
-    end = F.timestamp_add("SECOND", F.col("secs").cast("int"), start)
+    # Days begin at local midnight, but seconds are counted between instants, so a
+    # clock change inside a window costs or adds nothing.
+    start = F.timestamp_add("SECOND", seconds_of(F.col("start_at")), epoch())
+    end = F.timestamp_add("SECOND", seconds_of(F.col("start_at")) + F.col("secs"), epoch())
     rows = windows.filter(F.col("secs") > 0).withColumn("_from", start).withColumn("_to", end)
     last = F.timestamp_add("SECOND", F.lit(-1), F.col("_to"))
-    rows = rows.withColumn("day", F.explode(F.sequence(F.to_date("_from"), F.to_date(last))))
-    day_start, day_end = F.col("day").cast("timestamp_ntz"), F.date_add("day", 1).cast("timestamp_ntz")
-    inside = F.timestamp_diff("SECOND", F.greatest("_from", day_start), F.least("_to", day_end))
+    rows = rows.withColumn("day", F.explode(F.sequence(local_day(F.col("_from"), tz), local_day(last, tz))))
+    midnight = lambda d: F.convert_timezone(F.lit(tz), F.lit("UTC"), d.cast("timestamp_ntz"))
+    inside = F.timestamp_diff("SECOND", F.greatest("_from", midnight(F.col("day"))), F.least("_to", midnight(F.date_add("day", 1))))
     return rows.withColumn("day_secs", inside.cast("bigint")).drop("_from", "_to")
 
 

@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.operators.nodes import shred_pages
-from pageloom.session import shared_dir
+from pageloom.session import shared_dir, spread
 
 GIVEN = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
          "conversations").split()
 
+TEXT_KEYS = {"pages": "page_id", "documents": "doc_id"}
+
 DIALECT = {
     "spark": {
         "plus_s": lambda a, b: f"{a} + make_dt_interval(0, 0, 0, {b})",
@@ -220,7 +222,9 @@ def duck_sql(*names: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given or derived table as a DataFrame."""
     if name in GIVEN:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        # The text tables are worked on row by row at length.
+        return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
     if name == "fx_rules":
         return spark.sql(RULE_SHAPES)
     used: dict[str, DataFrame] = {}

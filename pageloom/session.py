@@ -42,6 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in at least as many parts as there are cores.
+
+    For work that is heavy per row. A small file read as one part would keep one
+    core busy; a large table has parts enough and is left alone, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # Row groups, not splits, carry the rows of a small file, hence the margin.
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores, key)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
