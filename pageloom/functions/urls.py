@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,63 +72,70 @@ def origin_of(base: Column) -> Column:
     return F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host)).otherwise(F.lit(""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def absolute_url(href: Column, base: Column) -> Column:
     """Resolve ``href`` against ``base``; what cannot be resolved stays as written."""
-    h = strip(href)
-    b = strip(base)
-    scheme = F.lower(F.regexp_extract(b, _SCHEME, 1))
-    origin = origin_of(b)
-    b_path = F.regexp_extract(b, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
-    b_path = _fold_dots(_percent_encode(F.when(b_path == "", F.lit("/")).otherwise(b_path)))
-    b_query = _percent_encode(F.regexp_extract(b, r"^[^#?]*(\?[^#]*)", 1))
-    h_path = F.regexp_extract(h, r"^([^?#]*)", 1)
-    h_rest = _percent_encode(F.regexp_extract(h, r"^[^?#]*(.*)$", 1))
-    folder = F.regexp_replace(b_path, r"[^/]*$", "")
-    return (
-        F.when(h == "", F.lit(""))
-        .when(h.startswith("//"), F.concat(F.when(scheme == "", F.lit("https")).otherwise(scheme), F.lit(":"), h))
-        .when(h.startswith("http://") | h.startswith("https://"), h)
-        .when(origin == "", h)
-        .when(h.rlike(_SCHEME), h)
-        .when(h.startswith("#"), F.concat(origin, b_path, b_query, h_rest))
-        .when(h.startswith("?"), F.concat(origin, b_path, h_rest))
-        .when(h.startswith("/"), F.concat(origin, _fold_dots(_percent_encode(h_path)), h_rest))
-        .otherwise(F.concat(origin, _fold_dots(F.concat(folder, _percent_encode(h_path))), h_rest))
-    )
+
+    def against(p: Column) -> Column:
+        """A reference with no scheme against the parts of a usable base."""
+        h, origin, path = p["h"], p["origin"], p["path"]
+        h_path = _percent_encode(F.regexp_extract(h, r"^([^?#]*)", 1))
+        rest = _percent_encode(F.regexp_extract(h, r"^[^?#]*(.*)$", 1))
+        folder = F.regexp_replace(path, r"[^/]*$", "")
+        query = _percent_encode(F.regexp_extract(p["b"], r"^[^#?]*(\?[^#]*)", 1))
+        target = F.when(h.startswith("#"), F.concat(path, query)).when(h.startswith("?"), path).otherwise(
+            _fold_dots(F.concat(F.when(h.startswith("/"), F.lit("")).otherwise(folder), h_path)))
+        return F.when(origin == "", h).otherwise(F.concat(origin, target, rest))
+
+    def resolve(p: Column) -> Column:
+        h, b = p["h"], p["b"]
+        b_path = F.regexp_extract(b, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+        b_path = _fold_dots(_percent_encode(F.when(b_path == "", F.lit("/")).otherwise(b_path)))
+        parts = F.struct(h.alias("h"), b.alias("b"), origin_of(b).alias("origin"), b_path.alias("path"))
+        scheme = F.coalesce(F.nullif(F.lower(F.regexp_extract(b, _SCHEME, 1)), F.lit("")), F.lit("https"))
+        return (
+            F.when((h == "") | h.startswith("http://") | h.startswith("https://"), h)
+            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+            .when(h.rlike(_SCHEME), h)
+            .otherwise(_let(parts, against))
+        )
+
+    return _let(F.struct(strip(href).alias("h"), strip(base).alias("b")), resolve)
 
 
 def is_plausible_link(value: Column) -> Column:
     """Could this extracted value be an address?"""
-    v = strip(value)
-    low = F.lower(v)
+    return _let(strip(value), _plausible)
+
+
+def _plausible(v: Column) -> Column:
     refused = (
         (v == "")
         | (F.octet_length(v) > MAX_LINK_BYTES)
         | v.rlike(rf"[{SPACE}()<]")
-        | low.startswith("javascript:")
-        | low.startswith("data:")
-    )
-    shaped = (
-        v.rlike(r"^#?[0-9]+$")
-        | v.startswith("http://")
-        | v.startswith("https://")
-        | v.startswith("/")
-        | v.contains(".")
+        | v.rlike(r"(?i)^(javascript|data):")
     )
+    shaped = v.rlike(r"^(#?[0-9]+$|https?://|/)") | v.contains(".")
     return F.coalesce(~refused & shaped, F.lit(False))
 
 
 def resolve_link(value: Column, base: Column) -> Column:
     """The address an item opens; bare numeric ids hang off the host root."""
-    v = strip(value)
-    number = F.regexp_extract(v, r"^#?([0-9]+)$", 1)
-    origin = origin_of(strip(base))
-    return (
-        F.when(~is_plausible_link(v), F.lit(""))
-        .when((number != "") & (origin != ""), F.concat(origin, F.lit("/"), number))
-        .when(number != "", F.concat(F.lit("/"), number))
-        .otherwise(absolute_url(v, base))
-    )
+
+    def resolve(p: Column) -> Column:
+        v, origin = p["v"], origin_of(p["b"])
+        number = F.regexp_extract(v, r"^#?([0-9]+)$", 1)
+        return (
+            F.when(~_plausible(v), F.lit(""))
+            .when(number != "", F.concat(origin, F.lit("/"), number))
+            .otherwise(absolute_url(v, p["b"]))
+        )
+
+    return _let(F.struct(strip(value).alias("v"), strip(base).alias("b")), resolve)
 
 
 def link_path(link: Column) -> Column:

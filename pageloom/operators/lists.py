@@ -12,6 +12,7 @@ from pageloom.functions.urls import absolute_url, classify_kind, expand_page, or
 from pageloom.operators.common import first_per_key
 from pageloom.operators.nodes import page_texts
 from pageloom.operators.rulesets import plan_steps, rule_values, run_rules
+from pageloom.session import materialize
 from pageloom.operators.select import is_simple, links_by_text, match_simple, match_selector, node_text
 
 # --- fixed values -----------------------------------------------------------
@@ -98,6 +99,7 @@ def extract_containers(pages: DataFrame, nodes: DataFrame, sources: DataFrame) -
     rows = rows.join(inferred, "page_id", "left")
     rows = rows.withColumn("rule", F.when(F.col("rule") == "", F.coalesce("guess", F.lit(""))).otherwise(F.col("rule")))
     rows = rows.filter(~F.col("rule").isin("", "body", "$") & ~looks_like_script(F.col("rule")) & ~F.col("rule").rlike(r"^[$@]"))
+    rows = materialize(rows.select("page_id", "source_no", "rule"), "page_rules")
     steps = plan_steps(rows.select(F.col("rule").alias("rule_id"), "rule").distinct())
     start = rows.select("page_id", F.col("rule").alias("rule_id"), F.col("source_no").alias("ctx"), F.lit(0).alias("node_id"),
                         F.array().cast("array<int>").alias("ord"))
@@ -136,11 +138,11 @@ def extract_list(pages: DataFrame, nodes: DataFrame, sources: DataFrame, contain
                        *[F.coalesce(c, F.lit("")).alias(c) for c in ("link", "image", "date")])
     rows = rows.filter((F.col("title") != "") | (F.col("link") != "") | (F.col("image") != ""))
     rows = rows.join(pages.select("page_id", "url"), "page_id")
-    link = resolve_link(F.col("link"), F.col("url"))
+    rows = rows.withColumn("link", resolve_link(F.col("link"), F.col("url")))
     rows = rows.select(
-        "page_id", "source_no", "box_ord", F.when(F.col("title") == "", clean_text(link)).otherwise(F.col("title")).alias("title"),
-        link.alias("link"), absolute_url(F.col("image"), F.col("url")).alias("image"), clean_text(F.col("date")).alias("date"),
-        classify_kind(F.col("title"), link).alias("kind"))
+        "page_id", "source_no", "box_ord", F.when(F.col("title") == "", clean_text(F.col("link"))).otherwise(F.col("title")).alias("title"),
+        "link", absolute_url(F.col("image"), F.col("url")).alias("image"), clean_text(F.col("date")).alias("date"),
+        classify_kind(F.col("title"), F.col("link")).alias("kind"))
     return dedup_items(rows, ["page_id", "source_no"], "box_ord")
 
 
@@ -157,11 +159,11 @@ def extract_json_list(bodies: DataFrame, list_rule: str, rules: dict[str, str],
     rows = rows.select(*keep, "ix", "_base", *[c.alias(n) for n, c in raw.items()])
     rows = rows.withColumn("title", clean_text(F.col("title"))).filter(
         (F.col("title") != "") | (F.col("link") != "") | (F.col("image") != ""))
-    link = resolve_link(F.col("link"), F.col("_base"))
+    rows = rows.withColumn("link", resolve_link(F.col("link"), F.col("_base")))
     return rows.select(
-        *keep, "ix", F.when(F.col("title") == "", clean_text(link)).otherwise(F.col("title")).alias("title"), link.alias("link"),
+        *keep, "ix", F.when(F.col("title") == "", clean_text(F.col("link"))).otherwise(F.col("title")).alias("title"), "link",
         absolute_url(F.col("image"), F.col("_base")).alias("image"), clean_text(F.col("date")).alias("date"),
-        classify_kind(F.col("title"), link).alias("kind"))
+        classify_kind(F.col("title"), F.col("link")).alias("kind"))
 
 
 def dedup_items(items: DataFrame, by: list[str], order: str = "ix") -> DataFrame:

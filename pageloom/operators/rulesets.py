@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.text import html_to_text
 from pageloom.operators.nodes import page_texts
 from pageloom.operators.select import FRONTIER, KEYS, TERMINAL, class_list, compile_rules, node_text
-from pageloom.session import materialize
+from pageloom.session import Scratch, materialize
 
 
 def selector_parts(css: Column) -> Column:
@@ -96,7 +96,7 @@ def _part_holds(p: Column) -> Column:
     )
 
 
-def _matches(active: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
+def _matches(active: DataFrame, nodes: DataFrame, longest: int, scratch: Scratch, name: str) -> DataFrame:
     """Nodes matching each active selector on its pages: ``page_id, rule_id, node_id, anc``."""
     wanted = active.select("page_id", "rule_id", "parts").dropDuplicates(["page_id", "rule_id"])
     wanted = wanted.select("page_id", "rule_id", F.size("parts").alias("_len"), F.posexplode("parts").alias("_j", "_part"))
@@ -104,6 +104,9 @@ def _matches(active: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
     known = nodes.select("page_id", "node_id", "anc", "tag", "attrs", "type_ix", F.explode(_tokens()).alias("_token"))
     hits = known.join(wanted, ["page_id", "_token"]).filter(_part_holds(F.col("_part")))
     hits = hits.select("page_id", "rule_id", "node_id", "anc", "_j", "_len")
+    if longest > 1:
+        # Each level below reads the hits again.
+        hits = scratch.keep(hits, f"hits-{name}")
     level = hits.filter(F.col("_j") == 0)
     done = [level.filter(F.col("_len") == 1)]
     for j in range(1, longest):
@@ -118,9 +121,9 @@ def _matches(active: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
     return reduce(DataFrame.unionByName, done).select("page_id", "rule_id", "node_id", "anc")
 
 
-def _found(active: DataFrame, nodes: DataFrame, longest: int, in_container: bool) -> DataFrame:
+def _found(active: DataFrame, nodes: DataFrame, longest: int, in_container: bool, scratch: Scratch, name: str) -> DataFrame:
     """Matches inside each frontier node; ``src`` is the node they were found in."""
-    matched = _matches(active, nodes, longest)
+    matched = _matches(active, nodes, longest, scratch, name)
     offered = matched.select("page_id", "rule_id", F.col("node_id").alias("_to"),
                              F.explode(F.array_append("anc", F.col("node_id"))).alias("node_id"))
     found = active.join(offered, ["page_id", "rule_id", "node_id"]).withColumnRenamed("node_id", "src")
@@ -140,9 +143,14 @@ def run_rules(nodes: DataFrame, start: DataFrame, steps: DataFrame, in_container
     ``in_container`` starts rules inside list containers, where the container
     counts as part of the searched fragment.
     """
+    with Scratch(nodes.sparkSession) as scratch:
+        return materialize(_run(nodes, start, steps, in_container, scratch), "selected")
+
+
+def _run(nodes: DataFrame, start: DataFrame, steps: DataFrame, in_container: bool, scratch: Scratch) -> DataFrame:
     # Every step reads these again: written once, they also have a known size, so
     # Catalyst may broadcast a small rule set and will not broadcast a large one.
-    steps, frontier = materialize(steps, "rule_steps"), materialize(start.select(FRONTIER), "start")
+    steps, frontier = scratch.keep(steps, "steps"), scratch.keep(start.select(FRONTIER), "start")
     used = steps.groupBy("step_no", "op").agg(F.max(F.coalesce(F.size("parts"), F.lit(0))).alias("longest")).collect()
     last = max((r["step_no"] for r in used), default=-1)
     finished = []
@@ -159,13 +167,13 @@ def run_rules(nodes: DataFrame, start: DataFrame, steps: DataFrame, in_container
         first = in_container and k == 0
         if "select" in ops:
             act = cur.filter((F.col("op") == "select") & ((F.trim("arg") != "")))
-            moved.append(_found(act, nodes, ops["select"], first).select(
+            moved.append(_found(act, nodes, ops["select"], first, scratch, f"select{k}").select(
                 *KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord")))
             # An empty selector stays where it is: the document or the container.
             moved.append(cur.filter((F.col("op") == "select") & (F.trim("arg") == "")).select(FRONTIER))
         if "indexed" in ops:
             w = Window.partitionBy("page_id", "rule_id", "src", "ctx").orderBy("_to")
-            hit = _found(cur.filter(F.col("op") == "indexed"), nodes, ops["indexed"], first)
+            hit = _found(cur.filter(F.col("op") == "indexed"), nodes, ops["indexed"], first, scratch, f"indexed{k}")
             hit = hit.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == F.col("n") + 1)
             moved.append(hit.select(*KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord")))
         family = [op for op in ("all", "children", "child") if op in ops]
@@ -193,7 +201,7 @@ def run_rules(nodes: DataFrame, start: DataFrame, steps: DataFrame, in_container
         if "text_match" in ops:
             moved.append(_text_matches(cur.filter(F.col("op") == "text_match"), nodes))
         step = reduce(DataFrame.unionByName, moved).groupBy(*KEYS, "node_id").agg(F.min("ord").alias("ord")).select(FRONTIER)
-        frontier = materialize(step, f"frontier{k}")
+        frontier = scratch.keep(step, f"frontier{k}")
     return reduce(DataFrame.unionByName, finished)
 
 
@@ -219,19 +227,25 @@ def rule_values(results: DataFrame, nodes: DataFrame, pages: DataFrame | None =
 
     The text and source of a page are joined only for rules that ask for them.
     """
+    ops = {r[0] for r in results.select("op").distinct().collect()}  # a handful of words
+    none = results.filter(F.lit(False)).select(*FRONTIER, F.lit("").alias("value"))
     at = nodes.select("page_id", "node_id", "attrs", "t_from", "t_to", "src_from", "src_to", "in_from", "in_to")
     rows = results.join(at, ["page_id", "node_id"])
-    attr = rows.filter(F.col("op") == "attr").withColumn("value", F.coalesce(F.col("attrs")[F.col("arg")], F.lit("")))
-    text = rows.filter(F.col("op") == "text").join(page_texts(nodes), "page_id").withColumn(
-        "value", node_text(F.col("t_from"), F.col("t_to"), F.col("doc_text")))
-    out = attr.select(*FRONTIER, "value").unionByName(text.select(*FRONTIER, "value"))
-    if pages is not None:
+    parts = []
+    if "attr" in ops:
+        parts.append(rows.filter(F.col("op") == "attr").withColumn("value", F.coalesce(F.col("attrs")[F.col("arg")], F.lit(""))))
+    if "text" in ops:
+        text = rows.filter(F.col("op") == "text").join(page_texts(nodes), "page_id")
+        parts.append(text.withColumn("value", node_text(F.col("t_from"), F.col("t_to"), F.col("doc_text"))))
+    markup_ops = ops & {"html", "outer_html", "own_text"}
+    if markup_ops and pages is None:
+        raise ValueError("markup rules need the pages table")
+    if markup_ops:
         outer = F.col("op") == "outer_html"
         a = F.when(outer, F.col("src_from")).otherwise(F.col("in_from"))
         b = F.when(outer, F.col("src_to")).otherwise(F.col("in_to"))
         raw = pages.select("page_id", F.col("html").cast("binary").alias("_html"))
-        markup = rows.filter(F.col("op").isin("html", "outer_html", "own_text")).join(raw, "page_id")
+        markup = rows.filter(F.col("op").isin(*markup_ops)).join(raw, "page_id")
         cut = F.substring("_html", a + 1, b - a).cast("string")
-        markup = markup.withColumn("value", F.when(F.col("op") == "own_text", html_to_text(cut)).otherwise(cut))
-        out = out.unionByName(markup.select(*FRONTIER, "value"))
-    return out
+        parts.append(markup.withColumn("value", F.when(F.col("op") == "own_text", html_to_text(cut)).otherwise(cut)))
+    return reduce(DataFrame.unionByName, [p.select(*FRONTIER, "value") for p in parts], none)

@@ -63,3 +63,26 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = os.path.join(shared_dir(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables of one computation, removed together when it is done.
+
+    ``keep(df, name)`` is :func:`materialize` into a folder of this computation.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = os.path.join(shared_dir(spark), "scratch", uuid.uuid4().hex)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = os.path.join(self.folder, name)
+        df.write.mode("errorifexists").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
