@@ -77,6 +77,18 @@ def format_time_utc(ms: Column, fmt: str | None = None, hours: Column | float =
     return F.coalesce(_render(_clock(millis), millis, fmt, upper=True), F.lit(""))
 
 
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-free time read as UTC.
+
+    Taken from the difference of two zone-free times: functions that go through
+    zoned timestamps would shift by the session zone's clock changes.
+    """
+    gap = ts.cast("timestamp_ntz") - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    part = lambda name: F.date_part(F.lit(name), gap)
+    minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
+
+
 def local_time(ts: Column, tz: str) -> Column:
     """Wall-clock time of the reader for an instant held in UTC (zone-free)."""
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), ts.cast("timestamp_ntz"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.times import local_day
+from pageloom.functions.times import epoch_micros, local_day
 from pageloom.operators.common import contains_any, first_per_key, top_per_group
 
 # --- fixed values -----------------------------------------------------------
@@ -22,13 +22,13 @@ def epoch() -> Column:
 
 
 def seconds_of(c: Column) -> Column:
-    """Whole seconds since the epoch of a UTC instant, zone-free or not."""
-    return F.floor(F.timestamp_diff("MICROSECOND", epoch(), c.cast("timestamp_ntz")) / 1000000)
+    """Whole seconds since the epoch of a UTC instant."""
+    return F.floor(epoch_micros(c) / 1000000)
 
 
 def newest(c: str) -> Column:
     """Order for "newest first" inside min_by structs."""
-    return -F.timestamp_diff("MICROSECOND", epoch(), F.col(c).cast("timestamp_ntz"))
+    return -epoch_micros(F.col(c))
 
 
 def started(ratio: Column) -> Column:
@@ -63,7 +63,7 @@ def split_across_days(windows: DataFrame, tz: str = "UTC") -> DataFrame:
     last = F.timestamp_add("SECOND", F.lit(-1), F.col("_to"))
     rows = rows.withColumn("day", F.explode(F.sequence(local_day(F.col("_from"), tz), local_day(last, tz))))
     midnight = lambda d: F.convert_timezone(F.lit(tz), F.lit("UTC"), d.cast("timestamp_ntz"))
-    inside = F.timestamp_diff("SECOND", F.greatest("_from", midnight(F.col("day"))), F.least("_to", midnight(F.date_add("day", 1))))
+    inside = seconds_of(F.least("_to", midnight(F.date_add("day", 1)))) - seconds_of(F.greatest("_from", midnight(F.col("day"))))
     return rows.withColumn("day_secs", inside.cast("bigint")).drop("_from", "_to")
 
 

@@ -145,7 +145,7 @@ SELECT event_id, strftime(ts, '%Y-%m-%d') AS plain, strftime(ts, '%y/%-m ') || C
   || strftime(ts, ' %p %a %H:%M:%S.%g') AS full, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS shanghai, '' AS bad FROM events""".replace("'%y/%-m '", "'%Y/%-m '"))
 def e14(spark, sf):
     rows = table(spark, sf, "events")
-    ms = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) / 1000)
+    ms = F.floor(times.epoch_micros(F.col("ts")) / 1000)
     return rows.select(
         "event_id", times.format_time(ms).alias("plain"), times.format_time(ms, "yyyy/M h a EEE HH:mm:ss.SSS").alias("full"),
         times.format_time(ms, "yyyy-MM-dd HH:mm:ss", "Asia/Shanghai").alias("shanghai"), times.format_time(F.col("event_type")).alias("bad"))
@@ -155,7 +155,7 @@ def e14(spark, sf):
 SELECT event_id, strftime(ts + to_minutes(330), '%Y-%m-%d %H:%M:%S') AS at_530, strftime(ts - to_hours(event_id % 12), '%Y/%m/%d') AS shifted FROM events""")
 def e15(spark, sf):
     rows = table(spark, sf, "events")
-    ms = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) / 1000)
+    ms = F.floor(times.epoch_micros(F.col("ts")) / 1000)
     return rows.select("event_id", times.format_time_utc(ms, "YYYY-MM-DD HH:mm:ss", 5.5).alias("at_530"),
                        times.format_time_utc(ms, "yyyy/MM/dd", -(F.col("event_id") % 12)).alias("shifted"))
 

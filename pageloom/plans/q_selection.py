@@ -93,7 +93,7 @@ def c5(spark, sf):
 @query("c6_xpath", f"WITH {LI} SELECT page_id, {TXT} AS value, href FROM lis WHERE ix = 2")
 def c6(spark, sf):
     nodes = _nodes(spark, sf)
-    texts = sel.select(nodes, "//nav/ul/li[2]/a[@href]/text()").select("page_id", "value")
+    texts = sel.select(nodes, "//nav/ul/li[2]/a[\\@href]/text()").select("page_id", "value")
     return texts.join(sel.select(nodes, "//li[2]/a@href").select("page_id", F.col("value").alias("href")), "page_id")
 
 
