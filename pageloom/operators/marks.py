@@ -24,12 +24,10 @@ def add_highlights(highlights: DataFrame, incoming: DataFrame, order: str) -> tu
     reason = F.when(F.col("text") == "", "empty").when(F.length("text") > MAX_PASSAGE_CHARS, "too_long")
     rejects = rows.withColumn("reason", reason).filter("reason is not null")
     good = rows.filter(reason.isNull())
-    # Long passages group by their id; the passage itself stays in the key so that
-    # equal hashes of different passages remain different rows.
-    good = good.withColumn("id", highlight_id(F.col("url"), F.col("text")))
     first = first_per_key(good, ["user_id", "url", "text"], [F.col(order)])
     known = highlights.select("user_id", "url", "text")
     fresh = first.join(known, ["user_id", "url", "text"], "left_anti")
+    fresh = fresh.withColumn("id", highlight_id(F.col("url"), F.col("text")))
     return highlights.unionByName(fresh.select(*highlights.columns)), rejects
 
 

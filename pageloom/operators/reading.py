@@ -69,9 +69,9 @@ def split_across_days(windows: DataFrame, tz: str = "UTC") -> DataFrame:
 
 def daily_reading(history: DataFrame, progress: DataFrame, tz: str = "UTC") -> DataFrame:
     """H4: articles opened and seconds read per reader and local day."""
-    w = reading_windows(history, progress)
-    opened = w.groupBy("user_id", local_day(F.col("viewed_at"), tz).alias("day")).agg(F.count("*").alias("articles"))
-    read = split_across_days(w, tz).groupBy("user_id", "day").agg(F.sum("day_secs").alias("secs"))
+    # Opening needs no position, so it is counted without the join.
+    opened = history.groupBy("user_id", local_day(F.col("viewed_at"), tz).alias("day")).agg(F.count("*").alias("articles"))
+    read = split_across_days(reading_windows(history, progress), tz).groupBy("user_id", "day").agg(F.sum("day_secs").alias("secs"))
     both = opened.join(read, ["user_id", "day"], "full_outer")
     return both.select("user_id", "day", F.coalesce("articles", F.lit(0)).alias("articles"), F.coalesce("secs", F.lit(0)).alias("secs"))
 
@@ -151,17 +151,36 @@ def contents_marks(items: DataFrame, progress: DataFrame) -> DataFrame:
     return rows.withColumn("mark", mark)
 
 
+LISTS_PER_LINK = 64
+
+
+def _items_read(shelf: DataFrame, items: DataFrame, progress: DataFrame) -> DataFrame:
+    """Positions on the items of lists: ``user_id, source_id, category, ratio``.
+
+    Most links stand in one list or a few, and a position joins those. A link
+    that stands in very many lists (a banner on every page) would pair each of
+    its readers with all of them; its positions go through the reader's own shelf
+    instead and only meet the lists that are on it.
+    """
+    where = items.select("source_id", "category", "link")
+    seen = progress.select("user_id", F.col("url").alias("link"), "ratio")
+    wide = where.groupBy("link").count().filter(F.col("count") > LISTS_PER_LINK).select("link")
+    near = where.join(wide, "link", "left_anti").join(seen, "link")
+    owned = shelf.select("user_id", "source_id", "category").distinct()
+    far = seen.join(wide, "link", "left_semi").join(owned, "user_id").join(where, ["link", "source_id", "category"])
+    columns = ["user_id", "source_id", "category", "ratio"]
+    return near.select(columns).unionByName(far.select(columns))
+
+
 def shelf_progress(shelf: DataFrame, sources: DataFrame, items: DataFrame, progress: DataFrame) -> DataFrame:
     """Per shelf entry how many items there are, are finished and are begun.
 
     ``sources``: ``source_id`` of the library; ``items``: ``source_id, category,
-    link`` of first pages plus ``has_next``. Positions meet items on the address
-    first and are counted per reader and list before the shelf is joined, so a
-    list on many shelves is not multiplied by its items.
+    link`` of first pages plus ``has_next``. Positions are counted per reader and
+    list before the shelf is joined.
     """
     lists = items.groupBy("source_id", "category").agg(F.count("*").alias("total"), F.bool_or("has_next").alias("more"))
-    seen = items.join(progress.select("user_id", F.col("url").alias("link"), "ratio"), "link")
-    read = seen.groupBy("user_id", "source_id", "category").agg(
+    read = _items_read(shelf, items, progress).groupBy("user_id", "source_id", "category").agg(
         F.count_if(finished(F.col("ratio"))).alias("finished"),
         F.count_if(started(F.col("ratio")) & ~finished(F.col("ratio"))).alias("partial"))
     known = sources.select("source_id").distinct().withColumn("_known", F.lit(True))

@@ -96,12 +96,16 @@ def _part_holds(p: Column) -> Column:
     )
 
 
-def _matches(active: DataFrame, nodes: DataFrame, longest: int, scratch: Scratch, name: str) -> DataFrame:
+def _matches(active: DataFrame, here: DataFrame, nodes: DataFrame, longest: int, scratch: Scratch, name: str) -> DataFrame:
     """Nodes matching each active selector on its pages: ``page_id, rule_id, node_id, anc``."""
     wanted = active.select("page_id", "rule_id", "parts").dropDuplicates(["page_id", "rule_id"])
     wanted = wanted.select("page_id", "rule_id", F.size("parts").alias("_len"), F.posexplode("parts").alias("_j", "_part"))
     wanted = wanted.withColumn("_token", _part_token(F.col("_part")))
+    # Elements no rule of this step could look up are dropped before anything moves.
+    # The tokens in use are as few as the rules' words, whatever the pages hold.
+    used = here.filter(F.col("parts").isNotNull()).select(F.explode(F.transform("parts", _part_token)).alias("_token")).distinct()
     known = nodes.select("page_id", "node_id", "anc", "tag", "attrs", "type_ix", F.explode(_tokens()).alias("_token"))
+    known = known.join(used, "_token", "left_semi")
     hits = known.join(wanted, ["page_id", "_token"]).filter(_part_holds(F.col("_part")))
     hits = hits.select("page_id", "rule_id", "node_id", "anc", "_j", "_len")
     if longest > 1:
@@ -121,9 +125,9 @@ def _matches(active: DataFrame, nodes: DataFrame, longest: int, scratch: Scratch
     return reduce(DataFrame.unionByName, done).select("page_id", "rule_id", "node_id", "anc")
 
 
-def _found(active: DataFrame, nodes: DataFrame, longest: int, in_container: bool, scratch: Scratch, name: str) -> DataFrame:
+def _found(active: DataFrame, here: DataFrame, nodes: DataFrame, longest: int, in_container: bool, scratch: Scratch, name: str) -> DataFrame:
     """Matches inside each frontier node; ``src`` is the node they were found in."""
-    matched = _matches(active, nodes, longest, scratch, name)
+    matched = _matches(active, here, nodes, longest, scratch, name)
     offered = matched.select("page_id", "rule_id", F.col("node_id").alias("_to"),
                              F.explode(F.array_append("anc", F.col("node_id"))).alias("node_id"))
     found = active.join(offered, ["page_id", "rule_id", "node_id"]).withColumnRenamed("node_id", "src")
@@ -167,13 +171,13 @@ def _run(nodes: DataFrame, start: DataFrame, steps: DataFrame, in_container: boo
         first = in_container and k == 0
         if "select" in ops:
             act = cur.filter((F.col("op") == "select") & ((F.trim("arg") != "")))
-            moved.append(_found(act, nodes, ops["select"], first, scratch, f"select{k}").select(
+            moved.append(_found(act, here, nodes, ops["select"], first, scratch, f"select{k}").select(
                 *KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord")))
             # An empty selector stays where it is: the document or the container.
             moved.append(cur.filter((F.col("op") == "select") & (F.trim("arg") == "")).select(FRONTIER))
         if "indexed" in ops:
             w = Window.partitionBy("page_id", "rule_id", "src", "ctx").orderBy("_to")
-            hit = _found(cur.filter(F.col("op") == "indexed"), nodes, ops["indexed"], first, scratch, f"indexed{k}")
+            hit = _found(cur.filter(F.col("op") == "indexed"), here, nodes, ops["indexed"], first, scratch, f"indexed{k}")
             hit = hit.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == F.col("n") + 1)
             moved.append(hit.select(*KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord")))
         family = [op for op in ("all", "children", "child") if op in ops]

@@ -42,15 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+PART_BYTES = 128 << 20  # the size of a file split
+SMALL_PART_BYTES = 256 << 10
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` in at least as many parts as there are cores.
 
     For work that is heavy per row. A small file read as one part would keep one
-    core busy; a large table has parts enough and is left alone, unshuffled.
+    core busy; a table whose splits occupy the cores is left alone, unshuffled.
+    The decision uses the planner's size estimate and runs nothing.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # Row groups, not splits, carry the rows of a small file, hence the margin.
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores, key)
+    want = 2 * df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= want * PART_BYTES:
+        return df
+    return df.repartition(max(1, min(want, size // SMALL_PART_BYTES + 1)), key)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:

@@ -50,6 +50,17 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return df.drop("bucket")
 
 
+def save_nodes(nodes: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """The node table of a snapshot, bucketed and sorted by page.
+
+    Steps that join on the page then read it in place; nothing of it is shuffled.
+    Choose ``buckets`` for a few hundred megabytes each.
+    """
+    writer = nodes.write.mode("overwrite").option("path", path)
+    writer.bucketBy(buckets, "page_id").sortBy("page_id", "node_id").saveAsTable(table)
+    return nodes.sparkSession.table(table)
+
+
 def export_report(verdicts: DataFrame, stages: DataFrame) -> DataFrame:
     """One Markdown block per source, problems first; write it with ``.write.text``.
 

@@ -140,6 +140,24 @@ def test_shelf_progress_notes(spark):
     assert got == {"gone": (None, 0, 0, "source_gone"), "empty": (0, 0, 0, "list_empty"), "long": (3, 1, 1, "first_page_only"), "short": (1, 0, 0, "")}
 
 
+def test_shelf_progress_with_a_link_on_every_list(spark, monkeypatch):
+    """The banner stands in more lists than the limit; its readers still count right."""
+    monkeypatch.setattr(reading, "LISTS_PER_LINK", 5)
+    rnd = random.Random(9)
+    links = [(f"s{i}", "all", link, False) for i in range(20) for link in ("banner", f"l{i}a", f"l{i % 4}b")]
+    shelf = [(u, f"s{s}", "all", at("2024-01-01")) for u in range(6) for s in rnd.sample(range(20), 5)]
+    seen = [(u, link, rnd.choice([0.01, 0.5, 1.0]), at("2024-01-01")) for u in range(6) for link in {x[2] for x in links} if rnd.random() < 0.6]
+    ratio = {(u, link): r for u, link, r, _ in seen}
+    out = reading.shelf_progress(
+        spark.createDataFrame(shelf, "user_id long, source_id string, category string, added_at timestamp_ntz"),
+        spark.createDataFrame([(f"s{i}",) for i in range(20)], "source_id string"),
+        spark.createDataFrame(links, "source_id string, category string, link string, has_next boolean"), spark.createDataFrame(seen, P)).collect()
+    assert len(out) == len(shelf)
+    for r in out:
+        got = [ratio.get((r["user_id"], link), 0) for s, _, link, _ in links if s == r["source_id"]]
+        assert (r["total"], r["finished"], r["partial"]) == (3, sum(x >= 0.98 for x in got), sum(0.02 < x < 0.98 for x in got))
+
+
 def test_shelf_stamps_are_strict(spark):
     rnd = random.Random(3)
     stored = [(u, f"k{u}", 1000 + u) for u in range(3)]

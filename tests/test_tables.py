@@ -91,6 +91,19 @@ def test_materialized_tables_keep_pruning_and_scratch_is_removed(spark):
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def test_bucketed_nodes_are_joined_in_place(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}") for i in range(20)], "page_id long, url string, html string")
+    nodes = tabs.save_nodes(shred_pages(pages), "bucketed_nodes", str(tmp_path / "n"), 4)
+    kids = nodes.select("page_id", F.col("parent_id").alias("up"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = nodes.groupBy("page_id").agg(F.max("depth").alias("d")).join(kids.groupBy("page_id").agg(F.count("*").alias("n")), "page_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_nodes")
+
+
 def test_registered_queries_and_sql_belong_together():
     queries, sql = driver.queries(), driver.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 120
