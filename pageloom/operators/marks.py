@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.hashing import highlight_id
 from pageloom.functions.text import SPACE, strip
 from pageloom.operators.common import contains_any, first_per_key
+from pageloom.session import materialize
 
 # --- fixed values -----------------------------------------------------------
 MAX_PASSAGE_CHARS = 2000
@@ -93,7 +94,8 @@ def add_shelf(shelf: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     ``order`` a whole number.
     """
     first = first_per_key(incoming, ["user_id", "id"], [F.col(order)])
-    fresh = first.join(shelf.select("user_id", "id"), ["user_id", "id"], "left_anti")
+    # Read four times below.
+    fresh = materialize(first.join(shelf.select("user_id", "id"), ["user_id", "id"], "left_anti"), "shelf_additions")
     span = fresh.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     fresh = fresh.crossJoin(F.broadcast(span))  # the span is one row
     fresh = fresh.withColumn("_slice", F.floor((F.col(order) - F.col("_lo")) * SLICES / (F.col("_hi") - F.col("_lo") + 1)))

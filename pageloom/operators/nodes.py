@@ -11,9 +11,11 @@ however deep its elements nest.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,6 +214,9 @@ def page_rows(page_id: int, html: str) -> Iterator[tuple]:
 
 BATCH_ROWS = 20_000
 
+# The shredder travels with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _shred_batches(batches):
     import pyarrow as pa

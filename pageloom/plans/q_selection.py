@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pageloom.functions.user import register_rule_function, rule_function
 from pageloom.operators import select as sel
 from pageloom.plans import duck
 from pageloom.plans.registry import query
@@ -194,3 +195,11 @@ def c19(spark, sf):
 @query("c20_links_by_text", f"WITH {LI} SELECT page_id, min_by(href, ix) AS href FROM lis WHERE lower({TXT}) LIKE '%en%' OR lower({TXT}) LIKE '%th%' GROUP BY page_id")
 def c20(spark, sf):
     return sel.links_by_text(_nodes(spark, sf), ["EN", "th"])
+
+
+@query("user_rule_function", f"WITH {LI} SELECT page_id, ix, upper({TXT}) || '!' AS value FROM lis")
+def user_rule_function(spark, sf):
+    """A function of the user's over the values of a field rule."""
+    register_rule_function("shout", lambda values: values.str.upper() + "!")
+    values = sel.select(_nodes(spark, sf), "nav@li@text")
+    return _ranked(values.withColumn("value", rule_function("shout", F.col("value"))))

@@ -25,12 +25,12 @@ TEXT_KEYS = {"pages": "page_id", "documents": "doc_id"}
 DIALECT = {
     "spark": {
         "plus_s": lambda a, b: f"{a} + make_dt_interval(0, 0, 0, {b})",
-        "len": "length",
+        "each": lambda name, values: f"LATERAL VIEW explode(array({values})) each_row AS {name}",
         "nl": "chr(10)",
     },
     "duckdb": {
         "plus_s": lambda a, b: f"{a} + to_seconds({b})",
-        "len": "length",
+        "each": lambda name, values: f", (SELECT unnest([{values}]) AS {name}) each_row",
         "nl": "chr(10)",
     },
 }
@@ -155,7 +155,7 @@ SELECT doc_id * 10 + k AS hl_no, doc_id % 25 AS user_id, 'https://docs.example/'
   CASE WHEN doc_id % 13 = 0 AND k = 2 THEN '   ' ELSE ' ' || split_part(text, {nl}, CAST(CASE WHEN k = 2 THEN 1 ELSE k + 1 END AS INT)) || ' ' END AS text,
   CASE WHEN doc_id % 4 = 0 THEN 'note ' || lang ELSE '' END AS note,
   CAST(1704067200 + doc_id * 7 % 100000 + k AS BIGINT) AS created_s
-FROM {documents} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) n""",
+FROM {documents} {each:k|0, 1, 2}""",
     "fx_media_pages": """
 SELECT page_id, url,
   '<html><body><ul><li><a href="/m/t' || CAST(page_id % 5 AS STRING) || '.mp3?k=1">Track ' || CAST(page_id AS STRING) || '</a><audio src="/m/t' || CAST(page_id % 5 AS STRING) || '.mp3?k=1"></audio>'
@@ -165,23 +165,20 @@ SELECT page_id, url,
   || '<script>var a="/ad.js"</script></body></html>' AS html
 FROM {pages}""",
     "fx_stages": """
-SELECT page_id AS run_no, 'src' || CAST(page_id % 97 AS STRING) AS source_id, page_id % 3 AS run_id, key, stage_no,
-  CASE WHEN key = 'rule' THEN 'ok' WHEN (page_id + stage_no) % 11 = 0 THEN 'fail' WHEN (page_id * 3 + stage_no) % 7 = 0 THEN 'warn'
-       WHEN key = 'search' AND page_id % 2 = 0 THEN 'skip' ELSE 'ok' END AS state,
+SELECT page_id AS run_no, 'src' || CAST(page_id % 97 AS STRING) AS source_id, page_id % 3 AS run_id,
+  CASE stage_no WHEN 0 THEN 'rule' WHEN 1 THEN 'homepage' WHEN 2 THEN 'list' WHEN 3 THEN 'detail' ELSE 'search' END AS key, stage_no,
+  CASE WHEN stage_no = 0 THEN 'ok' WHEN (page_id + stage_no) % 11 = 0 THEN 'fail' WHEN (page_id * 3 + stage_no) % 7 = 0 THEN 'warn'
+       WHEN stage_no = 4 AND page_id % 2 = 0 THEN 'skip' ELSE 'ok' END AS state,
   CASE WHEN (page_id + stage_no) % 11 <> 0 THEN 'fine' WHEN page_id % 2 = 0 THEN 'connection timed out' ELSE 'http 403' END AS detail,
   CAST(page_id % 9 AS BIGINT) AS item_count, CAST(page_id % 9 % 4 AS BIGINT) AS usable,
   CAST(1704067200 + page_id * 60 AS BIGINT) AS checked_s, page_id % 5 = 0 AS single_page, page_id % 4 = 0 AS enable_js
-FROM {pages} CROSS JOIN (SELECT 'rule' AS key, 0 AS stage_no UNION ALL SELECT 'homepage', 1 UNION ALL SELECT 'list', 2
-  UNION ALL SELECT 'detail', 3 UNION ALL SELECT 'search', 4) s""",
+FROM {pages} {each:stage_no|0, 1, 2, 3, 4}""",
     "fx_passes": """
 SELECT o_orderkey % 3 AS pass_no, 'src' || CAST(o_custkey AS STRING) AS name, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) = 1 AS works,
   max(CASE WHEN o_custkey % 19 = 0 THEN NULL ELSE o_orderpriority END) AS bucket
 FROM {orders} GROUP BY o_orderkey % 3, o_custkey""",
 }
 
-# Tables that exist twice because two queries ask for different widths are not
-# kept; every derivation above is read whole.
-
 
 def _fill(sql: str, dialect: str, refer) -> str:
     """Fill dialect and table slots of a derivation."""

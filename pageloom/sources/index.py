@@ -11,6 +11,7 @@ from pageloom.functions.text import clean_text
 from pageloom.functions.urls import absolute_url, is_detail_link, numeric_id, origin_of
 from pageloom.operators.nodes import page_texts
 from pageloom.operators.select import class_list, node_text
+from pageloom.session import materialize
 
 # --- fixed values -----------------------------------------------------------
 CARD_CLASS, TABLE_CLASS = "ylist", "layui-table-tbody"
@@ -91,6 +92,7 @@ def read_collection_index(nodes: DataFrame, pages: DataFrame, paths: IndexPaths
         F.explode(F.array_append("anc", F.col("node_id"))).alias("box"))
     parts = parts.join(boxes, ["page_id", "box"]).join(page_texts(nodes), "page_id")
     parts = parts.withColumn("text", node_text(F.col("t_from"), F.col("t_to"), F.col("doc_text"))).drop("doc_text")
+    parts = materialize(parts, "index_parts")
     is_a = F.col("tag") == "a"
     href_rank = F.when(is_a & is_detail_link(F.col("href")), 0).when(is_a & F.lower("href").endswith(".json"), 1)
     fact = (F.col("tag") == F.when(F.col("card"), "span").otherwise("td")) & (F.col("text") != "")
@@ -121,6 +123,7 @@ def read_collection_index(nodes: DataFrame, pages: DataFrame, paths: IndexPaths
         after(F.coalesce("counted", F.lit("")), F.lit(COUNT_LABEL)).alias("source_count"),
         after(F.coalesce("loaded", F.lit("")), F.lit(DOWNLOADS_LABEL)).alias("downloads"),
         F.coalesce("date", F.lit("")).alias("date"), page_url.alias("page_url"), F.col("url").alias("base"))
+    out = materialize(out, "index_rows")
     hrefs = parts.filter(is_a).select(F.concat_ws(":", "page_id", "box").alias("coll_key"), F.col("node_id").alias("ix"), "href")
     urls = discover_download_url(hrefs, out.select("coll_key", "page_url", "base"), paths)
     return out.drop("base").join(urls.select("coll_key", "download_url", "error"), "coll_key")
