@@ -184,7 +184,16 @@ def preview(c: Column, n: int = 90) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """Bytes in words: ``812 B``, ``12.3 KB``, ``4.0 MB``."""
-    kib = F.format_string("%.1f KB", size / F.lit(1024.0))
-    mib = F.format_string("%.1f MB", size / F.lit(1048576.0))
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1048576, kib).otherwise(mib)
+    """Bytes in words: ``812 B``, ``12.3 KB``, ``4.0 MB``; exact halves round to even."""
+
+    def tenths(unit: int, name: str) -> Column:
+        whole = F.floor(size * 10 / unit).cast("bigint")
+        rest = F.pmod(size.cast("bigint") * 10, F.lit(unit))
+        up = F.when(rest * 2 > unit, 1).when(rest * 2 == unit, whole % 2).otherwise(0)
+        n = whole + up
+        return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"), F.lit(f" {name}"))
+
+    return (
+        F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
+        .when(size < 1048576, tenths(1024, "KB")).otherwise(tenths(1048576, "MB"))
+    )

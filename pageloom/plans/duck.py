@@ -29,6 +29,15 @@ def entities(x: str) -> str:
     return f"array_to_string(list_transform(string_split(replace({out}, '&#', chr(1) || '&#'), chr(1)), lambda p: {piece}), '')"
 
 
+def parsed(x: str) -> str:
+    """Character references of the given pages as an HTML parser reads them: each
+    once, and the old ones also without their semicolon."""
+    out = f"regexp_replace({x}, '&amp;?', '&', 'g')"
+    for name, char in (("&quot;", 34), ("&copy;", 169), ("&middot;", 183)):
+        out = f"replace({out}, '{name}', chr({char}))"
+    return out
+
+
 def html_text(x: str) -> str:
     out = x
     for tag in ("</p>", "</div>", "</li>", "<br>", "<br/>", "<br />"):

@@ -60,7 +60,7 @@ def g5(spark, sf):
 
 
 @query("g6_stage_detail", LINKS + ITEMS + FETCH + f""", o AS (SELECT page_id, count(*) AS n FROM items WHERE link <> '' GROUP BY page_id),
-t AS (SELECT page_id, CASE WHEN page_id % 12 = 10 OR strlen(a) <= 120 THEN NULL ELSE length({duck.html_text('a')}) END AS chars FROM (SELECT page_id, regexp_extract(html, '(?s)<article>.*</article>') AS a FROM pages) x)
+t AS (SELECT page_id, CASE WHEN page_id % 12 = 10 OR strlen(a) <= CASE WHEN page_id % 12 = 4 THEN 40 ELSE 120 END THEN NULL ELSE length({duck.html_text('a')}) END AS chars FROM (SELECT page_id, regexp_extract(html, '(?s)<article>.*</article>') AS a FROM pages) x)
 SELECT f.page_id AS source_id, 'detail' AS key, CASE WHEN n IS NULL THEN 'skip' WHEN {BAD} THEN 'fail' WHEN chars < 120 THEN 'warn' ELSE 'ok' END AS state,
   CASE WHEN n IS NULL THEN 'nothing_to_open' WHEN {BAD} THEN 'fetch_failed' WHEN chars < 120 THEN 'thin_text' ELSE 'text' END AS code,
   CASE WHEN n IS NULL THEN '' WHEN {BAD} THEN {WHY} ELSE 'chars=' || CAST(chars AS STRING) || ' media=0' END AS detail

@@ -141,8 +141,8 @@ def e13(spark, sf):
 
 
 @query("e14_format_time", """
-SELECT event_id, strftime(ts, '%Y-%m-%d') AS plain, strftime(ts, '%y/%-m ') || CASE WHEN hour(ts) % 12 = 0 THEN '12' ELSE CAST(hour(ts) % 12 AS STRING) END
-  || strftime(ts, ' %p %a %H:%M:%S.%g') AS full, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS shanghai, '' AS bad FROM events""".replace("'%y/%-m '", "'%Y/%-m '"))
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS plain, strftime(ts, '%Y/%-m ') || CASE WHEN hour(ts) % 12 = 0 THEN '12' ELSE CAST(hour(ts) % 12 AS STRING) END
+  || strftime(ts, ' %p %a %H:%M:%S.%g') AS full, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS shanghai, '' AS bad FROM events""")
 def e14(spark, sf):
     rows = table(spark, sf, "events")
     ms = F.floor(times.epoch_micros(F.col("ts")) / 1000)

@@ -165,7 +165,7 @@ def a7(spark, sf):
 
 @query("a8_export_report", duck_sql("fx_stages") + """, v AS (SELECT run_no, bool_or(state = 'fail') AS f, bool_or(state = 'warn') AS w, max(usable) AS u FROM fx_stages GROUP BY run_no),
 l AS (SELECT run_no, string_agg('- ' || CASE state WHEN 'ok' THEN '✓' WHEN 'warn' THEN '!' WHEN 'fail' THEN '✕' ELSE '–' END || ' ' || key || ': ' || detail || ' ('
-  || CASE WHEN run_no * stage_no = 0 THEN '' WHEN run_no * stage_no < 1000 THEN CAST(run_no * stage_no AS STRING) || 'ms' ELSE printf('%.1fs', run_no * stage_no / 1000.0) END || ')', chr(10) ORDER BY stage_no) AS t FROM fx_stages GROUP BY run_no)
+  || CASE WHEN run_no * stage_no = 0 THEN '' WHEN run_no * stage_no < 1000 THEN CAST(run_no * stage_no AS STRING) || 'ms' ELSE CAST((run_no * stage_no + 50) // 100 // 10 AS STRING) || '.' || CAST((run_no * stage_no + 50) // 100 % 10 AS STRING) || 's' END || ')', chr(10) ORDER BY stage_no) AS t FROM fx_stages GROUP BY run_no)
 SELECT '## ' || CAST(p.page_id AS STRING) || chr(10) || p.url || chr(10) || CASE WHEN p.page_id % 10 = 3 THEN 'not checked' ELSE
   CASE WHEN f THEN '✕ fail' WHEN w OR u = 0 THEN '! warn' ELSE '✓ ok' END || chr(10) || t END AS text
 FROM pages p JOIN v ON p.page_id = v.run_no JOIN l ON p.page_id = l.run_no""")

@@ -16,13 +16,13 @@ from pageloom.session import materialize
 ALL = f"""{duck.ANCHORS},
 links AS (SELECT page_id, ix, t AS title, link, {duck.kind('t', 'link')} AS kind FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY ix) AS rn FROM (
-    SELECT page_id, ix, {duck.clean(duck.entities('title'))} AS t, {duck.absolute('href', 'url')} AS link FROM anchors) a
+    SELECT page_id, ix, {duck.clean(duck.parsed('title'))} AS t, {duck.absolute('href', 'url')} AS link FROM anchors) a
   WHERE length(t) BETWEEN 2 AND 120) b WHERE rn = 1),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ix) AS n FROM links)"""
 LINKS = f"WITH {ALL} "
 
 # What each rule shape makes of a page whose list is nav > ul > li > a.
-ITEMS = f""", raw AS (SELECT a.page_id, a.page_id % 12 AS source_no, a.ix, {duck.clean(duck.entities('a.title'))} AS t, {duck.resolve('a.href', 'a.url')} AS link,
+ITEMS = f""", raw AS (SELECT a.page_id, a.page_id % 12 AS source_no, a.ix, {duck.clean(duck.parsed('a.title'))} AS t, {duck.resolve('a.href', 'a.url')} AS link,
   max(a.ix) OVER (PARTITION BY a.page_id) AS last FROM anchors a),
 shaped AS (
   SELECT page_id, source_no, ix, t AS title, link FROM raw WHERE source_no IN (0, 4, 5, 6, 10) OR (source_no = 9 AND last >= 3)
@@ -68,16 +68,15 @@ def d1_json(spark, sf):
 
 @query("d2_single_page_items", f"""
 SELECT page_id, CAST(page_id % 12 AS INT) AS source_no, title, {duck.kind('title', "''")} AS kind FROM (
-  SELECT page_id, {duck.clean(duck.entities("replace(replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'g'), '</?[a-zA-Z!][^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·')"))} AS title
-  FROM (SELECT page_id, replace(html, '"</p>"', '"' || chr(2) || '"') AS html FROM pages) h) t WHERE page_id % 12 IN (2, 3, 9)""".replace(
-      "AS title\n  FROM (SELECT page_id, replace", "AS title\n  FROM (SELECT page_id, replace"))
+  SELECT page_id, {duck.clean(duck.parsed("regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'g'), '</?[a-zA-Z!][^>]*>', '', 'g')"))} AS title
+  FROM (SELECT page_id, replace(html, '"</p>"', '"' || chr(2) || '"') AS html FROM pages) h) t WHERE page_id % 12 IN (2, 3, 9)""")
 def d2(spark, sf):
     mark = F.replace(F.col("title"), F.lit('"</p>"'), F.lit('"\x02"'))
     out = lists.single_page_items(rule_pages(spark, sf), nodes_table(spark, sf), rule_sources(spark, sf))
     return out.select("page_id", "source_no", mark.alias("title"), "kind")
 
 
-@query("d3_field_value", f"WITH {duck.ANCHORS} SELECT page_id, min_by(t, ix) AS value FROM (SELECT page_id, ix, trim({duck.clean(duck.entities('title'))}) AS t FROM anchors) a WHERE t <> '' GROUP BY page_id")
+@query("d3_field_value", f"WITH {duck.ANCHORS} SELECT page_id, min_by(t, ix) AS value FROM (SELECT page_id, ix, trim({duck.clean(duck.parsed('title'))}) AS t FROM anchors) a WHERE t <> '' GROUP BY page_id")
 def d3(spark, sf):
     values = sel.select(nodes_table(spark, sf), "nav@a@text")
     return lists.field_value(values, ["page_id"])
@@ -135,7 +134,7 @@ def d11(spark, sf):
     return lists.diagnose_list(lists.list_shape(pages, sources, boxes, items, lists.content_links(nodes, pages)))
 
 
-@query("d12_next_page", f"""WITH {duck.ANCHORS}, lab AS (SELECT page_id, min_by(href, ix) AS href FROM anchors WHERE lower({duck.clean(duck.entities('title'))}) LIKE '%en%' GROUP BY page_id),
+@query("d12_next_page", f"""WITH {duck.ANCHORS}, lab AS (SELECT page_id, min_by(href, ix) AS href FROM anchors WHERE lower({duck.clean(duck.parsed('title'))}) LIKE '%en%' GROUP BY page_id),
 second AS (SELECT page_id, href FROM anchors WHERE ix = 2 AND page_id % 2 = 0)
 SELECT page_id, {duck.absolute('h', 'url')} AS next_url FROM (SELECT p.page_id, p.url, coalesce(s.href, l.href) AS h FROM pages p
   LEFT JOIN second s ON p.page_id = s.page_id LEFT JOIN lab l ON p.page_id = l.page_id) t WHERE h IS NOT NULL""")
@@ -182,7 +181,7 @@ def d16(spark, sf):
 
 @query("rules_over_all_pages", f"""WITH {duck.ANCHORS}
 SELECT page_id, 'nav@li@a@href' AS rule_id, href AS value FROM anchors UNION ALL
-SELECT page_id, 'ul li@a.0@text', {duck.clean(duck.entities('title'))} FROM anchors UNION ALL
+SELECT page_id, 'ul li@a.0@text', {duck.clean(duck.parsed('title'))} FROM anchors UNION ALL
 SELECT page_id, 'li@next@a@href', href FROM anchors WHERE ix > 1 UNION ALL
 SELECT page_id, 'ul@child.0@children@href', href FROM anchors WHERE ix = 1""")
 def rules_over_all_pages(spark, sf):

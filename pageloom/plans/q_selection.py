@@ -16,7 +16,7 @@ from pageloom.plans.tables import duck_sql, nodes_table, table
 
 LI = """lis AS (SELECT page_id, i AS ix, a AS li, regexp_extract(a, '<a href="([^"]*)">', 1) AS href, regexp_replace(a, '<[^>]*>', '', 'g') AS txt
   FROM (SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS l FROM pages) p) q)"""
-TXT = duck.clean(duck.entities("txt"))
+TXT = duck.clean(duck.parsed("txt"))
 
 
 def _nodes(spark, sf):
@@ -42,9 +42,8 @@ def c1(spark, sf):
 
 
 @query("c1_node_texts", f"""
-SELECT page_id, {duck.clean(duck.entities("regexp_replace(regexp_extract(html, '(?s)<article>.*</article>'), '<[^>]*>', '', 'g')"))} AS value FROM pages""")
+SELECT page_id, {duck.clean(duck.parsed("regexp_replace(regexp_extract(html, '(?s)<article>.*</article>'), '<[^>]*>', '', 'g')"))} AS value FROM pages""")
 def c1_text(spark, sf):
-    # The two entities of the pages that the nine-name table lacks are in the footer only.
     return sel.select(_nodes(spark, sf), "article@text").select("page_id", "value")
 
 
@@ -174,7 +173,7 @@ def c16(spark, sf):
     return values.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") == "").alias("blanks"))
 
 
-@query("c17_extract_text", f"SELECT page_id, {duck.clean(duck.entities('txt'))} AS value FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS txt FROM pages) t")
+@query("c17_extract_text", f"SELECT page_id, {duck.clean(duck.parsed('txt'))} AS value FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS txt FROM pages) t")
 def c17(spark, sf):
     return sel.select(_nodes(spark, sf), "h1@text").select("page_id", "value")
 
@@ -197,9 +196,9 @@ def c20(spark, sf):
     return sel.links_by_text(_nodes(spark, sf), ["EN", "th"])
 
 
-@query("user_rule_function", f"WITH {LI} SELECT page_id, ix, upper({TXT}) || '!' AS value FROM lis")
+@query("user_rule_function", f"WITH {LI} SELECT page_id, ix, replace({TXT}, 'e', 'E') || '!' AS value FROM lis")
 def user_rule_function(spark, sf):
     """A function of the user's over the values of a field rule."""
-    register_rule_function("shout", lambda values: values.str.upper() + "!")
+    register_rule_function("shout", lambda values: values.str.replace("e", "E") + "!")
     values = sel.select(_nodes(spark, sf), "nav@li@text")
     return _ranked(values.withColumn("value", rule_function("shout", F.col("value"))))

@@ -69,8 +69,9 @@ def export_report(verdicts: DataFrame, stages: DataFrame) -> DataFrame:
     a handful, so joining them into one text is bounded.
     """
     mark = lambda c: F.coalesce(F.create_map(*[F.lit(x) for p in STATE_MARKS.items() for x in p])[c], F.lit(STATE_MARKS["none"]))
+    tenths = F.floor((F.col("ms") + 50) / 100)
     took = F.when(F.col("ms") == 0, "").when(F.col("ms") < 1000, F.concat(F.col("ms").cast("string"), F.lit("ms"))).otherwise(
-        F.format_string("%.1fs", F.col("ms") / 1000.0))
+        F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("s")))
     line = F.concat(F.lit("- "), mark(F.col("state")), F.lit(" "), F.col("label"), F.lit(": "), F.col("detail"), F.lit(" ("), took, F.lit(")"))
     lines = stages.groupBy("source_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("stage_no", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))

@@ -37,6 +37,7 @@ def test_report_text(one):
     assert one(t.short_text(F.lit(" abc "), 7)) == "abc"
     assert one(t.preview(F.lit("a\n b"), 90)) == "a b"
     assert one(t.size_label(F.lit(812)), t.size_label(F.lit(12595)), t.size_label(F.lit(4194304))) == ("812 B", "12.3 KB", "4.0 MB")
+    assert one(t.size_label(F.lit(12544)), t.size_label(F.lit(12646))) == ("12.2 KB", "12.3 KB")
 
 
 def test_coding(one):
