@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.session import materialize
+
 # --- fixed values -----------------------------------------------------------
 FIELD_DEFAULTS = {
     "ruleTitle": ["vod_name", "name", "title"],
@@ -175,6 +177,9 @@ def nesting(body: Column) -> Column:
     return F.aggregate(F.split(brackets, ""), start, step, lambda acc: acc["top"])
 
 
+LEVELS_PER_PLAN = 12
+
+
 def json_tree(bodies: DataFrame, text: str = "body", keep: list[str] | None = None) -> DataFrame:
     """Every value of every JSON text as a row: ``keep + path, key, depth, value``.
 
@@ -183,7 +188,9 @@ def json_tree(bodies: DataFrame, text: str = "body", keep: list[str] | None = No
     levels is the deepest nesting in the data, found by one aggregate.
     """
     keep = keep or [c for c in bodies.columns if c != text]
-    levels = bodies.agg(F.max(nesting(F.col(text)))).first()[0] or 0
+    # Only texts that parse count; the parser itself refuses extreme nesting.
+    real = F.when(F.try_parse_json(F.col(text)).isNotNull(), nesting(F.col(text)))
+    levels = bodies.agg(F.max(real)).first()[0] or 0
     row = "struct<path:array<string>,key:string,depth:int,value:variant>"
     rows = bodies.select(*keep, F.struct(
         F.array().cast("array<string>").alias("path"), F.lit("").alias("key"), F.lit(0).alias("depth"),
@@ -201,6 +208,8 @@ def json_tree(bodies: DataFrame, text: str = "body", keep: list[str] | None = No
         below = F.when(at["depth"] == depth, F.coalesce(elements, fields))
         both = F.concat(F.array(at.cast(row)), F.coalesce(below, F.array().cast(f"array<{row}>")))
         rows = rows.select(*keep, F.explode(both).alias("at"))
+        if depth % LEVELS_PER_PLAN == LEVELS_PER_PLAN - 1:
+            rows = materialize(rows, "json_levels")
     return rows.select(*keep, "at.*").filter(F.col("value").isNotNull())
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.text import html_to_text
 from pageloom.operators.nodes import page_texts
-from pageloom.operators.select import FRONTIER, KEYS, TERMINAL, class_list, compile_rules, node_text
+from pageloom.operators.select import (
+    FRONTIER, KEYS, TERMINAL, best_text_matches, class_list, compile_rules, node_text, text_candidates,
+)
 from pageloom.session import Scratch, materialize
 
 
@@ -203,29 +205,13 @@ def _run(nodes: DataFrame, start: DataFrame, steps: DataFrame, in_container: boo
             hit = hit.join(to, ["page_id", "parent_id", "sib_ix"])
             moved.append(hit.select(*KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord")))
         if "text_match" in ops:
-            moved.append(_text_matches(cur.filter(F.col("op") == "text_match"), nodes))
+            act = cur.filter(F.col("op") == "text_match")
+            moved.append(best_text_matches(act, text_candidates(nodes, act.select("page_id", "arg").distinct())))
         step = reduce(DataFrame.unionByName, moved).groupBy(*KEYS, "node_id").agg(F.min("ord").alias("ord")).select(FRONTIER)
         frontier = scratch.keep(step, f"frontier{k}")
     return reduce(DataFrame.unionByName, finished)
 
 
-def _text_matches(active: DataFrame, nodes: DataFrame) -> DataFrame:
-    """C12 with the wanted text as data."""
-    below = nodes.select("page_id", F.col("node_id").alias("_to"), "anc", "t_from", "t_to",
-                         F.explode(F.array_append("anc", F.col("node_id"))).alias("node_id"))
-    pool = active.select(*FRONTIER, "arg").join(below, ["page_id", "node_id"])
-    pool = pool.groupBy(*KEYS, "_to", "arg").agg(
-        F.min(F.array_append("ord", F.col("_to"))).alias("ord"), F.max(F.col("_to") == F.col("node_id")).alias("_self"),
-        F.any_value("t_from").alias("t_from"), F.any_value("t_to").alias("t_to"), F.any_value("anc").alias("anc"))
-    pool = pool.join(page_texts(nodes), "page_id").withColumn("_t", node_text(F.col("t_from"), F.col("t_to"), F.col("doc_text")))
-    pool = pool.drop("doc_text").filter(F.col("_t").contains(F.col("arg")))
-    rank = F.when((F.col("_t") == F.col("arg")) & F.col("_self"), 0).when(F.col("_t") == F.col("arg"), 1).otherwise(2)
-    pool = pool.withColumn("_rank", rank).withColumn("_best", F.min("_rank").over(Window.partitionBy(*KEYS)))
-    hits = pool.filter(F.col("_rank") == F.col("_best"))
-    above = hits.filter(F.col("_rank") == 2).select(*KEYS, F.explode("anc").alias("_to"), F.lit(2).alias("_rank")).distinct()
-    return hits.join(above, [*KEYS, "_to", "_rank"], "left_anti").select(*KEYS, F.col("_to").alias("node_id"), "ord")
-
-
 def rule_values(results: DataFrame, nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """The strings a run selected: ``KEYS, ord, value``.
 

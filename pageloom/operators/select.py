@@ -350,23 +350,40 @@ def with_text(f: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumn("text", node_text(F.col("t_from"), F.col("t_to"), F.col("doc_text"))).drop("t_from", "t_to", "doc_text")
 
 
+def text_candidates(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Nodes whose text contains a wanted text: ``page_id, arg, node_id, anc, text``.
+
+    ``wanted``: ``page_id, arg``. A node's text is a stretch of its page's, so pages
+    without the wanted text drop out before their nodes are looked at.
+    """
+    holds = clean_text(F.col("doc_text").cast("string")).contains(F.col("arg"))
+    pages = wanted.join(page_texts(nodes), "page_id").filter(holds)
+    rows = nodes.select("page_id", "node_id", "anc", "t_from", "t_to").join(pages, "page_id")
+    rows = rows.withColumn("text", node_text(F.col("t_from"), F.col("t_to"), F.col("doc_text")))
+    return rows.filter(F.col("text").contains(F.col("arg"))).select("page_id", "arg", "node_id", "anc", "text")
+
+
+def best_text_matches(active: DataFrame, candidates: DataFrame) -> DataFrame:
+    """C12 for frontier rows that carry the text they want in ``arg``."""
+    offered = candidates.select("page_id", "arg", "anc", "text", F.col("node_id").alias("_to"),
+                                F.explode(F.array_append("anc", F.col("node_id"))).alias("node_id"))
+    pool = active.select(*FRONTIER, "arg").join(offered, ["page_id", "arg", "node_id"])
+    pool = pool.groupBy(*KEYS, "arg", "_to").agg(
+        F.min(F.array_append("ord", F.col("_to"))).alias("ord"), F.max(F.col("_to") == F.col("node_id")).alias("_self"),
+        F.any_value("text").alias("text"), F.any_value("anc").alias("anc"))
+    exact = F.col("text") == F.col("arg")
+    rank = F.when(exact & F.col("_self"), 0).when(exact, 1).otherwise(2)
+    best = F.min("_rank").over(Window.partitionBy(*KEYS))
+    hits = pool.withColumn("_rank", rank).withColumn("_best", best).filter(F.col("_rank") == F.col("_best"))
+    above = hits.filter(F.col("_rank") == 2).select(*KEYS, F.explode("anc").alias("_to"), F.lit(2).alias("_rank")).distinct()
+    return hits.join(above, [*KEYS, "_to", "_rank"], "left_anti").select(*KEYS, F.col("_to").alias("node_id"), "ord")
+
+
 def text_match(f: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """Nodes whose text is ``text``: in the frontier, else below it, else the
     deepest nodes that contain it."""
-    needle = text.strip()
-    below = nodes.select("page_id", F.col("node_id").alias("_to"), F.explode(F.array_append("anc", F.col("node_id"))).alias("src"))
-    pool = f.withColumnRenamed("node_id", "src").join(below, ["page_id", "src"])
-    pool = pool.select(*KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord"),
-                       (F.col("_to") == F.col("src")).alias("_self"))
-    pool = pool.groupBy(*KEYS, "node_id").agg(F.min("ord").alias("ord"), F.max("_self").alias("_self"))
-    hits = with_text(pool, nodes).filter(F.col("text").contains(needle))
-    rank = F.when((F.col("text") == needle) & F.col("_self"), 0).when(F.col("text") == needle, 1).otherwise(2)
-    best = F.min("_rank").over(Window.partitionBy(*KEYS))
-    hits = hits.withColumn("_rank", rank).withColumn("_best", best).filter(F.col("_rank") == F.col("_best"))
-    anc = nodes.select("page_id", "node_id", "anc")
-    above = hits.filter(F.col("_rank") == 2).join(anc, ["page_id", "node_id"]).select(
-        *KEYS, F.explode("anc").alias("node_id"), F.lit(2).alias("_rank")).distinct()
-    return hits.join(above, [*KEYS, "node_id", "_rank"], "left_anti").select(FRONTIER)
+    active = f.withColumn("arg", F.lit(text.strip()))
+    return best_text_matches(active, text_candidates(nodes, active.select("page_id", "arg").distinct()))
 
 
 def each(f: DataFrame, nodes: DataFrame) -> DataFrame:

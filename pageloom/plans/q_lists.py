@@ -11,7 +11,7 @@ from pageloom.operators.rulesets import plan_steps, rule_values, run_rules
 from pageloom.plans import duck
 from pageloom.plans.registry import query
 from pageloom.plans.tables import duck_sql, nodes_table, rule_pages, rule_sources, table
-from pageloom.session import materialize
+from pageloom.session import is_there, materialize
 
 ALL = f"""{duck.ANCHORS},
 links AS (SELECT page_id, ix, t AS title, link, {duck.kind('t', 'link')} AS kind FROM (
@@ -37,7 +37,7 @@ _MEMO: dict[tuple[str, str], tuple] = {}
 def extracted(spark, sf):
     """Containers and items of all pages, extracted once per session and written."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _MEMO:
+    if key not in _MEMO or not all(map(is_there, _MEMO[key])):
         pages, nodes, sources = rule_pages(spark, sf), nodes_table(spark, sf), rule_sources(spark, sf)
         boxes = materialize(lists.extract_containers(pages, nodes, sources), "containers")
         _MEMO[key] = boxes, materialize(lists.extract_list(pages, nodes, sources, boxes), "items")

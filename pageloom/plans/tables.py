@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.operators.nodes import shred_pages
-from pageloom.session import shared_dir, spread
+from pageloom.session import is_there, shared_dir, spread
 
 GIVEN = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
          "conversations").split()
@@ -245,7 +245,7 @@ _WRITTEN: dict[tuple[str, str], DataFrame] = {}
 def nodes_table(spark: SparkSession, sf_dir: str, source: str = "pages") -> DataFrame:
     """The node table of a snapshot, shredded once per session and then read."""
     key = (spark.sparkContext.applicationId, f"{sf_dir}|{source}")
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not is_there(_WRITTEN[key]):
         tag = hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
         path = os.path.join(shared_dir(spark), "tables", f"nodes-{tag}")
         shred_pages(table(spark, sf_dir, source)).write.mode("overwrite").parquet(path)

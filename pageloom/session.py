@@ -72,6 +72,15 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_there(df: DataFrame) -> bool:
+    """Do the files a written table is read from still exist?"""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return True
+
+
 class Scratch:
     """Intermediate tables of one computation, removed together when it is done.
 

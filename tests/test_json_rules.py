@@ -27,6 +27,14 @@ def test_descent_reaches_every_level(spark):
     assert rows == [(1, "top"), (1, "one"), (1, "two"), (2, "x")]
 
 
+def test_descent_is_not_stopped_by_depth_or_by_texts_that_only_look_nested(spark):
+    deep = "x"
+    for _ in range(30):
+        deep = {"a": deep, "k": 1}
+    df = spark.createDataFrame([(1, json.dumps(deep)), (2, "[" * 5000)], "id int, body string")
+    assert j.json_descend(df, "k").count() == 30
+
+
 def test_branches():
     assert j.split_branches("$.a||$.b.c || $.d") == ["$.a", "$.b.c", "$.d"]
     assert j.split_branches("{{$.a || 'x'}}||'p||q'") == ["{{$.a || 'x'}}", "'p||q'"]
