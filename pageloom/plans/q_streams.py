@@ -9,8 +9,6 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import functions as F
-
 from pageloom.plans.q_audit import LATEST, _health
 from pageloom.plans.q_reading import READING
 from pageloom.plans.q_lists import LINKS

@@ -5,7 +5,7 @@ from pageloom.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", "local[4]", 4)
+    s = build_session("tests", "local[4]", 2)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
