@@ -2,6 +2,9 @@
 
     BENCH_SF_DIR   tables to read (default /root/testdata/sf0.1)
     BENCH_CPUS     local cores (default 8)
+
+Queries share the written node table (made by the first one) and the extracted
+items (made by ``d1_extract_list``), as jobs over one snapshot would.
 """
 
 from __future__ import annotations
