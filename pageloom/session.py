@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,17 +31,23 @@ def build_session(app: str = "pageloom", master: str | None = None, shuffle: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local run, a test) is a folder made up,
-    and then it is remembered in the session so that later calls agree.
+    A local run (a test, a notebook) that names none gets a folder of its own,
+    set as the checkpoint folder of its context so that later calls agree. A
+    cluster that names none is an error: no folder of the driver's would do.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named.rstrip("/")
-    made = tempfile.mkdtemp(prefix="pageloom-")
-    spark.conf.set(CHECKPOINT_CONF, made)
-    return made
+    context = spark.sparkContext
+    made = context.getCheckpointDir()
+    if made is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pageloom-"))
+        made = context.getCheckpointDir()
+    return made.rstrip("/")
 
 
 PART_BYTES = 128 << 20  # the size of a file split
@@ -60,14 +68,35 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(max(1, min(want, size // SMALL_PART_BYTES + 1)), key)
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def drop_tables() -> None:
+    """Remove every table :func:`materialize` wrote; runs by itself when the driver ends."""
+    for path, spark in list(_WRITTEN.items()):
+        del _WRITTEN[path]
+        try:
+            _remove(spark, path)
+        except Exception:  # the context has ended already; the cluster clears its folder
+            return
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage the way a checkpoint does, outlives lost executors,
     and unlike an RDD checkpoint keeps column pruning and filter pushdown for
-    every reader of the result.
+    every reader of the result. The table stays until the driver ends, since
+    lazy results may read it (:func:`drop_tables`).
     """
     path = os.path.join(shared_dir(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN[path] = df.sparkSession
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -100,5 +129,4 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(self.spark, self.folder)
