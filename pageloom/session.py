@@ -97,7 +97,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     path = os.path.join(shared_dir(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex}")
     _WRITTEN[path] = df.sparkSession
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -122,7 +122,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = os.path.join(self.folder, name)
-        df.write.mode("errorifexists").parquet(path)
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:
