@@ -44,6 +44,7 @@ from pageloom.session import Scratch, materialize
 
 LENGTH = 50
 GRAM = 24
+PIECE = 1 << 18  # bytes of text taken at once, so that arrays stay in the cache
 MOST = 256  # different stretches of an anchor that are sorted together
 
 
@@ -84,53 +85,78 @@ def anchors(buffer: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.nda
     least = _sliding(hashes, width, np.minimum)
     # Every place with the least hash of some window; a window's anchor is the last of these it reaches.
     most = _sliding(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
-    places = np.flatnonzero(most == hashes)
+    is_place = most == hashes
+    places = np.flatnonzero(is_place)
+    value = hashes[places]
+    at = np.cumsum(is_place, dtype=np.int32)[width - 1: width - 1 + n] - 1
+    # Going back from the last place a window reaches to the last that has its least hash.
+    wrong = np.flatnonzero(value[at] != least)
+    while len(wrong):
+        at[wrong] -= 1
+        wrong = wrong[value[at[wrong]] != least[wrong]]
     long = np.diff(borders) >= LENGTH
     edges = np.zeros(n + 1, np.int64)
     np.add.at(edges, borders[:-1][long], 1)
     np.add.at(edges, borders[1:][long] - LENGTH + 1, -1)
-    inside = np.cumsum(edges[:n]) > 0
-    starts = np.flatnonzero(inside)
-    at = np.searchsorted(places, starts + width - 1, "right") - 1
-    # Going back from the last place a window reaches to the last that has its least hash.
-    while True:
-        wrong = np.flatnonzero(hashes[places[at]] != least[starts])
-        if not len(wrong):
-            break
-        at[wrong] -= 1
-    anchor = places[at]
+    starts = np.flatnonzero(np.cumsum(edges[:n]) > 0)
+    at = at[starts]
     new = np.ones(len(starts), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
+    new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    return starts[first], starts[last], anchor[first], hashes[anchor[first]]
+    return starts[first], starts[last], places[at[first]], value[at[first]]
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of each text, once each."""
+    """The anchors of each text."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PIECE):
             buffer, borders = text_buffer(part.column("text"))
             first, _, _, value = anchors(buffer, borders)
-            of = np.searchsorted(borders, first, "right") - 1
-            pair = np.unique(np.stack([of.astype(np.uint64), value], axis=1), axis=0) if len(first) else np.zeros((0, 2), np.uint64)
             marks = part.column("mark").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 1].view(np.int64)), pa.array(marks[pair[:, 0].astype(np.int64)])], names=["anchor", "mark"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value.view(np.int64)), pa.array(marks[np.searchsorted(borders, first, "right") - 1])], names=["anchor", "mark"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor and mark, one for each of the two if the anchor has several marks.
+
+    Rows pass in a stream. Of the anchor a batch ends with, only the last mark is
+    held: with a second one behind it, or before it, it is let go.
+    """
+    held_anchor, held_mark, known = None, None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, mark = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "mark"))
+        if held_anchor is not None:
+            anchor, mark = np.append(held_anchor, anchor), np.append(held_mark, mark)
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])
+        anchor, mark = anchor[new], mark[new]
+        same = anchor[1:] == anchor[:-1]
+        several = np.append(same, False) | np.insert(same, 0, False)
+        if held_anchor is not None and known and anchor[0] == held_anchor:
+            several[0] = True
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[:-1][several[:-1]]), pa.array(mark[:-1][several[:-1]])], names=["anchor", "mark"])
+        held_anchor, held_mark, known = anchor[-1], mark[-1], bool(several[-1])
+    if held_anchor is not None and known:
+        yield pa.RecordBatch.from_arrays([pa.array([held_anchor]), pa.array([held_mark])], names=["anchor", "mark"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches around each text's anchors that are listed with it."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PIECE):
             buffer, borders = text_buffer(part.column("text"))
             first, last, place, value = anchors(buffer, borders)
             of = np.searchsorted(borders, first, "right") - 1
             listed = part.column("anchors")
             flat, counts = listed.flatten().to_numpy(zero_copy_only=False), listed.value_lengths().to_numpy(zero_copy_only=False)
-            known = np.stack([np.repeat(np.arange(part.num_rows), counts).astype(np.uint64), flat.view(np.uint64)], axis=1)
-            mine = np.stack([of.astype(np.uint64), value], axis=1)
-            kind = np.dtype([("of", "u8"), ("value", "u8")])
-            keep = np.isin(np.ascontiguousarray(mine).view(kind).ravel(), np.ascontiguousarray(known).view(kind).ravel()) if len(first) else np.zeros(0, bool)
+            # Text and anchor as one number; should two be equal by chance, a stretch too many is looked at.
+            with np.errstate(over="ignore"):
+                known = flat.view(np.uint64) + mix(np.repeat(np.arange(part.num_rows), counts).astype(np.uint64))
+                keep = np.isin(value + mix(of.astype(np.uint64)), known)
             first, last, place, value, of = first[keep], last[keep], place[keep], value[keep], of[keep]
             raw = buffer.tobytes()
             rows = pa.array(of)
@@ -175,24 +201,28 @@ def _least_keys(pieces: list[tuple[int, int, bytes]], keys: list[int]) -> dict[t
 
     A piece is (stretch, place of its first window, bytes).
     """
+    alike: dict[bytes, list[tuple[int, int]]] = {}
+    for stretch, at, raw in pieces:
+        alike.setdefault(raw, []).append((stretch, at))
     text: list[int] = []
-    owner: list[tuple[int, int]] = []
-    for k, (stretch, at, raw) in enumerate(pieces):
+    owner: list[tuple[bytes, int] | None] = []
+    for k, raw in enumerate(alike):
         text += raw
-        owner += [(stretch, at + i) if i <= len(raw) - LENGTH else (-1, 0) for i in range(len(raw))]
+        owner += [(raw, i) if i <= len(raw) - LENGTH else None for i in range(len(raw))]
         text.append(256 + k)  # parts pieces; each once
-        owner.append((-1, 0))
+        owner.append(None)
+    least = {raw: min(keys[stretch] for stretch, _ in places) for raw, places in alike.items()}
     order = suffix_array(text)
     shared = common_prefixes(text, order)
     out: dict[tuple[int, int], int] = {}
-    run: list[tuple[int, int]] = []
+    run: list[tuple[bytes, int]] = []
     for suffix, prefix in zip([*order, -1], [*shared, 0]):
         if prefix < LENGTH:
-            if len(run) > 1:
-                least = min(keys[s] for s, _ in run)
-                out.update(dict.fromkeys(run, least))
+            if run:
+                low = min(least[raw] for raw, _ in run)
+                out.update({(stretch, at + i): low for raw, i in run for stretch, at in alike[raw]})
             run = []
-        if suffix >= 0 and owner[suffix][0] >= 0:
+        if suffix >= 0 and owner[suffix]:
             run.append(owner[suffix])
     return out
 
@@ -250,9 +280,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     with Scratch(docs.sparkSession) as scratch:
         firsts = scratch.keep(read.groupBy("mark", "check").agg(F.min("ord").alias("ord")), "firsts")
         n = parts(read)
-        rows = read.filter(F.octet_length("text") >= LENGTH).select("text", "mark").mapInArrow(_marks, "anchor long, mark long").repartition(n, "anchor")
-        again = rows.groupBy("anchor").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).filter("a <> z").select("anchor")
-        listed = scratch.keep(rows.join(again, "anchor").groupBy("mark").agg(F.collect_set("anchor").alias("anchors")).join(firsts, "mark"), "listed")
+        rows = (
+            read.filter(F.octet_length("text") >= LENGTH).select("text", "mark").mapInArrow(_marks, "anchor long, mark long")
+            .repartition(n, "anchor").sortWithinPartitions("anchor", "mark").mapInArrow(_repeated, "anchor long, mark long"))
+        listed = scratch.keep(rows.groupBy("mark").agg(F.collect_set("anchor").alias("anchors")).join(firsts, "mark"), "listed")
         shape = "ord long, mark long, group long, start long, low int, high int, bytes binary"
         name = F.xxhash64("bytes", "low", "high")
         stands = scratch.keep(
