@@ -5,7 +5,7 @@ shingles of each class at each level, those that come first in the run's own
 order; classes that share a sampled shingle meet in a bucket, and buckets of
 more than ``SMALL`` classes are split again by the next level's samples. Small
 buckets are compared by brute force, and so are, block by block, those that no
-level has split. Two halves of the runs estimate how many linked classes no run
+level has split (each class in a few of them, as they hold much the same). Two halves of the runs estimate how many linked classes no run
 has found; runs go on until that is less than the target allows.
 
 The links of a bucket leave it as a tree. Their connected components are then
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.arrays import mix, shingles, slices, text_buffer, words
@@ -39,7 +39,7 @@ SAMPLED = 2  # shingles sampled at each level
 LEVELS = 4
 RUNS = 6  # in each round; half of them against the other half estimate the recall
 SMALL = 64  # classes a bucket may hold and not be split again
-BLOCK = 256  # classes of a larger bucket that are compared with as many others in one task
+BLOCK = 512  # classes of a larger bucket that are compared with as many others in one task
 RECALL = 0.999
 ROUNDS = 5  # at most
 
@@ -94,6 +94,20 @@ def _path(*of: Column | str) -> Column:
     return F.xxhash64(*of)
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Buckets of several classes: how many, the run, and two numbers that name the set of them."""
+    return rows.groupBy("path").agg(
+        F.count("*").alias("n"), F.min("run").alias("run"), F.bit_xor(F.xxhash64("class")).alias("x"),
+        F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).filter("n > 1")
+
+
+def _once(rows: DataFrame, counts: DataFrame, runs: range) -> DataFrame:
+    """The classes of the counted buckets; of buckets with the same classes, those of one."""
+    half = F.when(F.col("run") < runs.start + len(runs) // 2, 1).otherwise(2)
+    once = counts.withColumn("half", half).groupBy("n", "x", "y").agg(F.min("path").alias("path"), F.bit_or("half").alias("halves"))
+    return rows.join(once.select("path", "halves", "n"), "path").select(F.col("path").alias("bucket"), "class", "halves", "n")
+
+
 def _buckets(classes: DataFrame, runs: range, scratch: Scratch, name: str) -> DataFrame:
     """``bucket``, ``class``, ``halves`` (1, 2 or 3: the halves of the runs it is from), ``n`` for buckets to compare.
 
@@ -107,16 +121,15 @@ def _buckets(classes: DataFrame, runs: range, scratch: Scratch, name: str) -> Da
         .select("class", F.col("c.run").alias("run"), _path(F.lit(0), "c.run", "c.shingle").alias("path")), f"{name}-level-0")
     kept = []
     for level in range(LEVELS):
-        counts = (
-            rows.groupBy("path").agg(
-                F.count("*").alias("n"), F.min("run").alias("run"), F.bit_xor(F.xxhash64("class")).alias("x"),
-                F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).filter("n > 1"))
-        counts = scratch.keep(counts, f"{name}-counts-{level}")
+        counts = scratch.keep(_counted(rows), f"{name}-counts-{level}")
         last = level == LEVELS - 1
-        half = F.when(F.col("run") < runs.start + len(runs) // 2, 1).otherwise(2)
-        done = (counts if last else counts.filter(F.col("n") <= SMALL)).withColumn("half", half)
-        once = done.groupBy("n", "x", "y").agg(F.min("path").alias("path"), F.bit_or("half").alias("halves"))
-        kept.append(rows.join(once.select("path", "halves", "n"), "path").select(F.col("path").alias("bucket"), "class", "halves", "n"))
+        kept.append(_once(rows, counts.filter(F.col("n") <= SMALL), runs))
+        if last:
+            # What no level has split is alike all over: a class stays in the first SAMPLED of such buckets of a run.
+            order = Window.partitionBy("class", "run").orderBy("path")
+            large = rows.join(counts.filter(F.col("n") > SMALL).select("path"), "path", "left_semi")
+            large = scratch.keep(large.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLED).drop("k"), f"{name}-large")
+            kept.append(_once(large, _counted(large), runs))
         if not last:
             deeper = rows.join(counts.filter(F.col("n") > SMALL).select("path"), "path", "left_semi").join(classes.select("class", "samples"), "class")
             here = F.transform(
