@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _by_text(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
     """A join of documents with verdicts on them (``doc_id``, ``text_hash``)."""
     named = verdicts.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).distinct()
-    mine = docs.alias("docs")
+    mine = docs.alias("docs").hint("merge")  # verdicts grow with the documents
     same = F.col("docs.doc_id").eqNullSafe(F.col("named.of_doc")) & (F.xxhash64(F.coalesce("docs.text", F.lit(""))) == F.col("named.of_text"))
     return mine.join(named.alias("named"), same, how)
 

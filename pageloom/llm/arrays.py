@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2 << 20
+PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
 # Bytes of a word, with A-Z lowered; 0 where a byte is not of a word.

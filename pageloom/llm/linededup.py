@@ -9,7 +9,8 @@ text and place) and is removed elsewhere.
 Chunks are first counted by hash alone, in rows of a few numbers. Only chunks
 whose hash repeats are cut out of their texts and compared byte by byte, in a
 join on hash and text with the first place of each, so a group of any number of
-copies is an aggregate and a join with one row.
+copies is an aggregate and a join with one row. Joins with the texts are by
+sorting at every size: what they are joined with grows with them.
 
 Defined results: a null text stays null, has no lines and loses none; an empty
 text has one empty line. Chunks of one line, and those of blank lines only, are
@@ -31,8 +32,8 @@ from pageloom.llm.tables import bare
 from pageloom.session import Scratch, materialize
 
 SPAN = 2  # lines the rolling hash sees
-EVERY = 4  # a boundary about each so many lines
-LEAST = 2  # lines of a chunk, but for the last of a text
+EVERY = 3  # one line in so many could end a chunk
+LEAST = 2  # lines of a chunk that may be removed
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,6 +45,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = lines(buffer, borders)
             rolling = np.concatenate([np.full(min(SPAN - 1, len(spans.hash)), 1, np.uint64), grams(spans.hash, SPAN)])
             wanted = rolling % np.uint64(EVERY) == 0
+            wanted[1:] &= ~wanted[:-1]  # of neighbours only the first, so a chunk has two lines, whatever stands before it
             blank = np.concatenate([[0], np.cumsum(spans.end > spans.start)])
             owner, at, first, last = [], [], [], []
             for i, (low, high) in enumerate(zip(spans.first[:-1].tolist(), spans.first[1:].tolist())):
@@ -51,7 +53,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends = (np.flatnonzero(wanted[low + SPAN - 1: high]) + low + SPAN).tolist()
                 place = 0
                 for end in [*ends, high]:
-                    if end - begin >= LEAST or (end == high and end > begin):
+                    if end > begin:
                         owner.append(i), at.append(place), first.append(begin), last.append(end)
                         begin, place = end, place + 1
             owner, first, last = np.array(owner, np.int64), np.array(first, np.int64), np.array(last, np.int64)
@@ -96,7 +98,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", report
         pair = lambda a, b: a["key"].eqNullSafe(b["key"]) & (a["mark"] == b["mark"])
         bytes_of = F.substring(F.col("text").cast("binary"), F.col("d.start").cast("int") + 1, F.col("d.length").cast("int"))
         cut = scratch.keep(
-            doubtful.join(read, pair(doubtful, read)).select(doubtful["key"], doubtful["mark"], "text", F.explode("doubtful").alias("d"))
+            doubtful.join(read.hint("merge"), pair(doubtful, read)).select(doubtful["key"], doubtful["mark"], "text", F.explode("doubtful").alias("d"))
             .select("key", "mark", "d.at", "d.hash", "d.lines", bytes_of.alias("bytes")), "cut")
         firsts = cut.groupBy("hash", "bytes").agg(F.min(place).alias("first"))
         removed = scratch.keep(
@@ -114,7 +116,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", report
     mine, its = lambda c: F.col(f"docs.`{c}`"), lambda c: F.col(f"plan.{c}")
     whole = mine(text).cast("binary")
     kept = F.array_join(F.transform(its("left"), lambda c: F.substring(whole, c["start"].cast("int") + 1, c["length"].cast("int")).cast("string")), "")
-    joined = docs.alias("docs").join(
+    joined = docs.alias("docs").hint("merge").join(
         plan.alias("plan"), mine(key).eqNullSafe(its("of_key")) & (F.xxhash64(F.coalesce(mine(text), F.lit(""))) == its("of_mark")), "left")
     told = {
         "n_lines": F.when(mine(text).isNull(), 0).otherwise(F.length(mine(text)) - F.length(F.replace(mine(text), F.lit("\n"), F.lit(""))) + 1).cast("long"),

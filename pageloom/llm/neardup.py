@@ -124,19 +124,19 @@ def _buckets(classes: DataFrame, runs: range, scratch: Scratch, name: str) -> Da
         counts = scratch.keep(_counted(rows), f"{name}-counts-{level}")
         last = level == LEVELS - 1
         kept.append(_once(rows, counts.filter(F.col("n") <= SMALL), runs))
+        # In what is split again, and in what no level has split, classes alike meet in many buckets: each stays in SAMPLED of a run's.
+        order = Window.partitionBy("class", "run").orderBy("path")
+        large = rows.join(counts.filter(F.col("n") > SMALL).select("path"), "path", "left_semi")
+        large = large.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLED).drop("k")
         if last:
-            # What no level has split is alike all over: a class stays in the first SAMPLED of such buckets of a run.
-            order = Window.partitionBy("class", "run").orderBy("path")
-            large = rows.join(counts.filter(F.col("n") > SMALL).select("path"), "path", "left_semi")
-            large = scratch.keep(large.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLED).drop("k"), f"{name}-large")
+            large = scratch.keep(large, f"{name}-large")
             kept.append(_once(large, _counted(large), runs))
-        if not last:
-            deeper = rows.join(counts.filter(F.col("n") > SMALL).select("path"), "path", "left_semi").join(classes.select("class", "samples"), "class")
+        else:
             here = F.transform(
                 F.sequence(F.lit(0), F.lit(SAMPLED - 1)),
                 lambda k, level=level: F.get("samples", ((F.col("run") - runs.start) * LEVELS * SAMPLED + (level + 1) * SAMPLED + k).cast("int")))
             rows = scratch.keep(
-                deeper.select("class", "run", "path", F.explode(F.array_distinct(here)).alias("shingle"))
+                large.join(classes.select("class", "samples"), "class").select("class", "run", "path", F.explode(F.array_distinct(here)).alias("shingle"))
                 .select("class", "run", _path(F.lit(level + 1), "path", "shingle").alias("path")), f"{name}-level-{level + 1}")
     out = kept[0]
     for more in kept[1:]:

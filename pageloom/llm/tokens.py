@@ -22,7 +22,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 _BEYOND = re.compile(rf"[^\x20-\x7e\n{_LETTERS}]")
 
-HELD = 1_000_000  # pieces a worker keeps, some 200 MB
+HELD = 400_000  # pieces a worker keeps, some 80 MB
 LONGEST = 64  # characters of a piece that is kept
 _BREAK = "\n"
 
