@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.arrays import slices
 from pageloom.llm.tables import bare
-from pageloom.llm.tokens import Encoder
+from pageloom.llm.tokens import TOGETHER, Encoder
 from pageloom.session import Scratch, materialize
 
 SEQUENCE = 2048
@@ -47,7 +47,7 @@ ROUNDS = 4
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, size: int) -> Iterator[pa.RecordBatch]:
     encoder, closing = Encoder.of(path), np.array([end], "<u4").tobytes()
-    for batch in (part for batch in batches for part in slices(batch, "text")):
+    for batch in (part for batch in batches for part in slices(batch, "text", TOGETHER)):
         row, piece, start, length, ids = [], [], [], [], []
         for i, raw in enumerate(encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
             raw += closing

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.arrays import mix, slices
 from pageloom.llm.tables import bare
-from pageloom.llm.tokens import Encoder
+from pageloom.llm.tokens import TOGETHER, Encoder
 
 END = 2
 PER_BUCKET = 4
@@ -173,7 +173,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, closing, writer = Encoder.of(tokenizer), np.array([end], "<u4").tobytes(), None
-        for batch in (part for batch in batches for part in slices(batch, "text")):
+        for batch in (part for batch in batches for part in slices(batch, "text", TOGETHER)):
             if writer is None:
                 writer = ShardWriter(f"{folder}/files", 2 if max(end, encoder.tokenizer.get_vocab_size()) < 1 << 16 else 4)
             for k, raw in zip(batch.column("key").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()])):

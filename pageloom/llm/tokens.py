@@ -22,7 +22,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 _BEYOND = re.compile(rf"[^\x20-\x7e\n{_LETTERS}]")
 
-HELD = 400_000  # pieces a worker keeps, some 80 MB
+HELD = 800_000  # pieces a worker keeps, some 160 MB
+TOGETHER = 4 << 20  # bytes of texts to encode together, so that a new piece is encoded once for all of them
 LONGEST = 64  # characters of a piece that is kept
 _BREAK = "\n"
 
