@@ -46,9 +46,10 @@ _RECORD = np.dtype([("key", "<i8"), ("known", "<u8"), ("start", "<u8")])
 _SLOT = np.dtype([("print", "<u4"), ("run", "<u4"), ("record", "<u8")])
 
 
-def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
+def _hash(keys: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """Hashes of keys by one seed, or by each of a column of seeds."""
     with np.errstate(over="ignore"):
-        return mix(keys.astype(np.int64).view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+        return mix(keys.astype(np.int64).view(np.uint64) + np.asarray(seed, np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,15 +63,14 @@ def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.searchsorted(of[order], np.arange(buckets + 1))
     size = np.diff(first)
     seeds, slots, taken = np.zeros(buckets, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-    tries = 32
+    tries = 256
     for b in np.argsort(-size, kind="stable"):
         if size[b] < 2:
             break
         mine, seed = order[first[b]: first[b + 1]], 1
         while True:
             # Some seeds at once; the first that sends the keys to different free slots counts.
-            at = np.stack([_hash(keys[mine], s) for s in range(seed, seed + tries)]) % np.uint64(n)
-            at = at.astype(np.int64)
+            at = (_hash(keys[mine], np.arange(seed, seed + tries)[:, None]) % np.uint64(n)).astype(np.int64)
             row = np.sort(at, axis=1)
             good = np.flatnonzero(~taken[at].any(axis=1) & (row[:, 1:] != row[:, :-1]).all(axis=1))
             if len(good):
