@@ -36,7 +36,7 @@ from pageloom.session import Scratch, materialize
 WORDS = 5
 SIMILARITY = 0.8
 SAMPLED = 2  # shingles sampled at each level
-LEVELS = 4
+LEVELS = 3
 RUNS = 6  # in each round; half of them against the other half estimate the recall
 SMALL = 64  # classes a bucket may hold and not be split again
 BLOCK = 512  # classes of a larger bucket that are compared with as many others in one task
