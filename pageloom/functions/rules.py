@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom.functions.jsonpath import first_text, json_path, path_steps
+from pageloom.functions.text import executable
 
 # --- fixed values -----------------------------------------------------------
 SCRIPT_MARKS = ["java.", "evalJS(", "cache."]
@@ -37,27 +38,29 @@ def classify_rule(rule: Column) -> Column:
     )
 
 
-def _replacement(text: str, groups: int) -> str:
-    """A ``$n`` / ``${n}`` replacement in the form Java's regex expects."""
+def _replacement(text: str, groups: int, names: dict[str, str]) -> str:
+    """A ``$n`` / ``${n}`` replacement in the form Java's regex expects; unknown groups are empty, other ``$`` stay."""
 
     def one(m: re.Match) -> str:
-        if m.group(0) == "$$":
-            return r"\$"
         name = m.group(1) or m.group(2)
-        return f"${{{name}}}" if not name.isdigit() else (f"${name}" if int(name) <= groups else "")
+        if name is None:
+            return r"\$"
+        if name.isdigit():
+            return f"${name}" if int(name) <= groups else ""
+        return f"${{{names[name]}}}" if name in names else ""
 
     out = text.replace("\\", "\\\\")
-    return re.sub(r"\$\$|\$\{(\w+)\}|\$(\w+)", one, out)
+    return re.sub(r"\$\$|\$\{(\w+)\}|\$(\w+)|\$", one, out)
 
 
 def regex_op(c: Column, pattern: str, replacement: str = "", ignore_case: bool = False) -> Column:
     """Replace every match; a pattern that does not compile changes nothing."""
-    try:
-        groups = re.compile(pattern).groups
-    except re.error:
+    found = executable(pattern)
+    if found is None:
         return c
+    pattern, groups, names = found
     flags = "(?i)" if ignore_case else ""
-    return F.regexp_replace(c, f"{flags}{pattern}", _replacement(replacement, groups))
+    return F.regexp_replace(c, f"{flags}{pattern}", _replacement(replacement, groups, names))
 
 
 def regex_suffix(c: Column, suffix: str) -> Column:

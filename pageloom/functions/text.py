@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -150,16 +153,28 @@ def url_unquote(c: Column) -> Column:
 
 
 def first_match(c: Column, pattern: str) -> Column:
-    """The first match of ``pattern`` and its groups, joined by new lines."""
-    groups = _group_count(pattern)
+    """The first match of ``pattern`` and its groups, joined by new lines; a pattern that does not compile matches nothing."""
+    found = executable(pattern)
+    if found is None:
+        return F.lit("")
+    pattern, groups, _ = found
     parts = [F.regexp_extract(c, pattern, i) for i in range(groups + 1)]
     return F.when(c.rlike(pattern), F.concat_ws("\n", *parts)).otherwise(F.lit(""))
 
 
-def _group_count(pattern: str) -> int:
-    import re
+def executable(pattern: str) -> tuple[str, int, dict[str, str]] | None:
+    """A pattern as executors take it, its number of groups, their names there by the given ones; ``None`` if it does not compile.
 
-    return re.compile(pattern).groups
+    ``(?P<name>`` is accepted; names lose their underscores, which executors do not allow.
+    """
+    named = re.compile(r"(?<!\\)\(\?P?<([A-Za-z_]\w*)>")
+    names = {name: f"n{i}{name.replace('_', '')}" for i, name in enumerate(named.findall(pattern))}
+    pattern = named.sub(lambda m: f"(?<{names[m.group(1)]}>", pattern)
+    try:
+        compiled = SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return None
+    return pattern, compiled.matcher("").groupCount(), names
 
 
 def is_blank(c: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,12 @@ def read_pages(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 
 def save_table(df: DataFrame, path: str, key: str | None = None, buckets: int = 64) -> None:
-    """Replace a table in one step.
+    """Replace a table.
 
     The rows go to a fresh folder beside the table first and take its place by
-    renaming; nobody sees a half-written table. With ``key`` the rows are laid out by a
+    renaming; nobody sees a half-written table, though for a moment between the two
+    renames there is none. The old rows go last: if a rename fails, they are back in
+    place and an error is raised. With ``key`` the rows are laid out by a
     hash bucket of it, so work on few readers opens few files.
     """
     spark = df.sparkSession
@@ -38,13 +42,25 @@ def save_table(df: DataFrame, path: str, key: str | None = None, buckets: int =
     writer.mode("errorifexists").parquet(staging)
     hpath = jvm.org.apache.hadoop.fs.Path
     fs = hpath(path).getFileSystem(conf)
-    if fs.exists(hpath(path)):
-        fs.rename(hpath(path), hpath(old))
-    fs.rename(hpath(staging), hpath(path))
-    if fs.exists(hpath(old)):
+    replaced = fs.exists(hpath(path))
+    if replaced and not _renamed(fs, hpath(path), hpath(old)):
+        raise OSError(f"{path} cannot be moved aside; the new rows are in {staging}")
+    if not _renamed(fs, hpath(staging), hpath(path)):
+        if replaced and not _renamed(fs, hpath(old), hpath(path)):
+            raise OSError(f"{path} is in {old} and cannot be moved back; the new rows are in {staging}")
+        raise OSError(f"{path} is as it was; the new rows are in {staging} and cannot be moved")
+    if replaced:
         fs.delete(hpath(old), True)
 
 
+def _renamed(fs, source, target) -> bool:
+    """Whether a folder has its new name; file systems report failure by a value or by an exception."""
+    try:
+        return fs.rename(source, target)
+    except (Py4JJavaError, PySparkException):
+        return False
+
+
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     return df.drop("bucket")

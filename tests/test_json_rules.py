@@ -82,6 +82,14 @@ def test_regex_operator(one):
     assert one(r.regex_suffix(F.lit("keep"), "(##x")) == "keep"
 
 
+def test_patterns_are_judged_by_the_engine_that_runs_them(one):
+    assert one(r.regex_suffix(F.lit("keep a{"), "a{##x")) == "keep a{"
+    assert one(r.regex_suffix(F.lit("in 2024"), r"(?P<the_year>\d+)##[${the_year}]")) == "in [2024]"
+    assert one(r.regex_suffix(F.lit("a1b22"), r"\p{L}(?<n>\d)##$n-$none|")) == "1-|2-|2"
+    assert one(r.regex_suffix(F.lit("5 a"), r"(\d)##$1 $")) == "5 $ a"
+    assert one(r.regex_suffix(F.lit("ab"), r"(?>a)##$$")) == "$b"
+
+
 def test_field_defaults(one):
     assert one(r.json_field(v({"vod_name": "n", "title": "t"}), "", "ruleTitle")) == "n"
     assert one(r.json_field(v({"aid": 5}), "https://x/?aid={{$.aid}}", "ruleLink")) == "https://x/?aid=5"

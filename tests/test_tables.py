@@ -80,6 +80,21 @@ def test_tables_are_replaced_whole(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
+@pytest.mark.parametrize("failing", [".old-", ".staging-"])
+def test_a_failed_rename_leaves_the_old_table(spark, tmp_path, monkeypatch, failing):
+    path, real = str(tmp_path / "t"), tabs._renamed
+    tabs.save_table(spark.range(5), path)
+
+    def refuse(fs, source, target):
+        moved = target if failing == ".old-" else source
+        return False if failing in moved.toString() else real(fs, source, target)
+
+    monkeypatch.setattr(tabs, "_renamed", refuse)
+    with pytest.raises(OSError):
+        tabs.save_table(spark.range(9), path)
+    assert tabs.load_table(spark, path).count() == 5
+
+
 def test_materialized_tables_keep_pruning_and_scratch_is_removed(spark):
     df = materialize(spark.range(10).withColumn("b", F.lit("x")), "t")
     plan = df.filter("id = 3").select("id")._jdf.queryExecution().toString()

@@ -46,6 +46,8 @@ def test_coding(one):
     assert one(t.url_quote(F.lit("a b!~*'()é"))) == "a%20b!~*'()%C3%A9"
     assert one(t.url_unquote(F.lit("a%20b+c")), t.url_unquote(F.lit("%zz"))) == ("a b+c", "%zz")
     assert one(t.first_match(F.lit("x12y"), r"(\d)(\d)")) == "12\n1\n2"
+    assert one(t.first_match(F.lit("x12y"), r"(?P<a_b>\d)")) == "1\n1"
+    assert one(t.first_match(F.lit("x12y"), "a{")) == ""
 
 
 def test_formatting_times(one):
