@@ -117,16 +117,20 @@ def list_history(history: DataFrame, limit: int, text: str = "") -> DataFrame:
     return rows.filter(contains_any(["_shown"], text)).drop("_shown").withColumnRenamed("_rank", "rank")
 
 
-def upsert_progress(progress: DataFrame | None, events: DataFrame, keep: int = PROGRESS_KEPT) -> DataFrame:
-    """H9: the latest clamped position per reader and address, newest ``keep`` per reader."""
+def upsert_progress(progress: DataFrame | None, events: DataFrame, keep: int = PROGRESS_KEPT, with_event: bool = False) -> DataFrame:
+    """H9: the latest clamped position per reader and address, newest ``keep`` per reader.
+
+    ``with_event`` keeps ``event_id``, so that ties with later events do not depend on the order of arrival.
+    """
     ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("ratio_raw"))).cast("float")
     new = events.select("user_id", "url", ratio.alias("ratio"), "updated_at", "event_id")
     if progress is not None:
-        # Stored positions lose ties against new ones.
-        new = new.unionByName(progress.select("user_id", "url", "ratio", "updated_at").withColumn("event_id", F.lit(-1).cast("bigint")))
+        # Positions stored without the event they are from lose ties against new ones.
+        event = F.col("event_id") if "event_id" in progress.columns else F.lit(-1).cast("bigint")
+        new = new.unionByName(progress.select("user_id", "url", "ratio", "updated_at", event.alias("event_id")))
     latest = first_per_key(new, ["user_id", "url"], [newest("updated_at"), -F.col("event_id")])
     kept = top_per_group(latest, ["user_id"], [F.col("updated_at").desc(), F.col("event_id").desc()], keep, ["url"])
-    return kept.select("user_id", "url", "ratio", "updated_at")
+    return kept.select("user_id", "url", "ratio", "updated_at", *["event_id"] * with_event)
 
 
 def progress_for(progress: DataFrame, urls: DataFrame) -> DataFrame:

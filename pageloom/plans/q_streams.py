@@ -30,8 +30,7 @@ def _replay(df, parts: int = 3):
 @query("i1_stream_progress", duck_sql("fx_progress") + "SELECT user_id, url, ratio, updated_at FROM fx_progress")
 def i1(spark, sf):
     stream, target, checkpoint = _replay(table(spark, sf, "fx_progress_events"))
-    # Every position is kept here so that the newest-500 rule cannot depend on arrival order.
-    inc.stream_progress(stream, target, checkpoint, keep=1_000_000).awaitTermination()
+    inc.stream_progress(stream, target, checkpoint).awaitTermination()
     return spark.read.parquet(target).select("user_id", "url", "ratio", "updated_at")
 
 

@@ -24,6 +24,7 @@ from pageloom.operators.reading import daily_reading, record_history, upsert_pro
 from pageloom.session import materialize
 
 BUCKETS = 64
+POSITIONS = "user_id long, url string, ratio float, updated_at timestamp_ntz"  # of a table that is not there yet
 
 
 def _fs(spark: SparkSession, path: str):
@@ -70,7 +71,7 @@ def stream_progress(events: DataFrame, target: str, checkpoint: str, keep: int =
     """
 
     def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
-        return upsert_progress(stored, batch, keep)
+        return upsert_progress(stored, batch, keep, with_event=True)
 
     def run(batch: DataFrame, n: int) -> None:
         merge_into(batch, target, "user_id", f"{checkpoint}/merges/{n}", merge)
@@ -134,12 +135,13 @@ def stream_reading_minutes(opened: DataFrame, positions: DataFrame, history: str
 
     def recompute(users: DataFrame, aside: str) -> None:
         """Rewrite the daily rows of the readers in ``users``."""
-        if not (exists(spark, history) and exists(spark, progress)):
+        if not exists(spark, history):
             return
         users = materialize(users.distinct(), "users")
         buckets = [r[0] for r in users.select(bucket_of("user_id")).distinct().collect()]  # at most BUCKETS numbers
         mine = lambda path: spark.read.parquet(path).filter(F.col("bucket").isin(buckets)).join(users, "user_id", "left_semi")
-        days = materialize(daily_reading(mine(history), mine(progress), tz), "days")
+        placed = mine(progress) if exists(spark, progress) else spark.createDataFrame([], POSITIONS)
+        days = materialize(daily_reading(mine(history), placed, tz), "days")
 
         def merge(stored: DataFrame | None, fresh: DataFrame) -> DataFrame:
             return fresh if stored is None else stored.join(users, "user_id", "left_anti").unionByName(fresh)
@@ -152,7 +154,8 @@ def stream_reading_minutes(opened: DataFrame, positions: DataFrame, history: str
         recompute(batch.select("user_id"), f"{checkpoint}/opened-days/{n}")
 
     def on_positions(batch: DataFrame, n: int) -> None:
-        merge_into(batch, progress, "user_id", f"{checkpoint}/position-merges/{n}", upsert_progress)
+        merge_into(batch, progress, "user_id", f"{checkpoint}/position-merges/{n}",
+                   lambda stored, new: upsert_progress(stored, new, with_event=True))
         recompute(batch.select("user_id"), f"{checkpoint}/position-days/{n}")
 
     out = []

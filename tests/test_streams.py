@@ -61,3 +61,27 @@ def test_untouched_buckets_are_not_rewritten(spark, tmp_path):
     inc.merge_into(df.filter("user_id = 3"), str(target), "user_id", str(tmp_path / "m1"), merge)
     after = {p.name: sorted(q.name for q in p.iterdir()) for p in target.iterdir() if p.is_dir()}
     assert sum(before[k] != after[k] for k in before) == 1
+
+
+def test_ties_across_batches_go_to_the_later_event(spark, tmp_path):
+    """Equal times: the order in which batches arrive does not matter."""
+    at = dt.datetime(2024, 1, 1)
+    for order in ([1, 2], [2, 1]):
+        source, target, check = (str(tmp_path / f"{x}{order[0]}") for x in ("in", "out", "check"))
+        for event in order:
+            spark.createDataFrame([(1, "u", event / 10, at, event)], E).write.mode("append").parquet(source)
+            inc.stream_progress(spark.readStream.schema(E).parquet(source), target, check).awaitTermination()
+        assert [round(r.ratio, 3) for r in spark.read.parquet(target).collect()] == [0.2]
+
+
+def test_readers_without_a_position_have_their_days(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1, 9)
+    opened = spark.createDataFrame(
+        [(1, "u", at, 1), (2, "u", at, 2)], "user_id long, url string, viewed_at timestamp_ntz, event_id long")
+    opened.write.parquet(str(tmp_path / "opened"))
+    events(spark, 0).union(spark.createDataFrame([(1, "u", 0.5, at + dt.timedelta(minutes=5), 1)], E)).write.parquet(str(tmp_path / "positions"))
+    read = lambda name, like: spark.readStream.schema(like).parquet(str(tmp_path / name))
+    inc.stream_reading_minutes(
+        read("opened", opened.schema), read("positions", E), *(str(tmp_path / x) for x in ("history", "progress", "daily", "check")))
+    got = spark.read.parquet(str(tmp_path / "daily")).select("user_id", "articles", "secs").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 300), (2, 1, 0)]
