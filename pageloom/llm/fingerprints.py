@@ -15,7 +15,7 @@ texts has, and the squares of its components add up, in expectation, to how much
 that is; likeness is 1 less its share of the two texts' own squares.
 
 Everything is column expressions and aggregates. Runs of words are exploded and
-summed in the task that reads the text, so a row per document is shuffled.
+summed in the task that holds the text.
 
 Defined results: a null text is an empty one, whose one paragraph is empty.
 Likeness of two texts without words is 1 if they are equal, else 0. Rows with
@@ -126,39 +126,41 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Edited: the last ``floor(n / 2)`` characters replaced by the first as many of the next document.
     """
-    whole = F.coalesce("text", F.lit(""))
-    read = (
-        bare(docs, key, text).toDF("key", "text").withColumn("text", whole)
-        .withColumn("mark", F.xxhash64("text")).withColumn("n", F.char_length("text").cast("bigint")))
-    order = materialize(_neighbours(read.select("key", "mark", "n").distinct(), buckets), "order")
-    same = lambda a, b: a.eqNullSafe(b)
-    before = order.select(F.col("next_key").alias("of_key"), F.col("next_mark").alias("of_mark"), F.col("key").alias("to_key"), F.col("mark").alias("to_mark"),
-                          F.floor(F.col("n") / 2).cast("int").alias("half"))
+    kind = docs.schema[key].dataType
+    read = bare(docs, key, text).toDF("key", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("mark", F.xxhash64("text"))
+    n = F.char_length("text").cast("bigint")
+    order = materialize(_neighbours(read.select("key", "mark", n.alias("n")).distinct(), buckets), "order")
+    ids, nexts = ["none", "id", "mark"], ["next_none", "next_id", "next_mark"]
+
+    def plain(of_key: str, of_mark: str, names: list[str]) -> list[Column]:
+        """Which document, in columns without nulls: what is joined and summed by just these needs no other shuffle."""
+        of = [F.col(of_key).isNull(), F.coalesce(of_key, F.lit(0).cast(kind)), F.col(of_mark)]
+        return [c.alias(name) for c, name in zip(of, names)]
+
+    # Both joins take the same columns of the texts, so these are shuffled once.
+    texts = read.select(*plain("key", "mark", ids), "text")
+    before = order.select(
+        *plain("next_key", "next_mark", ids), *plain("key", "mark", ["to_none", "to_id", "to_mark"]), F.floor(F.col("n") / 2).cast("int").alias("half"))
     heads = (
-        read.join(before, same(read["key"], F.col("of_key")) & (read["mark"] == F.col("of_mark")))
-        .select("to_key", "to_mark", F.left("text", F.col("half")).alias("head"))
-        .groupBy("to_key", "to_mark").agg(F.first("head").alias("head")))
-    edited = F.concat(F.left("text", (F.col("n") - F.floor(F.col("n") / 2)).cast("int")), "head")
-    texts = (
-        read.join(heads, same(read["key"], F.col("to_key")) & (read["mark"] == F.col("to_mark")))
-        .select("key", "mark", "n", "text", edited.alias("edited"))
-        .withColumn("row", F.monotonically_increasing_id()))
-    both = texts.select(
-        "key", "mark", "n", "row", F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("v"))
-    both = both.select("key", "mark", "n", "row", "edited_sha256", "v.which", "v.t")
-    prints = materialize(fingerprint(both, ["key", "mark", "n", "row", "edited_sha256", "which"], "t"), "prints")
-    own = prints.filter("which = 0").select("key", "mark", "n", "row", "exact", "like")
-    new = prints.filter("which = 1").select("row", "edited_sha256", F.col("exact").alias("edited_exact"), F.col("like").alias("edited_like"))
+        texts.join(before.hint("merge"), ids)
+        .select("to_none", "to_id", "to_mark", F.struct(*[F.col(c).alias(f"next_{c}") for c in ids], F.left("text", F.col("half")).alias("head")).alias("h"))
+        .groupBy(*[F.col(f"to_{c}").alias(c) for c in ids]).agg(F.first("h").alias("h")))
+    edited = F.concat(F.left("text", (n - F.floor(n / 2)).cast("int")), F.col("h.head"))
+    both = (
+        texts.join(heads.hint("merge"), ids)
+        .select(*ids, *[F.col(f"h.{c}").alias(c) for c in nexts], "text", n.alias("n"), edited.alias("edited"))
+        .withColumn("row", F.monotonically_increasing_id())  # tells repeated rows apart
+        .select(*ids, *nexts, "n", "row", F.sha2("edited", 256).alias("edited_sha256"),
+                F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("v")))
+    keys = [*ids, *nexts, "n", "row", "edited_sha256"]
+    each = fingerprint(both.select(*keys, "v.which", "v.t"), [*keys, "which"], "t")
+    of = lambda which, c: F.first(F.when(F.col("which") == which, F.col(c)), ignorenulls=True)
+    prints = materialize(each.groupBy(*keys).agg(
+        of(0, "exact").alias("exact"), of(0, "like").alias("like"), of(1, "exact").alias("edited_exact"), of(1, "like").alias("edited_like")), "prints")
     # One row for each document: rows repeated have the same fingerprint.
-    single = own.groupBy(F.col("key").alias("k"), F.col("mark").alias("m")).agg(F.first("exact").alias("next_exact"), F.first("like").alias("next_like"))
-    joined = (
-        own.join(new, "row").join(order.drop("n").withColumnsRenamed({"key": "o_key", "mark": "o_mark"}),
-                                  same(F.col("key"), F.col("o_key")) & (F.col("mark") == F.col("o_mark")))
-        .join(single, same(F.col("next_key"), F.col("k")) & (F.col("next_mark") == F.col("m"))))
-    return joined.select(
-        F.col("key").alias(key), F.col("n").alias("n_chars"), "edited_sha256", shown(F.col("exact"), F.col("like")).alias("fingerprint"),
+    single = prints.groupBy(*[F.col(c).alias(f"next_{c}") for c in ids]).agg(F.first("exact").alias("next_exact"), F.first("like").alias("next_like"))
+    return prints.join(single, nexts).select(
+        F.when(~F.col("none"), F.col("id")).alias(key), F.col("n").alias("n_chars"), "edited_sha256", shown(F.col("exact"), F.col("like")).alias("fingerprint"),
         shown(F.col("edited_exact"), F.col("edited_like")).alias("edited_fingerprint"),
         likeness(F.col("exact"), F.col("like"), F.col("edited_exact"), F.col("edited_like")).alias("near_edited"),
         likeness(F.col("exact"), F.col("like"), F.col("next_exact"), F.col("next_like")).alias("near_next"))
-
