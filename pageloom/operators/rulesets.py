@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.text import html_to_text
 from pageloom.operators.nodes import page_texts
 from pageloom.operators.select import (
-    FRONTIER, KEYS, TERMINAL, best_text_matches, class_list, compile_rules, node_text, text_candidates,
+    FRONTIER, KEYS, PREFIXES, TERMINAL, XPATH_SEGMENT, XPATH_SKIPPED, XPATH_TAIL, best_text_matches, class_list, compile_rules, node_text, text_candidates,
 )
 from pageloom.session import Scratch, materialize
 
@@ -23,9 +23,8 @@ from pageloom.session import Scratch, materialize
 def selector_parts(css: Column) -> Column:
     """A selector as ``array<struct<tag,id,classes,attr,value,nth>>``, outermost first."""
     text = F.trim(css)
-    text = F.regexp_replace(text, r"^class\.", ".")
-    text = F.regexp_replace(text, r"^id\.", "#")
-    text = F.regexp_replace(text, r"^tag\.", "")
+    for pattern, by in PREFIXES:
+        text = F.regexp_replace(text, pattern, by)
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
     def part(w: Column) -> Column:
@@ -44,13 +43,12 @@ def selector_parts(css: Column) -> Column:
 
 def _xpath_css(path: Column) -> Column:
     """The selector an XPath stands for (C6) as an expression."""
-    body = F.regexp_replace(F.regexp_replace(path, r"text\(\).*$", ""), r"/+\s*$", "")
-    segments = F.filter(F.transform(F.split(body, "/"), F.trim), lambda s: ~s.isin("", ".", ".."))
+    segments = F.filter(F.transform(F.split(F.regexp_replace(path, XPATH_TAIL, ""), "/"), F.trim), lambda s: ~s.isin(XPATH_SKIPPED))
 
     def css(s: Column) -> Column:
-        s = F.regexp_replace(s, r"\[\s*0*([0-9]+)\s*\]", ":nth-of-type($1)")
-        s = F.replace(s, F.lit(":nth-of-type(0)"), F.lit(":nth-of-type(1)"))
-        return F.regexp_replace(s, r"\[\s*@", "[")
+        for pattern, by in XPATH_SEGMENT:
+            s = F.regexp_replace(s, pattern, by)
+        return s
 
     return F.array_join(F.transform(segments, css), " ")
 

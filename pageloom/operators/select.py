@@ -34,6 +34,29 @@ STEP_WORDS = {
 TERMINAL = ["attr", "text", "own_text", "html", "outer_html"]
 # ---------------------------------------------------------------------------
 
+# The grammar of rules, for expressions and for single rules alike: the first form a
+# token has names its operator, and the form's group is the argument.
+STEP_MARK, NUMBER, NUMBERED = r"(?<!\\)@", r"\.([0-9]+)$", ["indexed", "child"]
+_XPATH = r"(?=//|\./|.*\[@|.*text\(\)$)"
+FIRST_FORMS = [("xpath_text", rf"(?s)^{_XPATH}(?=.*text\(\))(.*)$"), ("xpath", rf"(?s)^{_XPATH}(.*)$"), ("select", r"(?s)^(.*)$")]
+LATER_FORMS = [
+    *[(op, rf"^{word}()$") for word, op in STEP_WORDS.items()],
+    ("child", r"^child\.()"),
+    ("text", rf"(?s)^{_XPATH}(?=.*text\(\))()"),
+    ("xpath", rf"(?s)^{_XPATH}(.*)$"),
+    ("indexed", r"(?s)^(.*\S.*)\.[0-9]+$"),
+    ("select", r"(?s)^((?:tag|id|class)\..*)$"),
+    ("text_match", r"(?s)^text\.\s*(.*)$"),
+    ("select", rf"(?i)^({'|'.join(SELECTOR_TAGS)})$"),
+    ("attr", r"(?s)^(.*)$"),
+]
+# What selectors and the segments of an XPath are rewritten by, one after the other.
+PREFIXES = [(r"^class\.", "."), (r"^id\.", "#"), (r"^tag\.", "")]
+XPATH_TAIL, XPATH_SKIPPED = r"(?s)/*\s*(text\(\).*)?$", ["", ".", ".."]
+XPATH_SEGMENT = [
+    (r"(\[[^\]]*)$", "$1]"), (r"\[\s*0*([0-9]+)\s*\]", ":nth-of-type($1)"), (r":nth-of-type\(0\)", ":nth-of-type(1)"),
+    (r"\[\s*@\s*", "["), (r"\s*=\s*", "="), (r"\s+\]", "]")]
+
 KEYS = ["page_id", "rule_id", "ctx"]
 FRONTIER = [*KEYS, "node_id", "ord"]
 
@@ -86,12 +109,15 @@ def parse_selector(selector: str) -> list[Part] | None:
     return parts
 
 
+def replaced(text: str, table: list[tuple[str, str]]) -> str:
+    """A table of replacements, as the expressions of ``rulesets`` apply them, on a string."""
+    for pattern, by in table:
+        text = re.sub(pattern, by.replace("$1", r"\1"), text)
+    return text
+
+
 def to_css(token: str) -> str:
-    t = token.strip()
-    for prefix, mark in (("class.", "."), ("id.", "#"), ("tag.", "")):
-        if t.startswith(prefix):
-            return mark + t[len(prefix):].strip()
-    return t or "*"
+    return replaced(token.strip(), PREFIXES).strip() or "*"
 
 
 def is_simple(selector: str) -> bool:
@@ -99,32 +125,10 @@ def is_simple(selector: str) -> bool:
     return not re.search(r"[\s\[:]", to_css(selector))
 
 
-def looks_like_xpath(token: str) -> bool:
-    t = token.strip()
-    return t.startswith("//") or t.startswith("./") or t.endswith("text()") or "[@" in t
-
-
-def xpath_steps(xpath: str) -> tuple[str, bool]:
-    """The selector an XPath stands for, and whether it asks for text."""
-    path, mark, _ = xpath.strip().partition("text()")
-    if mark:
-        path = path.strip().rstrip("/").strip()
-    words = []
-    for segment in path.split("/"):
-        segment = segment.strip()
-        if segment in ("", ".", ".."):
-            continue
-        name, _, predicate = segment.partition("[")
-        predicate = predicate.rstrip("]").strip()
-        css = name.strip()
-        if predicate.isdigit():
-            css += f":nth-of-type({max(int(predicate), 1)})"
-        elif predicate:
-            key, eq, value = predicate.partition("=")
-            key = key.strip().strip("@'").strip()
-            css += f"[{key}='{value.strip().strip(chr(39) + chr(34))}']" if eq else f"[{key}]"
-        words.append(css or "*")
-    return " ".join(words) or "*", bool(mark)
+def xpath_selector(xpath: str) -> str:
+    """The selector an XPath stands for."""
+    segments = [x.strip() for x in re.sub(XPATH_TAIL, "", xpath).split("/")]
+    return " ".join(replaced(x, XPATH_SEGMENT) for x in segments if x not in XPATH_SKIPPED)
 
 
 # --- C2 --------------------------------------------------------------------------
@@ -136,69 +140,35 @@ def compile_rules(rules: DataFrame) -> DataFrame:
     Step 0 selects from the document root; ``\\@`` is a literal at sign. Input
     columns: ``rule_id, rule``.
     """
-    tokens = F.split(F.trim(F.col("rule")), r"(?<!\\)@")
+    tokens = F.split(F.trim(F.col("rule")), STEP_MARK)
     steps = rules.select("rule_id", F.posexplode(tokens).alias("step_no", "raw"))
     steps = steps.withColumn("tok", F.trim(F.replace(F.col("raw"), F.lit(r"\@"), F.lit("@"))))
-    tok = F.col("tok")
-    words = F.create_map(*[F.lit(x) for pair in STEP_WORDS.items() for x in pair])
-    xpath = tok.startswith("//") | tok.startswith("./") | tok.endswith("text()") | tok.contains("[@")
-    indexed = tok.rlike(r"^.*\S.*\.[0-9]+$")
-    prefixed = tok.rlike(r"^(tag|id|class)\.")
-    op = (
-        F.when(F.col("step_no") == 0, F.when(xpath & tok.contains("text()"), "xpath_text").when(xpath, "xpath").otherwise("select"))
-        .when(words[tok].isNotNull(), words[tok])
-        .when(tok.startswith("child."), "child")
-        .when(xpath & tok.contains("text()"), "text")
-        .when(xpath, "xpath")
-        .when(indexed, "indexed")
-        .when(prefixed, "select")
-        .when(tok.startswith("text."), "text_match")
-        .when(F.lower(tok).isin(SELECTOR_TAGS), "select")
-        .otherwise("attr")
-    )
-    steps = steps.withColumn("op", op)
-    arg = (
-        F.when(F.col("op") == "indexed", F.regexp_replace(tok, r"\.[0-9]+$", ""))
-        .when(F.col("op") == "text_match", F.trim(F.substring(tok, 6, 1 << 30)))
-        .when(F.col("op").isin("select", "attr", "xpath", "xpath_text"), tok)
-        .otherwise(F.lit(""))
-    )
-    number = F.regexp_extract(tok, r"\.([0-9]+)$", 1).try_cast("int")
-    n = F.when(F.col("op").isin("indexed", "child"), F.coalesce(number, F.lit(0))).otherwise(F.lit(0))
+    tok, first = F.col("tok"), F.col("step_no") == 0
+
+    def chosen(value) -> Column:
+        """What the first form says that the token has."""
+        by = lambda forms: F.coalesce(*[F.when(tok.rlike(pattern), value(op, pattern)) for op, pattern in forms])
+        return F.when(first, by(FIRST_FORMS)).otherwise(by(LATER_FORMS))
+
+    steps = steps.withColumn("op", chosen(lambda op, _: F.lit(op)))
+    arg = chosen(lambda _, pattern: F.regexp_extract(tok, pattern, 1))
+    number = F.regexp_extract(tok, NUMBER, 1).try_cast("int")
+    n = F.when(F.col("op").isin(NUMBERED), F.coalesce(number, F.lit(0))).otherwise(F.lit(0))
     return steps.select("rule_id", "step_no", "op", arg.alias("arg"), n.alias("n"))
 
 
 def split_rule(rule: str) -> list[tuple[str, str, int]]:
-    """The same for one rule while a plan is built: ``[(op, arg, n), …]``."""
+    """The same for one rule while a plan is built, XPath translated: ``[(op, arg, n), …]``."""
     out: list[tuple[str, str, int]] = []
-    for i, raw in enumerate(re.split(r"(?<!\\)@", rule.strip())):
+    for i, raw in enumerate(re.split(STEP_MARK, rule.strip())):
         tok = raw.replace("\\@", "@").strip()
-        number = re.search(r"\.(\d+)$", tok)
-        if i == 0:
-            if looks_like_xpath(tok):
-                css, wants_text = xpath_steps(tok)
-                out.append(("select", css, 0))
-                if wants_text:
-                    out.append(("text", "", 0))
-            else:
-                out.append(("select", tok, 0))
-        elif tok in STEP_WORDS:
-            out.append((STEP_WORDS[tok], "", 0))
-        elif tok.startswith("child."):
-            out.append(("child", "", int(number[1]) if number else 0))
-        elif looks_like_xpath(tok):
-            css, wants_text = xpath_steps(tok)
-            out.append(("text", "", 0) if wants_text else ("select", css, 0))
-        elif number and tok[:number.start()].strip():
-            out.append(("indexed", tok[:number.start()], int(number[1])))
-        elif tok.startswith(("tag.", "id.", "class.")):
-            out.append(("select", tok, 0))
-        elif tok.startswith("text."):
-            out.append(("text_match", tok[5:].strip(), 0))
-        elif tok.lower() in SELECTOR_TAGS:
-            out.append(("select", tok, 0))
+        op, found = next((op, m) for op, pattern in (LATER_FORMS if i else FIRST_FORMS) if (m := re.search(pattern, tok)))
+        number = re.search(NUMBER, tok) if op in NUMBERED else None
+        if op.startswith("xpath"):
+            out.append(("select", xpath_selector(found[1]), 0))
+            out += [("text", "", 0)] * (op == "xpath_text")
         else:
-            out.append(("attr", tok, 0))
+            out.append((op, found[1], int(number[1]) if number else 0))
     return out
 
 

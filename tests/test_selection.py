@@ -13,13 +13,13 @@ LIST = """<html><head><title>T</title></head><body><div class="list">
 <div class="item big"><a href="/p/3"><img src="/i/3.png" alt="A3"><span>Third &amp; last</span></a></div>
 </div><div id="content"><p>Body <b>text</b></p><p>More</p></div>
 <div class="pager"><a href="javascript:x()">next</a><a href="/list?page=2">Next page</a></div></body></html>"""
-BUTTON = """<ul><li><a href="/a">A</a><em>import now</em></li><li><a href="/b">B</a><em>plain link</em></li></ul>"""
-NESTED = "<div id=o><p>x<div id=i><span>▶ play all</span><span>play</span></div></div>"
+TIMES = """<table><tr><td><a href="/row/7">Seven</a></td><td>fetch it</td></tr><tr><td><a href="/row/8">Eight</a></td><td>read on</td></tr></table>"""
+NESTED = "<main id=w><i>→ open every chapter</i><div id=v>before<b>open</b></div></main>"
 
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    rows = [(1, "https://s.example/list", LIST), (2, "https://s.example/b", BUTTON), (3, "https://s.example/n", NESTED)]
+    rows = [(1, "https://s.example/list", LIST), (2, "https://s.example/b", TIMES), (3, "https://s.example/n", NESTED)]
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
@@ -54,20 +54,20 @@ def values(nodes, rule, page, pages=None):
     (1, "class.none@text", []),
     (1, "1bad..@x", []),
     (1, "class.pager@text.Next page@href", ["/list?page=2"]),
-    (2, "ul@li@a.0@href", ["/a", "/b"]),
-    (2, "li@all@text.import now", ["import now"]),
-    (2, "ul@tag.a.1@href", ["/b"]),
-    (3, "id.o@text.play", ["play"]),
-    (3, "id.o@text.pla", ["▶ play all", "play"]),
-    (3, "@text", ["x▶ play allplay"]),
-    (3, "div@id", ["o", "i"]),
+    (2, "table@tr@a.0@href", ["/row/7", "/row/8"]),
+    (2, "tr@all@text.fetch it", ["fetch it"]),
+    (2, "table@tag.a.1@href", ["/row/8"]),
+    (3, "id.w@text.open", ["open"]),
+    (3, "id.w@text.ope", ["→ open every chapter", "open"]),
+    (3, "@text", ["→ open every chapterbeforeopen"]),
+    (3, "[id]@id", ["w", "v"]),
 ])
 def test_rules(nodes, page, rule, want):
     assert values(nodes, rule, page) == want
 
 
 def test_both_ways_of_running_rules_agree(spark, nodes, pages):
-    rules = ["class.item@a@href", "//div.item[2]//img@src", "ul@li@a.0@href", "li@all@text.import now", "id.o@text.pla", "class.list@child.1@a@href",
+    rules = ["class.item@a@href", "//div.item[2]//img@src", "table@tr@a.0@href", "tr@all@text.fetch it", "id.w@text.ope", "class.list@child.1@a@href",
              "class.big@prev@a@href", "span@parent@parent@parent@class", "@text", "div.list span", "id.content@ownText", "p@html", "b@outerHtml"]
     start = nodes.filter("node_id = 0").select("page_id", F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule_id"), F.lit(0).alias("ctx"),
                                                "node_id", F.array().cast("array<int>").alias("ord"))
@@ -87,8 +87,8 @@ def test_markup_is_the_source(nodes, pages):
 
 
 def test_a_match_keeps_itself_and_is_not_descended_into(nodes):
-    assert sorted(r["node_id"] for r in sel.select_within(sel.select_nodes(nodes, "#o"), nodes, "div").collect()) == [
-        r["node_id"] for r in nodes.filter(F.col("attrs")["id"] == "o").collect()]
+    assert sorted(r["node_id"] for r in sel.select_within(sel.select_nodes(nodes, "#v"), nodes, "div").collect()) == [
+        r["node_id"] for r in nodes.filter(F.col("attrs")["id"] == "v").collect()]
 
 
 def test_node_table_is_a_tree():
@@ -119,7 +119,7 @@ def test_odd_pages_do_not_stop_the_job():
 
 SOURCES = [
     (0, "class.item@all", "span@text", "a@href", "img@src", "", "id.content", False),
-    (1, "li@all", "a@text", "em@onclick", "", "", "", True),
+    (1, "tr@all", "a@text", "td@onclick", "", "", "", True),
     (2, "class.gone", "a@text", "a@href", "", "", "", False),
 ]
 
@@ -128,7 +128,7 @@ SOURCES = [
 def shop(spark):
     sources = spark.createDataFrame(SOURCES, "source_no int, rule_articles string, rule_title string, rule_link string, rule_image string, "
                                              "rule_pub_date string, rule_content string, enable_js boolean")
-    rows = [(1, "https://s.example/list", LIST, 0), (2, "https://s.example/b", BUTTON, 1), (3, "https://s.example/x", LIST, 2), (4, "https://s.example/q", "<p>quiet</p>", 2)]
+    rows = [(1, "https://s.example/list", LIST, 0), (2, "https://s.example/b", TIMES, 1), (3, "https://s.example/x", LIST, 2), (4, "https://s.example/q", "<p>quiet</p>", 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, source_no int")
     nodes = shred_pages(pages).cache()
     boxes = lists.extract_containers(pages, nodes, sources).cache()
