@@ -279,10 +279,13 @@ def b12(spark, sf):
 SELECT url, name, added_at FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY added_at DESC) AS rn FROM (
   SELECT 'c' || CAST(o_custkey AS STRING) AS url, o_orderpriority AS name, o_orderdate + to_seconds(o_orderkey) AS added_at FROM orders) a) b WHERE rn = 1
 UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), c_name, TIMESTAMP '2020-01-01' FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT 's' || CAST(s_suppkey AS STRING), s_name, TIMESTAMP '2020-01-01' FROM supplier""")
 def b13(spark, sf):
-    c = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("url"), F.col("c_name").alias("name"),
-                                            F.lit("2020-01-01").cast("timestamp_ntz").alias("added_at"))
+    """Customers and suppliers are there already; orders come in, for customers only."""
+    there = lambda name, mark, key, label: table(spark, sf, name).select(
+        F.concat(F.lit(mark), F.col(key).cast("string")).alias("url"), F.col(label).alias("name"), F.lit("2020-01-01").cast("timestamp_ntz").alias("added_at"))
+    c = there("customer", "c", "c_custkey", "c_name").union(there("supplier", "s", "s_suppkey", "s_name"))
     o = table(spark, sf, "orders").select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("url"), F.col("o_orderpriority").alias("name"),
         F.timestamp_add("SECOND", F.col("o_orderkey").cast("int"), F.col("o_orderdate")).cast("timestamp_ntz").alias("added_at"))
