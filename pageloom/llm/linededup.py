@@ -45,6 +45,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = lines(buffer, borders)
             rolling = np.concatenate([np.full(min(SPAN - 1, len(spans.hash)), 1, np.uint64), grams(spans.hash, SPAN)])
             wanted = rolling % np.uint64(EVERY) == 0
+            wanted[spans.first[:-1]] = False  # the hash of a text's first line sees the text before it
             wanted[1:] &= ~wanted[:-1]  # of neighbours only the first, so a chunk has two lines, whatever stands before it
             blank = np.concatenate([[0], np.cumsum(spans.end > spans.start)])
             owner, at, first, last = [], [], [], []

@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
-from pageloom.llm.linededup import dedup_lines
+import pyarrow as pa
+
+from pageloom.llm.linededup import _chunks, dedup_lines
 from tests.llm.helpers import empty, frame, prose
 
 
@@ -38,5 +40,26 @@ def test_repeated_blocks_go_and_all_else_stays(spark):
     assert sorted(((r.doc_id, r.text) for r in plain.collect()), key=repr) == sorted(((r.doc_id, r.text) for r in found), key=repr)
 
 
+def test_chunks_of_a_text_do_not_depend_on_the_text_before_it(spark):
+    rng = random.Random(13)
+    copies = ["\n".join(prose(rng, 5) for _ in range(rng.randint(2, 9))) for _ in range(60)]
+
+    def chunks(texts):
+        n = len(texts)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], names=["key", "mark", "text"])
+        return [c for part in _chunks(iter([batch])) for c in part.column("chunks").to_pylist()]
+
+    alone = [chunks([t])[0] for t in copies]
+    for _ in range(5):
+        mixed = [x for t in copies for x in (prose(rng, 3) + "\n" + prose(rng, 4), t)]
+        assert chunks(mixed)[1::2] == alone
+    rows = [(i, t) for i, t in enumerate(copies)]
+    rows += [(1000 + 2 * i + j, x) for i, t in enumerate(copies) for j, x in enumerate((prose(rng, 6), t))]
+    for parts in (1, 7):
+        lost = {r.doc_id: r.n_removed_lines for r in dedup_lines(frame(spark, rows, parts)).collect()}
+        for i, own in enumerate(alone):
+            assert lost[i] == 0 and lost[1000 + 2 * i + 1] == sum(c["lines"] for c in own if c["lines"] >= 2)
+
+
 def test_empty(spark):
     assert dedup_lines(empty(spark)).collect() == []
