@@ -1,4 +1,4 @@
-from pageloom.llm.licenses import NOTICES, known_licenses, scan_licenses
+from pageloom.llm.licenses import NOTICES, TEXTS, known_licenses, scan_licenses
 from tests.llm.helpers import empty, frame
 
 
@@ -21,6 +21,25 @@ def test_variants(spark):
     assert list(by[None].whole_licenses) == ["Apache-2.0"]
 
 
+def test_texts_of_several_paragraphs_inside_a_longer_file(spark):
+    texts = {path.stem.split("~")[0]: path.read_text() for path in sorted(TEXTS.glob("*.txt")) if "~" not in path.stem} | {"0BSD": NOTICES["0BSD"][0]}
+    names = sorted(texts)
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "MPL-2.0", "Unlicense", "0BSD"} < set(names) and len(names) == 12
+    rows = [(i, texts[name]) for i, name in enumerate(names)]
+    rows += [(100 + i, f"before\n\nit\n\n\n{texts[name]}\n\nbehind\nit\n") for i, name in enumerate(names)]
+    head, _, tail = texts["MIT"].partition("\n\n")
+    rows += [(200, f"The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n{texts['MIT']}"), (201, f"{head}\n\nan insertion\n\n{tail}"), (202, f"x\n\n{tail}"),
+             (203, f"{texts['MIT']}\n\n{texts['0BSD']}\n\n{texts['MIT']}"), (204, f"x\n\n{head}\n\n{texts['MIT']}"), (205, f"x\n\nMIT License\n\n{texts['MIT']}")]
+    by = {r.doc_id: r for r in scan_licenses(frame(spark, rows), known_licenses(spark)).collect()}
+    for i, name in enumerate(names):
+        assert list(by[i].whole_licenses) == name.split(",") == list(by[100 + i].licenses), name
+        assert list(by[100 + i].whole_licenses) == [] and by[i].n_matches == 1 == by[100 + i].n_matches
+    assert list(by[200].whole_licenses) == ["MIT"]
+    assert all(by[i].n_matches == 0 and list(by[i].licenses) == [] for i in (201, 202))
+    assert list(by[203].licenses) == ["0BSD", "MIT"] and by[203].n_matches == 3
+    assert list(by[204].licenses) == ["MIT"] == list(by[205].licenses) and by[204].n_matches == 1 == by[205].n_matches
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "license_id string, text string")
     assert [(r.n_matches, list(r.licenses)) for r in scan_licenses(frame(spark, [(1, "MIT")]), none).collect()] == [(0, [])]
