@@ -1,27 +1,35 @@
 """Secret scans: fixed patterns, and a character network over every candidate in its surroundings.
 
 The patterns' findings are always reported. Beyond them a candidate is a run of
-16 or more characters of the kind secrets are made of. A convolutional network reads ``BEFORE`` characters before
-it, its first ``INSIDE``, and ``AFTER`` behind it: characters are embedded,
-convolved, pooled by their maximum, and weighed. Training, a few thousand
+16 or more characters of the kind secrets are made of, or what the patterns' findings leave of
+one. A convolutional network reads it whole, in windows of ``INSIDE`` characters a ``STEP`` apart, each with ``BEFORE``
+characters before it and ``AFTER`` behind it: characters are embedded,
+convolved, pooled by their maximum, and weighed. A candidate's score is the
+highest of its windows. Training, a few thousand
 windows, runs on the driver; reading runs in the tasks, in batches.
 
-Labels come from the patterns: candidates that one of them found are findings,
-others are not. A bounded sample is taken: of documents a share by the hash of
+Labels come from the patterns: windows that lie over what one of them found are findings,
+others are not, but those that look like keys (``keylike``) are no examples of either. Of every other
+assignment the keyword is left out, so that the value is known without it, and
+each value is shown once more in another alphabet.
+A bounded sample is taken: of documents a share by the hash of
 their key, about ``DOCUMENTS`` in all, and of those ``EXAMPLES`` of either label.
 A fifth is kept aside: there scores are calibrated (a logistic curve over the
-network's output), and the threshold is the highest one that still finds
-``RECALL`` of the findings, ``LEAST_SURE`` at least.
+network's output), and the threshold lies half-way between the highest one that still finds
+``RECALL`` of the findings, however low, and the next other example. What no pattern describes has no labels:
+for such secrets ``RECALL`` is not promised.
 
 Defined results: a null text is an empty one and has no findings. Positions
-count code points. Spans of the network that touch one of a pattern are left
-out. With too few labels of one kind there is no network, only the patterns.
+count code points. Spans of the network never overlap one of a pattern. With too few labels of one kind there is no network, only the patterns.
 Each row gives a row, repeated ones and null keys included.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,16 +48,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are found whole, so the length may stand in the pattern
 KINDS = ("assign", "access", "hex")
 
+LEAST = 16  # characters of a candidate
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 BEFORE, INSIDE, AFTER = 16, 32, 8
 WINDOW = BEFORE + INSIDE + AFTER
+STEP = 16
+READ = 8192  # windows read together
 EMBEDDED, WIDTH, FILTERS = 8, 5, 24
 
 DOCUMENTS = 20_000
 EXAMPLES = 3_000
 EPOCHS = 12
 RECALL = 0.98
-LEAST_SURE = 0.5
+LEAST_SURE = 0.0  # no floor: the threshold is the one that RECALL asks for
 
 # Characters as the network sees them: printable ASCII, the line feed, any other, and none.
 _OTHER, _NONE, _ALPHABET = 96, 97, 98
@@ -69,6 +80,29 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in CANDIDATE.finditer(text)]
 
 
+def places(start: int, end: int) -> list[tuple[int, int]]:
+    """Where the windows of a candidate stand; together they cover it."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(at, at + INSIDE) for at in (*range(start, end - INSIDE, STEP), end - INSIDE)]
+
+
+def beside(start: int, end: int, found: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What findings, by their start, leave of a candidate, in pieces long enough to be one."""
+    out = []
+    for s, e, _ in found:
+        if s < end and start < e:
+            out.append((start, s))
+            start = max(start, e)
+    return [(s, e) for s, e in [*out, (start, end)] if e - s >= LEAST]
+
+
+def keylike(run: str) -> bool:
+    """Could a run be a key that no pattern describes? Letters and digits, or capitals and small letters, change often in it."""
+    kinds = ["0" if c.isdigit() else "A" if c.isupper() else "a" for c in run if c.isalnum()]
+    return sum(a != b for a, b in zip(kinds, kinds[1:])) >= max(4, len(kinds) // 5)
+
+
 def window(text: str, start: int, end: int) -> str:
     """A candidate in its surroundings, each part filled up with NUL."""
     before = text[max(0, start - BEFORE): start].rjust(BEFORE, "\0")
@@ -143,19 +177,47 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
         net.slope -= 0.05 * float(((p - label) * raw).mean())
         net.offset -= 0.05 * float((p - label).mean())
     found = np.sort(net.probability(x[aside][label == 1]))
-    net.threshold = max(LEAST_SURE, float(found[int((1 - RECALL) * len(found))]) if len(found) else 1.0)
+    net.threshold = float(found[int((1 - RECALL) * len(found))]) if len(found) else 1.0
+    # Anything down to the next of the others finds no more of them: half-way there, for secrets unlike the labelled ones.
+    below = [p for p in net.probability(x[aside][label == 0]) if p < net.threshold]
+    if below:
+        net.threshold = (net.threshold + float(max(below))) / 2
     return net
 
 
+def examples(text: str) -> list[tuple[str, int]]:
+    """Windows of a text and their labels."""
+    out, found, hidden = [], base_findings(text), set()
+    for m in ASSIGN.finditer(text):
+        if len(m[2]) >= LEAST and zlib.crc32(m[2].encode()) % 2:
+            hidden.add(m.span())
+            value = text[: m.start()][-BEFORE:] + m[2] + text[m.end(): m.end() + AFTER]
+            low = min(BEFORE, m.start())
+            out += [(window(value, s, e), 1) for s, e in places(low, low + len(m[2]))]
+    # What keys of other kinds could look like: each value again in capitals or in the letters of base 64, without its keyword.
+    values = [(m.start(), m[2], m.end()) for m in ASSIGN.finditer(text)] + [(s, text[s:e], e) for s, e, kind in found if kind != "assign"]
+    for start, value, end in values:
+        if len(value) >= LEAST:
+            low, code = min(BEFORE, start), zlib.crc32(value.encode())
+            other = value.upper() if code // 2 % 2 else (base64.b64encode(hashlib.sha512(value.encode()).digest()).decode() * (len(value) // 88 + 1))[: len(value)]
+            around = text[:start][-BEFORE:] + other + text[end: end + AFTER]
+            out += [(window(around, s, e), 1) for s, e in places(low, low + len(other))]
+    for start, end in candidates(text):
+        touched = [(s, e) for s, e, _ in found if s < end and start < e]
+        for s, e in places(start, end):
+            over = max([min(e, e2) - max(s, s2) for s2, e2 in touched], default=0)
+            if over >= LEAST:
+                if not any(s < e2 and s2 < e for s2, e2 in hidden):
+                    out.append((window(text, s, e), 1))
+            elif over <= 0 and not keylike(text[s:e]):
+                out.append((window(text, s, e), 0))
+    return out
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for batch in batches for part in slices(batch, "text")):
-        windows, labels = [], []
-        for text in batch.column("text").to_pylist():
-            found = base_findings(text)
-            for start, end in candidates(text):
-                windows.append(window(text, start, end))
-                labels.append(int(any(s < end and start < e for s, e, _ in found)))
-        yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(labels, pa.int32())], names=["window", "label"])
+        rows = [row for text in batch.column("text").to_pylist() for row in examples(text)]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int32())], names=["window", "label"])
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Network | None:
@@ -172,6 +234,24 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Network |
     return train(encode([r.window for r in rows]), y)
 
 
+def highest(net: Network, texts: list[str], spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """The highest probability of each span's windows; spans are (number of the text, start, end)."""
+    best, waiting = np.zeros(len(spans)), []
+
+    def read() -> None:
+        np.maximum.at(best, np.array([k for k, _ in waiting], np.int64), net.probability(encode([w for _, w in waiting])))
+        waiting.clear()
+
+    for k, (i, start, end) in enumerate(spans):
+        for s, e in places(start, end):
+            waiting.append((k, window(texts[i], s, e)))
+            if len(waiting) == READ:
+                read()
+    if waiting:
+        read()
+    return best
+
+
 def _scanned(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     net: Network | None = shared.value
     for batch in (part for batch in batches for part in slices(batch, "text")):
@@ -179,16 +259,10 @@ def _scanned(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[p
         base = [base_findings(t) for t in texts]
         beyond: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         if net is not None:
-            spans, windows = [], []
-            for i, text in enumerate(texts):
-                for start, end in candidates(text):
-                    if not any(s < end and start < e for s, e, _ in base[i]):
-                        spans.append((i, start, end))
-                        windows.append(window(text, start, end))
-            if windows:
-                for (i, start, end), p in zip(spans, net.probability(encode(windows))):
-                    if p >= net.threshold:
-                        beyond[i].append((start, end, "network"))
+            spans = [(i, *span) for i, text in enumerate(texts) for run in candidates(text) for span in beside(*run, base[i])]
+            for (i, start, end), p in zip(spans, highest(net, texts, spans)):
+                if p >= net.threshold:
+                    beyond[i].append((start, end, "network"))
         kinds = (*KINDS, "network")
         every = [sorted(a + b, key=lambda f: (f[0], kinds.index(f[2]))) for a, b in zip(base, beyond)]
         found = pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in fs] for fs in every],

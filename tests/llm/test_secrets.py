@@ -58,3 +58,20 @@ def test_without_labels_and_empty(spark):
     assert secrets.learn(frame(spark, [(1, "nothing here")])) is None
     assert [len(r.findings) for r in secrets.scan_secrets(frame(spark, [(1, "secret=abcdefg")]), None).collect()] == [1]
     assert secrets.learn(empty(spark)) is None and secrets.scan_secrets(empty(spark), None).collect() == []
+
+
+def test_candidates_are_read_to_their_end(spark):
+    rng = random.Random(21)
+    assert all(set(range(a, a + n)) == {i for s, e in secrets.places(a, a + n) for i in range(s, e)} for a in (0, 7) for n in (16, 32, 33, 48, 200))
+    assert secrets.beside(0, 60, [(20, 40, "hex")]) == [(0, 20), (40, 60)] and secrets.beside(0, 60, [(5, 50, "hex")]) == []
+    assert secrets.keylike(hexes(rng, 32).upper()) and not secrets.keylike("some/long/path/without_keys")
+    net = secrets.learn(frame(spark, documents(rng)))
+    path = "".join(rng.choice("lorem") for _ in range(70)) + "/"
+    # The fixed patterns miss keys of under 24 digits behind other words.
+    keys = [hexes(rng, 23) for _ in range(40)]
+    rows = [(i, f"{prose(rng, 4)} {path}{key}") for i, key in enumerate(keys)] + [(100 + i, f"{prose(rng, 4)} see {key} {prose(rng, 4)}") for i, key in enumerate(keys)]
+    rows += [(200, f"{prose(rng, 4)} {path}")]
+    assert not any(secrets.base_findings(t) for _, t in rows)
+    found = {r.doc_id: [f.kind for f in r.findings] for r in secrets.scan_secrets(frame(spark, rows), net).collect()}
+    assert sum(found[i] == ["network"] for i in range(40)) >= 36 and sum(found[100 + i] == ["network"] for i in range(40)) >= 36
+    assert found[200] == []
