@@ -6,6 +6,10 @@ chunks below as they are. A chunk of several lines that stands in the corpus
 more than once, byte for byte, stays where it stands first (in order of key,
 text and place) and is removed elsewhere.
 
+Only whole chunks inside a repeated passage are removed; what it has before its
+first and behind its last boundary stays, so in other surroundings short
+passages are mostly missed (the README gives measured shares by length).
+
 Chunks are first counted by hash alone, in rows of a few numbers. Only chunks
 whose hash repeats are cut out of their texts and compared byte by byte, in a
 join on hash and text with the first place of each, so a group of any number of
