@@ -13,6 +13,9 @@ its words if there are fewer) adds 1 or -1 to one of them, both chosen by its ha
 The difference of two fingerprints is the fingerprint of what only one of the
 texts has, and the squares of its components add up, in expectation, to how much
 that is; likeness is 1 less its share of the two texts' own squares.
+With ``LIKE`` components it is coarse: measured on pairs of one size, its error (root
+of the mean square) is 0.09 where nothing is shared (up to 0.36 of 400 pairs), 0.12 where a quarter
+is, 0.10 at a half, 0.06 at three quarters and 0.03 at nine tenths.
 
 Everything is column expressions and aggregates. Runs of words are exploded and
 summed in the task that holds the text.
