@@ -17,6 +17,7 @@ from pageloom.llm.licenses import known_licenses, scan_licenses
 from pageloom.llm.linededup import dedup_lines
 from pageloom.llm.neardup import jaccard_join
 from pageloom.llm.packing import pack
+from pageloom.llm.runs import periodic_runs
 from pageloom.llm.shards import read_shards, write_shards
 from pageloom.llm.substrings import remove_repeats
 from pageloom.llm.sql import DECONTAMINATION_SQL, LICENSES_SQL
@@ -89,10 +90,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # In one document of ten the words from number a on repeat the p that stand there.
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("words")
+    a = F.when(n > 0, g % n)
+    p = F.when(n > 0, 1 + F.floor((n - a) / (3 + g % 8)))
+    docs = _documents(spark, sf_dir).select("doc_id", "text", F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"))
+    docs = docs.select("doc_id", "text", "words", a.cast("int").alias("a"), p.cast("int").alias("p"))
+    repeated = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    found = periodic_runs(docs.select("doc_id", F.when(F.size("words") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text")))
+    # The longest run, of those the first, of those the one with the shortest period.
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("s"), r["period"].alias("q")))
+    longest = F.array_min(order)
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    return found.withColumn("w", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("w.s").alias("start"), (-F.col("w.n")).alias("length"), F.col("w.q").alias("period"),
+        F.floor(-1000 * F.col("w.n") / F.col("w.q")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 LLM_QUERIES = {
     f.__name__: f for f in (
         op1_language_id, op2_best_fit_packing, op3_license_scan, op4_token_shards, op5_jaccard_join, op6_winnowing, op7_suffix_array_dedup,
-        op8_document_fingerprints, op9_secret_scan, op10_line_dedup)
+        op8_document_fingerprints, op9_secret_scan, op10_line_dedup, op11_periodic_runs)
 } | {"pipeline": corpus_pipeline.run}
 
 LLM_ORACLES = {"op3_license_scan": LICENSES_SQL, "op6_winnowing": DECONTAMINATION_SQL}
