@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pageloom.llm import langid, secrets
+from pageloom.llm.binpack import shard_by_size
 from pageloom.llm.decontaminate import decontaminate
 from pageloom.llm.fingerprints import fingerprint_edits
 from pageloom.llm.licenses import known_licenses, scan_licenses
@@ -110,10 +111,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shard_by_size(_documents(spark, sf_dir), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 LLM_QUERIES = {
     f.__name__: f for f in (
         op1_language_id, op2_best_fit_packing, op3_license_scan, op4_token_shards, op5_jaccard_join, op6_winnowing, op7_suffix_array_dedup,
-        op8_document_fingerprints, op9_secret_scan, op10_line_dedup, op11_periodic_runs)
+        op8_document_fingerprints, op9_secret_scan, op10_line_dedup, op11_periodic_runs,
+        op12_balanced_shards)
 } | {"pipeline": corpus_pipeline.run}
 
 LLM_ORACLES = {"op3_license_scan": LICENSES_SQL, "op6_winnowing": DECONTAMINATION_SQL}
