@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pageloom.llm import langid, secrets
 from pageloom.llm.binpack import shard_by_size
+from pageloom.llm.codes import compress, digest
 from pageloom.llm.decontaminate import decontaminate
 from pageloom.llm.fingerprints import fingerprint_edits
 from pageloom.llm.licenses import known_licenses, scan_licenses
@@ -21,7 +22,7 @@ from pageloom.llm.packing import pack
 from pageloom.llm.runs import periodic_runs
 from pageloom.llm.shards import read_shards, write_shards
 from pageloom.llm.substrings import remove_repeats
-from pageloom.llm.sql import DECONTAMINATION_SQL, LICENSES_SQL
+from pageloom.llm.sql import CODES_SQL, DECONTAMINATION_SQL, LICENSES_SQL
 from pageloom.session import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -116,13 +117,18 @@ def op12_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
 LLM_QUERIES = {
     f.__name__: f for f in (
         op1_language_id, op2_best_fit_packing, op3_license_scan, op4_token_shards, op5_jaccard_join, op6_winnowing, op7_suffix_array_dedup,
         op8_document_fingerprints, op9_secret_scan, op10_line_dedup, op11_periodic_runs,
-        op12_balanced_shards)
+        op12_balanced_shards, op13_vector_codes)
 } | {"pipeline": corpus_pipeline.run}
 
-LLM_ORACLES = {"op3_license_scan": LICENSES_SQL, "op6_winnowing": DECONTAMINATION_SQL}
+LLM_ORACLES = {"op3_license_scan": LICENSES_SQL, "op6_winnowing": DECONTAMINATION_SQL, "op13_vector_codes": CODES_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -63,3 +63,29 @@ SELECT f.doc_id, (SELECT max(h.d) FROM hashed h WHERE h.row = f.row AND h.kind =
 FROM forms f LEFT JOIN (
   SELECT row, string_agg(DISTINCT license_id, ',' ORDER BY license_id) FILTER (kind = 'whole') AS whole_licenses, count(DISTINCT u) AS n_matches,
          string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS licenses FROM met GROUP BY row) m USING (row)"""
+
+
+def _codes_sql() -> str:
+    """Two rounds and the last assignment, every part against every entry."""
+    finite = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    gap = "list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = (
+        "SELECT row, label, vec_id, p, any_value(x) AS x, min(d * 64 + e) % 64 AS e, min(d * 64 + e) // 64 AS d FROM ("
+        f"SELECT row, label, vec_id, parts.p, x, e, CAST({gap} AS BIGINT) AS d FROM parts JOIN {{book}} b ON parts.p = b.p) t GROUP BY row, label, vec_id, p")
+    mean = (
+        "SELECT o.p, o.e, coalesce(m.y, o.y) AS y FROM {book} o LEFT JOIN (SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS y FROM ("
+        "SELECT p, e, i, CAST(sum(x[i]) AS DOUBLE) AS s, count(*) AS n FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM {near}) u GROUP BY p, e, i) v "
+        "GROUP BY p, e) m ON o.p = m.p AND o.e = m.e")
+    return f"""WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND {finite}),
+parts AS (SELECT row, vec_id, label, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x FROM (SELECT *, unnest(range(16)) AS p FROM kept) k),
+b0 AS (SELECT p, row - 1 AS e, x AS y FROM parts WHERE row <= 64),
+n0 AS ({near.format(book='b0')}), b1 AS ({mean.format(book='b0', near='n0')}),
+n1 AS ({near.format(book='b1')}), b2 AS ({mean.format(book='b1', near='n1')}),
+n2 AS ({near.format(book='b2')}),
+coded AS (SELECT row, vec_id, label, string_agg(lower(printf('%02x', CAST(e AS INT))), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM n2 GROUP BY row, vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS h FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM coded, books"""
+
+
+CODES_SQL = _codes_sql()
