@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.jsonpath import first_text, json_path, path_steps
+from pageloom.functions.jsonpath import (
+    STEP_TYPE, first_text, json_field_default, json_first_of, json_path, json_select, json_text, let, path_plan, path_steps, split_branches_by)
 from pageloom.functions.text import executable
 
 # --- fixed values -----------------------------------------------------------
@@ -98,8 +99,6 @@ def render_template(v: Column, template: str, now: Column | None = None) -> Colu
 
 def json_field(v: Column, rule: str, field: str) -> Column:
     """The value of one field rule on a JSON container, defaults included."""
-    from pageloom.functions.jsonpath import json_field_default, json_first_of
-
     tries = []
     text = rule.strip()
     if text and "##" not in text and "{{" not in text:
@@ -113,6 +112,102 @@ def json_field(v: Column, rule: str, field: str) -> Column:
     return F.coalesce(*[F.when(F.trim(t) != "", t) for t in tries], F.lit(""))
 
 
+# --- rules as data ---------------------------------------------------------------
+
+
+def _checked(pattern: Column) -> Column:
+    """A pattern that the regex engine takes, null for any other."""
+    return F.when(F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), pattern, F.lit("")).isNotNull(), pattern)
+
+
+def _checked_replacement(text: Column, pattern: Column) -> Column:
+    """:func:`_replacement` for columns."""
+    bare = F.regexp_replace(F.regexp_replace(pattern, r"\\.", ""), r"\[[^\]]*\]", "")
+    groups = F.regexp_count(bare, F.lit(r"\((?!\?)|\(\?<[A-Za-z]"))
+
+    def one(t: Column) -> Column:
+        name = F.regexp_extract(t, r"^\$\{?(\w+)\}?$", 1)
+        known = pattern.contains(F.concat(F.lit("(?<"), name, F.lit(">")))
+        return (
+            F.when(t.isin("$", "$$"), F.lit(r"\$")).when(t == "\\", F.lit("\\\\")).when(name == "", t)
+            .when(name.rlike("^[0-9]+$"), F.when(name.try_cast("int") <= groups, F.concat(F.lit("$"), name)).otherwise(""))
+            .when(known, F.concat(F.lit("${"), name, F.lit("}"))).otherwise(""))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\$\$|\$\{\w+\}|\$\w+|\$|\\|[^$\\]+)"), F.lit(1)), one), "")
+
+
+def _cleaned_by(suffix: Column) -> tuple[Column, Column]:
+    """Pattern and replacement of a ``pattern##replacement`` half; a pattern that does not compile is null."""
+    raw = F.substring_index(suffix, "##", 1)
+    pattern = _checked(F.when(raw.endswith("!"), F.concat(F.lit("(?i)"), F.substr(raw, F.lit(1), F.length(raw) - 1))).otherwise(raw))
+    by = F.when(suffix.contains("##"), F.substr(suffix, F.instr(suffix, "##") + 2)).otherwise("")
+    return pattern, _checked_replacement(by, pattern)
+
+
+PIECE_TYPE = "struct<text:string,hole:boolean,now:boolean,pattern:string,by:string>"
+RULE_TYPE = f"struct<template:boolean,plans:array<array<{STEP_TYPE}>>,pieces:array<{PIECE_TYPE}>,pattern:string,by:string>"
+
+
+def rule_plan(rule: Column) -> Column:
+    """A column of JSON rules taken apart: the paths of its branches, or of the pieces of a template, and the clean-up behind ``##``."""
+    return let(F.trim(rule), _rule_plan)
+
+
+def _behind(text: Column) -> Column:
+    return F.when(text.contains("##"), F.substr(text, F.instr(text, "##") + 2))
+
+
+def _rule_plan(text: Column) -> Column:
+    template = text.contains("{{")
+    inner_of = lambda t: F.trim(F.regexp_extract(t, r"(?s)^\{\{(.+)\}\}$", 1))
+    subject_of = lambda t: F.trim(F.substring_index(t, "##", 1))
+    none = F.lit(None).cast("string")
+
+    def piece(t: Column) -> Column:
+        inner = inner_of(t)
+        pattern, by = _cleaned_by(_behind(inner))
+        return F.struct(t.alias("text"), (inner != "").alias("hole"), subject_of(inner).isin("now", "$.now").alias("now"),
+                        pattern.alias("pattern"), by.alias("by")).cast(PIECE_TYPE)
+
+    def path_of(t: Column) -> Column:
+        path = subject_of(inner_of(t))
+        return F.when((path != "") & ~path.startswith("@js:") & ~path.startswith("<js>"), path).otherwise(none)
+
+    pieces = F.filter(F.split(text, r"(?=\{\{)|(?<=\}\})"), lambda t: t != "")
+    paths = (
+        F.when(template, F.transform(pieces, path_of)).when(text.contains("##"), F.array(subject_of(text)))
+        .otherwise(split_branches_by(text)))
+    pattern, by = _cleaned_by(_behind(text))
+    return F.struct(
+        template.alias("template"), F.transform(paths, path_plan).alias("plans"), F.when(template, F.transform(pieces, piece)).alias("pieces"),
+        F.when(~template, pattern).alias("pattern"), F.when(~template, by).alias("by")).cast(RULE_TYPE)
+
+
+def json_by_rule(v: Column, plan: Column, now: Column | None = None) -> Column:
+    """What a rule taken apart (:func:`rule_plan`) makes of a JSON value; nothing where it finds nothing."""
+    moment = F.date_format(now if now is not None else F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    cleaned = lambda value, by: F.when(by["pattern"].isNotNull(), F.regexp_replace(value, by["pattern"], by["by"])).otherwise(value)
+
+    def value(steps: Column) -> Column:
+        # A hole takes the first value, a branch the first that is not blank.
+        return let(F.transform(json_select(v, steps), json_text), lambda texts: F.coalesce(
+            F.when(plan["template"], F.get(texts, F.lit(0))).otherwise(first_text(texts)), F.lit("")))
+
+    def shown(values: Column) -> Column:
+        filled = F.zip_with(plan["pieces"], values, lambda p, x: F.when(
+            p["hole"], cleaned(F.when(p["now"], moment).otherwise(F.coalesce(x, F.lit(""))), p)).otherwise(p["text"]))
+        return F.when(plan["template"], F.array_join(filled, "")).otherwise(cleaned(first_text(values), plan))
+
+    return let(F.transform(plan["plans"], value), shown)
+
+
+def json_fields_by(v: Column, plans: Column, fields: list[str]) -> Column:
+    """:func:`json_field` for an array of rules taken apart, one for each of ``fields``."""
+    found = F.transform(plans, lambda plan: json_by_rule(v, plan))
+    usual = F.array(*[json_field_default(v, field) for field in fields])
+    return F.zip_with(found, usual, lambda a, b: F.when(F.trim(a) != "", a).otherwise(b))
+
+
 def fill_vars(template: Column, values: Column) -> Column:
     """Fill ``{{k}}`` and ``<k>`` slots from a map, in key order."""
     entries = F.array_sort(F.map_entries(values))

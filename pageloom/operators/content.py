@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.jsonpath import first_text, is_json_body, json_path, json_text
-from pageloom.functions.rules import looks_like_script, render_template
+from pageloom.functions.pretty import indented
+from pageloom.functions.rules import json_by_rule, looks_like_script, render_template, rule_plan
 from pageloom.functions.text import clean_text, decode_entities, html_to_text, page_title_tag, readable_text
 from pageloom.functions.urls import absolute_url
 from pageloom.operators.nodes import page_texts
 from pageloom.operators.rulesets import plan_steps, run_rules
 from pageloom.operators.select import match_simple, node_text
+from pageloom.session import materialize
 
 # --- fixed values -----------------------------------------------------------
 CONTENT_CANDIDATES = [
@@ -46,12 +48,13 @@ def absolutize_urls(html: Column, base: Column) -> Column:
 
 def _content_nodes(pages: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """The one element per page that holds its article: the rule's, else a usual container."""
+    rule = F.col("rule_id")
     src = sources.select("source_no", F.trim("rule_content").alias("rule_id"))
+    src = src.filter((rule != "") & ~looks_like_script(rule) & ~rule.contains("{{") & ~rule.startswith("$"))
     ruled = pages.select("page_id", "source_no").join(src, "source_no")
-    ruled = ruled.filter((F.col("rule_id") != "") & ~looks_like_script(F.col("rule_id")) & ~F.col("rule_id").contains("{{"))
     start = ruled.select("page_id", "rule_id", F.lit(0).alias("ctx"), F.lit(0).alias("node_id"),
                          F.array().cast("array<int>").alias("ord"))
-    steps = plan_steps(src.filter("rule_id <> ''").select("rule_id", F.col("rule_id").alias("rule")).distinct())
+    steps = plan_steps(src.select("rule_id", rule.alias("rule")).distinct())
     size = F.col("src_to") - F.col("src_from")
     at = nodes.select("page_id", "node_id", "src_from", "src_to")
     by_rule = run_rules(nodes, start, steps).join(at, ["page_id", "node_id"]).filter(size > MIN_RULE_BYTES)
@@ -63,21 +66,33 @@ def _content_nodes(pages: DataFrame, nodes: DataFrame, sources: DataFrame) -> Da
         F.min_by(F.struct("rank", "node_id", "src_from", "src_to"), F.struct("rank", "ord")).alias("w")).select("page_id", "w.*")
 
 
+def _with_json_rules(pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """Pages with ``json`` (their parsed body) and ``made``, what their source's template or path makes of it."""
+    rule = F.trim("rule_content")
+    mine = sources.filter(~looks_like_script(rule) & (rule.contains("{{") | rule.rlike(r"^[$@]")))
+    plans = materialize(mine.select("source_no", rule_plan(rule).alias("_plan")), "content_rules")
+    rows = pages.select("page_id", "source_no", "url", "html", F.try_parse_json(F.when(is_json_body(F.col("html")), F.col("html"))).alias("json"))
+    rows = rows.join(plans, "source_no", "left").withColumn("made", F.when(F.col("json").isNotNull(), json_by_rule(F.col("json"), F.col("_plan"))))
+    return rows.withColumn("made", F.when((F.trim("made") != "") & ~F.col("made").contains("{{"), F.col("made"))).drop("_plan")
+
+
 def extract_content(pages: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """article markup and text per page, with where it came from.
 
     ``pages`` carries ``source_no``; relative addresses resolve against the page.
+    A JSON body is put through its source's template or path, as rows for any number of sources; what
+    that leaves goes by the element rule, then a usual container, then as indented JSON or the whole page.
     """
     chosen = _content_nodes(pages, nodes, sources)
-    rows = pages.select("page_id", "source_no", "url", "html").join(chosen, "page_id", "left")
-    json = F.try_parse_json(F.when(is_json_body(F.col("html")), F.col("html")))
+    rows = _with_json_rules(pages, sources).join(chosen, "page_id", "left")
+    made, ranked, is_json = F.col("made").isNotNull(), F.col("rank").isNotNull(), F.col("json").isNotNull()
     cut = F.substring(F.col("html").cast("binary"), F.col("src_from") + 1, F.col("src_to") - F.col("src_from")).cast("string")
-    markup = absolutize_urls(cut, F.col("url"))
-    origin = F.when(F.col("rank") == 0, "rule").when(F.col("rank") > 0, "container").when(json.isNotNull(), "json").otherwise("page")
-    rows = rows.withColumn("origin", origin).withColumn("markup", F.when(F.col("rank").isNotNull(), markup))
-    whole = F.when(F.col("origin") == "json", F.concat(F.lit("<pre>"), decode_entities(F.to_json(json)), F.lit("</pre>"))).otherwise(F.col("html"))
+    origin = F.when(made | (F.col("rank") == 0), "rule").when(ranked, "container").when(is_json, "json").otherwise("page")
+    rows = rows.withColumn("markup", absolutize_urls(F.when(made, F.col("made")).when(ranked, cut), F.col("url"))).withColumn("origin", origin)
+    rows = rows.withColumn("pretty", indented(F.when(F.col("origin") == "json", F.to_json("json"))))
+    whole = F.when(F.col("pretty").isNotNull(), F.concat(F.lit("<pre>"), decode_entities(F.col("pretty")), F.lit("</pre>"))).otherwise(F.col("html"))
     text = F.when(F.col("markup").isNotNull(), html_to_text(F.col("markup"))).when(
-        F.col("origin") == "json", html_to_text(F.to_json(json))).otherwise(readable_text(F.col("html")))
+        F.col("pretty").isNotNull(), html_to_text(F.col("pretty"))).otherwise(readable_text(F.col("html")))
     return rows.select("page_id", "source_no", "origin", F.coalesce("markup", whole).alias("content_html"), text.alias("content_text"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.jsonpath import is_json_body, json_text, json_values
-from pageloom.functions.rules import json_field, looks_like_script
+from pageloom.functions.jsonpath import is_json_body, json_items, json_list_rule, json_select, json_text, json_values, path_plan
+from pageloom.functions.rules import json_field, json_fields_by, looks_like_script, rule_plan
 from pageloom.functions.text import clean_text, html_to_text, meta_refresh
 from pageloom.functions.urls import absolute_url, classify_kind, expand_page, origin_of, resolve_link
 from pageloom.operators.common import first_per_key
@@ -26,6 +26,8 @@ LIST_CANDIDATES = [
 NEXT_LABELS = ["下一页", "下页", "next", "»", ">", "末页"]
 NEXT_KEYS = ["page", "pageurl", "page_url", "next"]
 FIELDS = ["title", "link", "image", "date"]
+RULE_NAMES = ["ruleTitle", "ruleLink", "ruleImage", "rulePubDate"]
+RULE_COLUMNS = ["rule_title", "rule_link", "rule_image", "rule_pub_date"]
 # ---------------------------------------------------------------------------
 
 
@@ -90,16 +92,39 @@ def _has_list_rules() -> Column:
     return (F.trim("rule_articles") != "") | (F.trim("rule_title") != "") | (F.trim("rule_link") != "")
 
 
-def extract_containers(pages: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """The list containers of every page under its source's rule (inferred where it
-    has none): ``page_id, source_no, node_id, ord``. Scripts select nothing."""
+def _json_value() -> Column:
+    return F.try_parse_json(F.when(is_json_body(F.col("html")), F.col("html")))
+
+
+def page_rules(pages: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """What each page's list is taken by: ``page_id, source_no, rule, kind``.
+
+    ``kind`` is ``json`` for a path on a JSON body, ``page`` where the page itself
+    is the one container, ``script``, ``none`` for a path on another body, and
+    ``elements``. A page whose source has no rule gets an inferred one: where its
+    JSON keeps a list, or the first usual selector with enough matches; with neither it is its own list.
+    Only pages without a rule are looked at for that.
+    """
     src = sources.select("source_no", F.trim("rule_articles").alias("rule"))
-    rows = pages.select("page_id", "source_no").join(src, "source_no")
-    inferred = infer_list_rule(nodes).select("page_id", F.col("rule").alias("guess"))
-    rows = rows.join(inferred, "page_id", "left")
-    rows = rows.withColumn("rule", F.when(F.col("rule") == "", F.coalesce("guess", F.lit(""))).otherwise(F.col("rule")))
-    rows = rows.filter(~F.col("rule").isin("", "body", "$") & ~looks_like_script(F.col("rule")) & ~F.col("rule").rlike(r"^[$@]"))
-    rows = materialize(rows.select("page_id", "source_no", "rule"), "page_rules")
+    rows = pages.select("page_id", "source_no", "html").join(src, "source_no")
+    given = rows.filter("rule <> ''").select("page_id", "source_no", "rule", is_json_body(F.col("html")).alias("json"))
+    open_ones = rows.filter("rule = ''").select("page_id", "source_no", "html", is_json_body(F.col("html")).alias("json"))
+    by_json = open_ones.filter("json").select("page_id", "source_no", json_list_rule(_json_value(), F.col("html")).alias("rule"), "json")
+    other = open_ones.filter(~F.col("json")).select("page_id", "source_no", "json")
+    guesses = infer_list_rule(nodes.join(other.select("page_id").distinct(), "page_id", "left_semi")).select("page_id", "rule")
+    by_nodes = other.join(guesses, "page_id", "left").select("page_id", "source_no", F.coalesce("rule", F.lit("")).alias("rule"), "json")
+    rule = F.col("rule")
+    kind = (
+        F.when(rule.isin("", "body", "$"), "page").when(looks_like_script(rule), "script")
+        .when(F.col("json") & rule.rlike(r"^[$@]"), "json").when(rule.startswith("$"), "none").otherwise("elements"))
+    every = given.unionByName(by_json).unionByName(by_nodes)
+    return materialize(every.select("page_id", "source_no", "rule", kind.alias("kind")), "page_rules")
+
+
+def extract_containers(pages: DataFrame, nodes: DataFrame, sources: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """The elements that hold the list items of every page: ``page_id, source_no, node_id, ord``."""
+    rules = page_rules(pages, nodes, sources) if rules is None else rules
+    rows = rules.filter("kind = 'elements'")
     steps = plan_steps(rows.select(F.col("rule").alias("rule_id"), "rule").distinct())
     start = rows.select("page_id", F.col("rule").alias("rule_id"), F.col("source_no").alias("ctx"), F.lit(0).alias("node_id"),
                         F.array().cast("array<int>").alias("ord"))
@@ -107,17 +132,24 @@ def extract_containers(pages: DataFrame, nodes: DataFrame, sources: DataFrame) -
     return hits.select("page_id", F.col("ctx").alias("source_no"), "node_id", "ord")
 
 
-def extract_list(pages: DataFrame, nodes: DataFrame, sources: DataFrame, containers: DataFrame | None = None) -> DataFrame:
-    """List items of every page by its source's rules, before any fallback.
+def json_containers(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """The JSON values that hold the list items: ``page_id, source_no, ix, v``; an array found stands for its elements."""
+    mine = rules.filter("kind = 'json'").select("page_id", "source_no", path_plan(F.col("rule")).alias("steps"))
+    rows = pages.select("page_id", _json_value().alias("v")).join(mine, "page_id")
+    found = F.transform(json_select(F.col("v"), F.col("steps")), lambda x: F.coalesce(json_items(x), F.array(x)))
+    return rows.select("page_id", "source_no", F.posexplode(F.flatten(found)).alias("ix", "v"))
 
-    ``pages`` carries ``page_id, url, source_no``. All sources and all four field
-    rules run in one pass; rows without title, link and image are dropped, a
-    missing title falls back to the container's text, then to the link.
-    """
-    containers = extract_containers(pages, nodes, sources) if containers is None else containers
+
+def all_containers(rules: DataFrame, elements: DataFrame, values: DataFrame) -> DataFrame:
+    """One row for each container of any kind: ``page_id, source_no``; a page that is its own list is one."""
+    keys = ["page_id", "source_no"]
+    return elements.select(keys).unionByName(values.select(keys)).unionByName(rules.filter("kind = 'page'").select(keys))
+
+
+def _element_fields(pages: DataFrame, nodes: DataFrame, sources: DataFrame, containers: DataFrame) -> DataFrame:
+    """``page_id, source_no, box_ord`` and the fields of each element, unresolved."""
     fields = F.array(*[
-        F.struct(F.lit(name).alias("field"), F.trim(F.col(rule)).alias("rule"))
-        for name, rule in zip(FIELDS, ["rule_title", "rule_link", "rule_image", "rule_pub_date"])])
+        F.struct(F.lit(name).alias("field"), F.trim(F.col(rule)).alias("rule")) for name, rule in zip(FIELDS, RULE_COLUMNS)])
     wanted = sources.select("source_no", F.explode(fields).alias("f")).select("source_no", "f.field", "f.rule")
     wanted = wanted.filter((F.col("rule") != "") & ~looks_like_script(F.col("rule")))
     steps = plan_steps(wanted.select(F.col("rule").alias("rule_id"), "rule").distinct())
@@ -134,28 +166,64 @@ def extract_list(pages: DataFrame, nodes: DataFrame, sources: DataFrame, contain
     rows = boxes.join(wide, ["page_id", "source_no", "ctx"], "left").join(titled, "source_no")
     rows = rows.join(at, ["page_id", "ctx"]).join(page_texts(nodes), "page_id")
     box_text = F.when(F.col("_text_title"), node_text(F.col("t_from"), F.col("t_to"), F.col("doc_text")))
-    rows = rows.select("page_id", "source_no", "box_ord", clean_text(F.coalesce(box_text, F.col("title"), F.lit(""))).alias("title"),
+    return rows.select("page_id", "source_no", "box_ord", F.coalesce(box_text, F.col("title"), F.lit("")).alias("title"),
                        *[F.coalesce(c, F.lit("")).alias(c) for c in ("link", "image", "date")])
-    rows = rows.filter((F.col("title") != "") | (F.col("link") != "") | (F.col("image") != ""))
-    rows = rows.join(pages.select("page_id", "url"), "page_id")
+
+
+def _json_fields(values: DataFrame, sources: DataFrame) -> DataFrame:
+    """The same for JSON containers; rules of any number of sources are rows, taken apart once."""
+    rules = F.array(*[F.when(looks_like_script(F.col(c)), "").otherwise(F.col(c)) for c in RULE_COLUMNS])
+    plans = materialize(sources.select("source_no", F.transform(rules, rule_plan).alias("plans")), "json_rules")
+    rows = values.join(plans, "source_no")
+    rows = rows.select("page_id", "source_no", F.array("ix").alias("box_ord"), json_fields_by(F.col("v"), F.col("plans"), RULE_NAMES).alias("f"))
+    return rows.select("page_id", "source_no", "box_ord", *[F.get("f", F.lit(i)).alias(name) for i, name in enumerate(FIELDS)])
+
+
+def _page_fields(nodes: DataFrame, sources: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same for pages that are their own list: a fragment of plain text, in which rules for elements find nothing."""
+    mine = sources.filter((F.trim("rule_title") == "") | F.trim("rule_title").rlike(r"^@(text|Text|textNodes|TextNodes|ownText|OwnText)$"))
+    rows = rules.filter("kind = 'page'").join(mine.select("source_no"), "source_no", "left_semi").join(doc_text_of(nodes), "page_id")
+    return rows.select("page_id", "source_no", F.array(F.lit(0)).alias("box_ord"), F.col("page_text").alias("title"),
+                       *[F.lit("").alias(c) for c in ("link", "image", "date")])
+
+
+def _items(fields: DataFrame, urls: DataFrame) -> DataFrame:
+    """Items from fields: cleaned, resolved against their page, without rows that have neither title, link nor image."""
+    rows = fields.withColumn("title", clean_text(F.col("title")))
+    rows = rows.filter((F.col("title") != "") | (F.col("link") != "") | (F.col("image") != "")).join(urls, "page_id")
     rows = rows.withColumn("link", resolve_link(F.col("link"), F.col("url")))
-    rows = rows.select(
+    return rows.select(
         "page_id", "source_no", "box_ord", F.when(F.col("title") == "", clean_text(F.col("link"))).otherwise(F.col("title")).alias("title"),
         "link", absolute_url(F.col("image"), F.col("url")).alias("image"), clean_text(F.col("date")).alias("date"),
         classify_kind(F.col("title"), F.col("link")).alias("kind"))
-    return dedup_items(rows, ["page_id", "source_no"], "box_ord")
+
+
+def extract_list(pages: DataFrame, nodes: DataFrame, sources: DataFrame, containers: DataFrame | None = None,
+                 rules: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
+    """List items of every page by its source's rules, before any fallback.
+
+    ``pages`` carries ``page_id, url, html, source_no``. Elements, JSON values and whole
+    pages (D2) run in one plan, for any number of sources; rows without title, link and image are dropped, a
+    missing title falls back to the container's text, then to the link. Sources without any rule are
+    extracted by the inferred one; whether their items are shown is for :func:`link_fallback`.
+    """
+    rules = page_rules(pages, nodes, sources) if rules is None else rules
+    containers = extract_containers(pages, nodes, sources, rules) if containers is None else containers
+    values = json_containers(pages, rules) if values is None else values
+    fields = _element_fields(pages, nodes, sources, containers).unionByName(_json_fields(values, sources)).unionByName(
+        _page_fields(nodes, sources, rules))
+    return dedup_items(_items(fields, pages.select("page_id", "url")), ["page_id", "source_no"], "box_ord")
 
 
 def extract_json_list(bodies: DataFrame, list_rule: str, rules: dict[str, str], base: Column, text: str = "body") -> DataFrame:
     """D1 for JSON bodies of one source: elements of the list rule, fields by path,
     template, clean-up operator or the usual key names."""
     found = json_values(F.try_parse_json(F.col(text)), list_rule)
-    items = F.flatten(F.transform(found, lambda x: F.coalesce(F.try_variant_get(x, F.lit("$"), "array<variant>"), F.array(x))))
+    items = F.flatten(F.transform(found, lambda x: F.coalesce(json_items(x), F.array(x))))
     keep = [c for c in bodies.columns if c != text]
     rows = bodies.select(*keep, base.alias("_base"), F.posexplode(items).alias("ix", "v"))
     v = F.col("v")
-    raw = {name: json_field(v, rules.get(rule, ""), rule) for name, rule in
-           zip(FIELDS, ["ruleTitle", "ruleLink", "ruleImage", "rulePubDate"])}
+    raw = {name: json_field(v, rules.get(rule, ""), rule) for name, rule in zip(FIELDS, RULE_NAMES)}
     rows = rows.select(*keep, "ix", "_base", *[c.alias(n) for n, c in raw.items()])
     rows = rows.withColumn("title", clean_text(F.col("title"))).filter(
         (F.col("title") != "") | (F.col("link") != "") | (F.col("image") != ""))

@@ -13,7 +13,8 @@ from pageloom.operators.content import extract_content
 from pageloom.operators.lists import content_links, doc_text_of
 from pageloom.operators.media import media_catalog
 from pageloom.plans import duck
-from pageloom.plans.q_lists import ITEMS, LINKS, extracted, with_ix
+from pageloom.plans.q_content import ARTICLES
+from pageloom.plans.q_lists import ALL, ITEMS, JSON_BODIES, LINKS, PAGE_TEXT, SHOWN, shown
 from pageloom.plans.registry import query
 from pageloom.plans.tables import _fill, DERIVED, duck_sql, nodes_table, rule_pages, rule_sources, table
 
@@ -40,54 +41,37 @@ def g4(spark, sf):
 
 
 def _source_items(spark, sf):
-    items = with_ix(extracted(spark, sf)[1]).filter("source_no <> 3")
-    return items.select(F.col("page_id").alias("source_id"), "ix", "title", "link")
+    return shown(spark, sf).select(F.col("page_id").alias("source_id"), "ix", "title", "link")
 
 
-@query("g5_stage_list", LINKS + ITEMS + FETCH + f""", n AS (SELECT page_id, count(*) AS n, count(CASE WHEN link <> '' THEN 1 END) AS linked, min_by(title, ix) AS first FROM items GROUP BY page_id)
+@query("g5_stage_list", LINKS + ITEMS + SHOWN + FETCH + f""", s AS (SELECT page_id, count(*) AS n, count(CASE WHEN link <> '' THEN 1 END) AS linked, min_by(title, ix) AS first FROM shown GROUP BY page_id),
+c AS (SELECT page_id, length({PAGE_TEXT}) AS chars FROM pages)
 SELECT f.page_id AS source_id, 'list' AS key,
   CASE WHEN {BAD} THEN 'fail' WHEN f.source_no = 2 THEN 'ok' WHEN coalesce(linked, 0) = 0 THEN 'warn' ELSE 'ok' END AS state,
-  CASE WHEN {BAD} THEN 'fetch_failed' WHEN f.source_no = 2 THEN 'single_page' WHEN n.n IS NULL THEN CASE WHEN f.source_no IN (6, 7, 8) THEN 'no_items_script' ELSE 'no_items' END
-    WHEN linked = 0 THEN 'no_link_rule' ELSE 'items' END AS code,
-  CASE WHEN {BAD} THEN {WHY} WHEN f.source_no = 2 THEN 'single' WHEN coalesce(linked, 0) > 0 THEN 'items=' || CAST(n.n AS STRING) || ' first=' ||
-    CASE WHEN length(first) <= 24 THEN first ELSE substr(first, 1, 11) || '…' || right(first, 11) END ELSE 'items=' || CAST(coalesce(n.n, 0) AS STRING) END AS detail
-FROM f LEFT JOIN n ON f.page_id = n.page_id""")
+  CASE WHEN {BAD} THEN 'fetch_failed' WHEN f.source_no = 2 THEN 'single_page' WHEN s.n IS NULL THEN CASE WHEN f.source_no IN (6, 7, 8) THEN 'no_items_script' ELSE 'no_items' END
+    WHEN linked = 0 THEN CASE WHEN f.source_no IN (3, 8) THEN 'no_link_rule' ELSE 'no_links' END ELSE 'items' END AS code,
+  CASE WHEN {BAD} THEN {WHY} WHEN f.source_no = 2 THEN 'chars=' || CAST(chars AS STRING) WHEN coalesce(linked, 0) > 0 THEN 'items=' || CAST(s.n AS STRING) || ' first=' ||
+    CASE WHEN length(first) <= 24 THEN first ELSE substr(first, 1, 11) || '…' || right(first, 11) END ELSE 'items=' || CAST(coalesce(s.n, 0) AS STRING) END AS detail
+FROM f LEFT JOIN s ON f.page_id = s.page_id JOIN c ON f.page_id = c.page_id""")
 def g5(spark, sf):
     chars = doc_text_of(nodes_table(spark, sf)).select(F.col("page_id").alias("source_id"), F.length("page_text").cast("bigint").alias("chars"))
-    out = audit.stage_list(_targets(spark, sf), _fetch_log(spark, sf), _source_items(spark, sf), chars)
-    # The length of a whole page's text is checked by d2; here it only has to be there.
-    return out.withColumn("detail", F.when(F.col("code") == "single_page", F.regexp_replace("detail", r"^chars=[1-9]\d*$", "single")).otherwise(F.col("detail")))
+    return audit.stage_list(_targets(spark, sf), _fetch_log(spark, sf), _source_items(spark, sf), chars)
 
 
-@query("g6_stage_detail", LINKS + ITEMS + FETCH + f""", o AS (SELECT page_id, count(*) AS n FROM items WHERE link <> '' GROUP BY page_id),
-t AS (SELECT page_id, CASE WHEN page_id % 12 = 10 OR strlen(a) <= CASE WHEN page_id % 12 = 4 THEN 40 ELSE 120 END THEN NULL ELSE length({duck.html_text('a')}) END AS chars FROM (SELECT page_id, regexp_extract(html, '(?s)<article>.*</article>') AS a FROM pages) x)
-SELECT f.page_id AS source_id, 'detail' AS key, CASE WHEN n IS NULL THEN 'skip' WHEN {BAD} THEN 'fail' WHEN chars < 120 THEN 'warn' ELSE 'ok' END AS state,
-  CASE WHEN n IS NULL THEN 'nothing_to_open' WHEN {BAD} THEN 'fetch_failed' WHEN chars < 120 THEN 'thin_text' ELSE 'text' END AS code,
+@query("g6_stage_detail", duck_sql("fx_json_bodies") + ", " + ALL + ITEMS + SHOWN + JSON_BODIES + ARTICLES + FETCH + f""",
+linked AS (SELECT page_id, count(*) AS n FROM shown WHERE link <> '' GROUP BY page_id), t AS (SELECT page_id, length(content_text) AS chars FROM articles)
+SELECT f.page_id AS source_id, 'detail' AS key, CASE WHEN n IS NULL THEN 'skip' WHEN {BAD} OR chars = 0 THEN 'fail' WHEN chars < 120 THEN 'warn' ELSE 'ok' END AS state,
+  CASE WHEN n IS NULL THEN 'nothing_to_open' WHEN {BAD} THEN 'fetch_failed' WHEN chars = 0 THEN 'no_text' WHEN chars < 120 THEN 'thin_text' ELSE 'text' END AS code,
   CASE WHEN n IS NULL THEN '' WHEN {BAD} THEN {WHY} ELSE 'chars=' || CAST(chars AS STRING) || ' media=0' END AS detail
-FROM f LEFT JOIN o ON f.page_id = o.page_id JOIN t ON f.page_id = t.page_id WHERE chars IS NOT NULL OR n IS NULL OR {BAD}""")
+FROM f LEFT JOIN linked ON f.page_id = linked.page_id JOIN t ON f.page_id = t.page_id""")
 def g6(spark, sf):
-    """The first linked item of each source, taken to open into the page itself."""
+    """The first linked item each page's listing shows, taken to open into the page itself."""
     nodes, pages = nodes_table(spark, sf), rule_pages(spark, sf)
     first = _source_items(spark, sf).filter("link <> ''").groupBy("source_id").agg(F.min_by("link", "ix").alias("detail_url"))
     articles = extract_content(pages, nodes, rule_sources(spark, sf))
     media = media_catalog(nodes).groupBy("page_id").agg(F.count("*").alias("media"))
     articles = articles.join(media, "page_id", "left").select(
-        F.col("page_id").alias("source_id"), F.length("content_text").cast("bigint").alias("chars"), "media", (F.col("origin") == "page").alias("whole"))
-    targets = _targets(spark, sf).join(first, "source_id", "left")
-    out = audit.stage_detail(targets, _fetch_log(spark, sf), articles.drop("whole"))
-    # Pages whose text is not the article element's are left to the rows-only check.
-    other = articles.join(_targets(spark, sf).select("source_id", "source_no"), "source_id").filter("whole or source_no = 10").select("source_id")
-    judged = out.filter(F.col("code").isin("text", "thin_text", "no_text"))
-    return out.join(judged.join(other, "source_id", "left_semi").select("source_id"), "source_id", "left_anti")
-
-
-@query("g6_stage_detail_all")
-def g6_all(spark, sf):
-    """The same stage over every page, whatever its text came from."""
-    nodes, pages = nodes_table(spark, sf), rule_pages(spark, sf)
-    first = _source_items(spark, sf).filter("link <> ''").groupBy("source_id").agg(F.min_by("link", "ix").alias("detail_url"))
-    articles = extract_content(pages, nodes, rule_sources(spark, sf)).select(
-        F.col("page_id").alias("source_id"), F.length("content_text").cast("bigint").alias("chars"), F.lit(0).cast("bigint").alias("media"))
+        F.col("page_id").alias("source_id"), F.length("content_text").cast("bigint").alias("chars"), "media")
     return audit.stage_detail(_targets(spark, sf).join(first, "source_id", "left"), _fetch_log(spark, sf), articles)
 
 

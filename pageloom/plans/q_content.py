@@ -7,27 +7,48 @@ from pyspark.sql import functions as F
 from pageloom.operators import content, lyrics, media
 from pageloom.plans import duck
 from pageloom.plans.registry import query
-from pageloom.plans.tables import duck_sql, nodes_table, rule_pages, rule_sources, table
+from pageloom.plans.q_lists import JSON_BODIES
+from pageloom.plans.tables import duck_sql, nodes_table, rule_sources, table, web_pages
 
 BODY = "regexp_extract(html, '(?s)<article>.*</article>')"
 FIRST_P = "regexp_extract(html, '(?s)<article>.*?(<p>.*?)(<p>|</p>|</article>)', 1)"
 
 
-@query("f1_extract_content", f"""
-SELECT page_id, CAST(page_id % 12 AS INT) AS source_no, CASE WHEN page_id % 12 = 4 AND strlen({BODY}) > 40 THEN 'rule' ELSE 'container' END AS origin,
-  {BODY} AS content_html, {duck.html_text(BODY)} AS content_text FROM pages WHERE page_id % 12 <> 10 AND strlen({BODY}) > CASE WHEN page_id % 12 = 4 THEN 40 ELSE 120 END""")
+# The paragraphs of an article, ended by their end tag or by what begins next.
+PARAGRAPHS = f"""list_transform(string_split({BODY}, '<p>')[2:], lambda x: '<p>' || CASE WHEN contains(x, '</p>') THEN substr(x, 1, strpos(x, '</p>') + 3)
+  ELSE regexp_replace(x, '</article>$', '') END)"""
+# Two blanks a level, members in order of their names.
+INDENTED = """array_to_string(list_transform(string_split(json_pretty(CASE kind WHEN 3 THEN '[{"book":' || (v->'$[0].book') || ',"url":' || (v->'$[0].url') || '}]'
+  WHEN 4 THEN '{"book":' || (v->'$.book') || ',"box":' || (v->'$.box') || ',"data":[]}' ELSE CAST(v AS STRING) END), chr(10)),
+  lambda l: repeat(' ', (length(l) - length(ltrim(l))) // 2) || ltrim(l)), chr(10))"""
+ARTICLES = f""", html_pages AS (SELECT page_id, html, page_id % 12 AS k, {BODY} AS a, list_filter({PARAGRAPHS}, lambda p: strlen(p) > 40)[1] AS p FROM pages),
+html_cut AS (SELECT page_id, k, html, CASE WHEN k = 4 AND strlen(a) > 40 THEN a WHEN k = 10 AND p IS NOT NULL THEN p END AS by_rule, CASE WHEN strlen(a) > 120 THEN a END AS usual FROM html_pages),
+json_made AS (SELECT *, CASE WHEN v IS NULL THEN NULL
+    WHEN s = 12 THEN '<h3>' || coalesce(v->>'$.data.list[0].title', '') || '</h3><img src="https://api.example/i/' || coalesce(v->>'$.data.list[0].aid', '') || '.png">'
+    WHEN s = 13 THEN CASE kind WHEN 1 THEN v->>'$.data.list[0].title' WHEN 3 THEN v->>'$[0].book.title' WHEN 4 THEN 'top' END
+    WHEN s = 15 AND kind = 2 THEN v->>'$.data[0].name' WHEN s = 18 AND kind = 3 THEN v->>'$[0].book.title' END AS made FROM jb),
+json_shown AS (SELECT *, CASE WHEN made IS NULL AND v IS NOT NULL THEN {INDENTED} END AS pretty FROM json_made),
+articles AS (
+  SELECT page_id, CAST(k AS INT) AS source_no, CASE WHEN by_rule IS NOT NULL THEN 'rule' WHEN usual IS NOT NULL THEN 'container' ELSE 'page' END AS origin,
+    coalesce(by_rule, usual, html) AS content_html, CASE WHEN by_rule IS NULL AND usual IS NULL THEN {duck.readable('html')} ELSE {duck.html_text('coalesce(by_rule, usual)')} END AS content_text FROM html_cut
+  UNION ALL SELECT -1 - body_id, CAST(s AS INT), CASE WHEN made IS NOT NULL THEN 'rule' WHEN pretty IS NOT NULL THEN 'json' ELSE 'page' END,
+    coalesce(made, '<pre>' || {duck.entities('pretty')} || '</pre>', body),
+    CASE WHEN made IS NOT NULL OR pretty IS NOT NULL THEN {duck.html_text('coalesce(made, pretty)')} ELSE {duck.readable('body')} END FROM json_shown)"""
+
+
+@query("f1_extract_content", duck_sql("fx_json_bodies") + JSON_BODIES + ARTICLES + "SELECT * FROM articles")
 def f1(spark, sf):
-    out = content.extract_content(rule_pages(spark, sf), nodes_table(spark, sf), rule_sources(spark, sf))
-    # Source 10 takes one paragraph, whose implied end the regular expression cannot place.
-    return out.filter("source_no <> 10 and origin <> 'page'")
+    """The articles of all pages, HTML and JSON, under all rule shapes."""
+    return content.extract_content(*web_pages(spark, sf), rule_sources(spark, sf))
 
 
 @query("f1_extract_json_content", duck_sql("fx_json_bodies") + """
-SELECT body_id, '<h3>' || (v->>'$.data[0].name') || '</h3><img src="https://api.example/i/' || (v->>'$.data[0].id') || '.png">' AS content_html, v->>'$.data[0].name' AS content_text
-FROM (SELECT body_id, json(body) AS v FROM fx_json_bodies WHERE json_valid(body) AND body LIKE '{"data":[{%') t""")
+SELECT body_id, '<h3>' || coalesce(v->>'$.data[0].name', '') || '</h3><img src="https://api.example/i/' || coalesce(v->>'$.data[0].id', '') || '.png">' AS content_html,
+  coalesce(v->>'$.data[0].name', '') AS content_text
+FROM (SELECT body_id, json(body) AS v FROM fx_json_bodies WHERE json_valid(body) AND regexp_matches(body, '^\\s*[{\\[]')) t""")
 def f1_json(spark, sf):
-    bodies = table(spark, sf, "fx_json_bodies").filter(F.col("body").startswith('{"data":[{'))
-    return content.extract_json_content(bodies, '<h3>{{$.data[0].name}}</h3><img src="/i/{{$.data[0].id}}.png">', F.lit("https://api.example/p?x=1"))
+    return content.extract_json_content(
+        table(spark, sf, "fx_json_bodies"), '<h3>{{$.data[0].name}}</h3><img src="/i/{{$.data[0].id}}.png">', F.lit("https://api.example/p?x=1"))
 
 
 HREF = "concat(replace(replace(html, '<a href=\"/', '<a href=\"./k/../'), '<br>', '<img src=''i.png'' data-src=\"#\"><video poster = \"//v.example/p\">'), '<a href=\"https://abs.example/x\">')"
@@ -139,11 +160,25 @@ def f13(spark, sf):
     return rows.groupBy("doc_id").agg(F.sum(F.length("sentence")).cast("bigint").alias("chars"))
 
 
-@query("f13_short_sentences", f"SELECT doc_id, sentence FROM ({SENTENCES}) q WHERE length(sentence) < 140")
-def f13_short(spark, sf):
-    """Sentences that needed no cut (a limit of its own keeps long ones whole)."""
-    rows = content.split_sentences(table(spark, sf, "documents"), "doc_id", "text", limit=100_000_000)
-    return rows.filter(F.length("sentence") < 140).select("doc_id", "sentence")
+def _piece(dots: int) -> str:
+    """The next piece of a long sentence where that many full stops stand at the limit."""
+    head = f"regexp_extract(rest, '(?s)^.{{71,{139 + dots}}}[,，、]')"
+    return f"WHEN regexp_matches(rest, '^[^。！？；…!?;]{{139}}\\.{{{dots}}}[^。！？；…!?;.]') THEN CASE WHEN {head} <> '' THEN {head} ELSE substr(rest, 1, {140 + dots}) END"
+
+
+CUT_SENTENCES = SENTENCES.replace("SELECT doc_id, s AS sentence FROM (SELECT doc_id, unnest(", "SELECT doc_id, n, s AS sentence FROM (SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS s FROM (SELECT doc_id, (").replace(
+    " AS s FROM documents) t", " AS l FROM documents) d) t")
+
+
+@query("f13_sentences", f"""WITH RECURSIVE cut AS (
+  SELECT doc_id, n, 0 AS k, CASE WHEN length(sentence) < 140 THEN sentence END AS piece, CASE WHEN length(sentence) < 140 THEN '' ELSE sentence END AS rest FROM ({CUT_SENTENCES}) q
+  UNION ALL SELECT doc_id, n, k + 1, take, substr(rest, length(take) + 1) FROM (
+    SELECT *, CASE {' '.join(_piece(dots) for dots in range(4))} ELSE rest END AS take FROM cut WHERE rest <> '') c)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS INT) AS ix, piece AS sentence FROM cut
+WHERE regexp_matches(regexp_replace(piece, '[\\x{{00A0}}\\x{{3000}}\\x{{FEFF}}]', '', 'g'), '\\S')""")
+def f13_sentences(spark, sf):
+    """Every sentence, cut at the default limit, in its place."""
+    return content.split_sentences(table(spark, sf, "documents"), "doc_id", "text")
 
 
 LRC = duck_sql("fx_lrc") + r""", stamped AS (

@@ -52,6 +52,35 @@ def e4(spark, sf):
     return _bodies(spark, sf).select("body_id", F.array_join(F.coalesce(found, F.array().cast("array<string>")), "|").alias("found"))
 
 
+FORMS = [
+    "$.data.list[0:1].title", "$.data.list[-1].aid", "$.data.list[1,0].aid", "$.data.list[0]['title','aid']", "$.data.list[?(@.aid > 100)].aid",
+    "$.data[?(@.time == '2024' && @.id)].name", "$[?(@.book)].url", "$..title", "$..rows2[*].book.title", "$.data.list[::-1].aid", "$.data.list[", "$.data[?(@.x >", "$$.next"]
+
+
+@query("e4_json_forms", duck_sql("fx_json_bodies") + f"""
+, b AS (SELECT body_id, {VALID} AS v FROM fx_json_bodies),
+e AS (SELECT body_id, i, v->('$.data.list[' || CAST(i AS STRING) || ']') AS e FROM b, (SELECT unnest([0, 1]) AS i) x WHERE json_array_length(v, '$.data.list') > i),
+f AS (SELECT body_id, 0 AS form, 0 AS ix, e->>'$.title' AS text FROM e WHERE i = 0
+  UNION ALL SELECT body_id, 1, 0, e->>'$.aid' FROM e WHERE i = 1
+  UNION ALL SELECT body_id, 2, 1 - i, e->>'$.aid' FROM e
+  UNION ALL SELECT body_id, 3, k, CASE k WHEN 0 THEN e->>'$.title' ELSE e->>'$.aid' END FROM e, (SELECT unnest([0, 1]) AS k) y WHERE i = 0
+  UNION ALL SELECT body_id, 4, row_number() OVER (PARTITION BY body_id ORDER BY i) - 1, e->>'$.aid' FROM e WHERE CAST(e->>'$.aid' AS BIGINT) > 100
+  UNION ALL SELECT body_id, 5, 0, v->>'$.data[0].name' FROM b WHERE v->>'$.data[0].time' = '2024'
+  UNION ALL SELECT body_id, 6, 0, v->>'$[0].url' FROM b WHERE v->>'$[0].book' IS NOT NULL
+  UNION ALL SELECT body_id, 7, generate_subscripts(l, 1) - 1, unnest(l) FROM (SELECT body_id, CASE WHEN body_id % 6 = 4 THEN ['top', v->>'$.box.rows2[0].book.title'] ELSE v->>'$..title' END AS l FROM b WHERE v IS NOT NULL) t
+  UNION ALL SELECT body_id, 8, 0, v->>'$.box.rows2[0].book.title' FROM b WHERE v->>'$.box.rows2[0]' IS NOT NULL
+  UNION ALL SELECT body_id, 9, 1 - i, e->>'$.aid' FROM e)
+SELECT body_id, CAST(form AS INT) AS form, CAST(ix AS INT) AS ix, text FROM f""")
+def e4_forms(spark, sf):
+    """Paths of every form, as rows, over every body; three of them are no paths, which stops nothing."""
+    forms = spark.createDataFrame(list(enumerate(FORMS)), "form int, path string").select("form", jsonpath.path_plan(F.col("path")).alias("steps"))
+    plans = F.array(*[F.struct(F.lit(i).alias("form"), F.lit(p).alias("path")) for i, p in enumerate(FORMS)])
+    rows = _bodies(spark, sf).select("body_id", F.try_parse_json("body").alias("v"), F.explode(plans).alias("f"))
+    rows = rows.select("body_id", "v", F.col("f.form").alias("form")).join(forms, "form")
+    texts = F.transform(jsonpath.json_select(F.col("v"), F.col("steps")), jsonpath.json_text)
+    return rows.filter("v is not null").select("body_id", "form", F.posexplode(texts).alias("ix", "text"))
+
+
 @query("e4_json_descend", duck_sql("fx_json_bodies") + f"""
 SELECT body_id, unnest(coalesce(v->>'$..title', [])) AS text FROM (SELECT body_id, {VALID} AS v FROM fx_json_bodies) t""")
 def e4_deep(spark, sf):
@@ -126,13 +155,16 @@ def e11(spark, sf):
 
 @query("e12_lookup_verdict", duck_sql("fx_json_bodies") + f"""
 SELECT body_id, CASE WHEN v IS NULL OR json_array_length(v, '$.data.list') IS NULL OR json_array_length(v, '$.data.list') = 0 THEN 'no_match'
-  WHEN trim(coalesce(v->>'$.data.list[1].title', '')) = '' THEN 'empty_values' ELSE 'values' END AS verdict, 'bad_path' AS broken
+  WHEN trim(coalesce(v->>'$.data.list[1].title', '')) = '' THEN 'empty_values' ELSE 'values' END AS verdict, 'bad_path' AS broken,
+  CASE WHEN json_array_length(v, '$.data') > 0 THEN 'values' ELSE 'no_match' END AS filtered,
+  CASE WHEN body_id % 6 = 1 THEN CASE WHEN v IS NULL THEN 'no_match' ELSE 'values' END WHEN body_id % 6 IN (3, 4) AND v IS NOT NULL THEN 'values' ELSE 'no_match' END AS deep
 FROM (SELECT body_id, {VALID} AS v FROM fx_json_bodies) t""")
 def e12(spark, sf):
     v = F.try_parse_json("body")
-    broken = "$.data[?("
     check = lambda p: jsonpath.lookup_verdict(jsonpath.json_path(v, p), F.lit(jsonpath.path_steps(p) is not None))
-    return _bodies(spark, sf).select("body_id", check("$.data.list[1].title").alias("verdict"), check(broken).alias("broken"))
+    return _bodies(spark, sf).select(
+        "body_id", check("$.data.list[1].title").alias("verdict"), check("$.data[?(").alias("broken"), check("$.data[?(@.time=='2024')].name").alias("filtered"),
+        check("$..title").alias("deep"))
 
 
 @query("e13_is_json_body", duck_sql("fx_json_bodies") + f"SELECT body_id, {VALID} IS NOT NULL AS is_json FROM fx_json_bodies")

@@ -10,7 +10,7 @@ from pageloom.operators import select as sel
 from pageloom.operators.rulesets import plan_steps, rule_values, run_rules
 from pageloom.plans import duck
 from pageloom.plans.registry import query
-from pageloom.plans.tables import duck_sql, nodes_table, rule_pages, rule_sources, table
+from pageloom.plans.tables import duck_sql, nodes_table, rule_pages, rule_sources, table, web_pages
 from pageloom.session import is_there, materialize
 
 ALL = f"""{duck.ANCHORS},
@@ -21,39 +21,76 @@ links AS (SELECT page_id, ix, t AS title, link, {duck.kind('t', 'link')} AS kind
 numbered AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ix) AS n FROM links)"""
 LINKS = f"WITH {ALL} "
 
-# What each rule shape makes of a page whose list is nav > ul > li > a.
+# The text of a whole page, titles and scripts included; a paragraph's end inside quotes is text of a script.
+PAGE_TEXT = "replace(" + duck.clean(duck.parsed(
+    "regexp_replace(regexp_replace(replace(html, '\"</p>\"', '\"' || chr(2) || '\"'), '<!--.*?-->', '', 'g'), '</?[a-zA-Z!][^>]*>', '', 'g')")) + ", chr(2), '</p>')"
+
+# What each rule shape makes of a page whose list is nav > ul > li > a. Source 3 has no rules: its list is inferred, its items have no address.
 ITEMS = f""", raw AS (SELECT a.page_id, a.page_id % 12 AS source_no, a.ix, {duck.clean(duck.parsed('a.title'))} AS t, {duck.resolve('a.href', 'a.url')} AS link,
   max(a.ix) OVER (PARTITION BY a.page_id) AS last FROM anchors a),
+texts AS (SELECT p.page_id, p.page_id % 12 AS source_no, {PAGE_TEXT} AS t, coalesce(n, 0) AS n FROM pages p
+  LEFT JOIN (SELECT page_id, count(*) AS n FROM anchors GROUP BY page_id) c ON p.page_id = c.page_id),
 shaped AS (
   SELECT page_id, source_no, ix, t AS title, link FROM raw WHERE source_no IN (0, 4, 5, 6, 10) OR (source_no = 9 AND last >= 3)
-  UNION ALL SELECT page_id, source_no, ix, t, '' FROM raw WHERE source_no = 8
-  UNION ALL SELECT page_id, source_no, ix, t, link FROM raw WHERE source_no = 11 AND ix > 1),
+  UNION ALL SELECT page_id, source_no, ix, t, '' FROM raw WHERE source_no = 8 OR (source_no = 3 AND last >= 3)
+  UNION ALL SELECT page_id, source_no, ix, t, link FROM raw WHERE source_no = 11 AND ix > 1
+  UNION ALL SELECT page_id, source_no, 0, t, '' FROM texts WHERE source_no = 2 OR (source_no = 3 AND n < 3)),
 items AS (SELECT page_id, source_no, ix, CASE WHEN title = '' THEN link ELSE title END AS title, link, {duck.kind('title', 'link')} AS kind FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY ix) AS rn FROM shaped) s WHERE (link = '' OR rn = 1) AND (title <> '' OR link <> ''))"""
 
+# What the listing shows: items, or the page's links in their place.
+SHOWN = """, n AS (SELECT page_id, count(*) AS n_links FROM numbered GROUP BY page_id),
+o AS (SELECT page_id, count(CASE WHEN link <> '' THEN 1 END) AS n_open FROM items GROUP BY page_id),
+choice AS (SELECT p.page_id, p.page_id % 12 AS source_no, CASE p.page_id % 12 WHEN 3 THEN coalesce(n_links, 0) > 0 WHEN 7 THEN false
+  ELSE coalesce(n_open, 0) = 0 AND coalesce(n_links, 0) >= 3 END AS by_links FROM pages p LEFT JOIN n USING (page_id) LEFT JOIN o USING (page_id)),
+shown AS (SELECT c.page_id, CAST(c.source_no AS INT) AS source_no, l.n AS ix, l.title, l.link, true AS fallback FROM choice c JOIN numbered l USING (page_id) WHERE by_links
+  UNION ALL SELECT c.page_id, CAST(c.source_no AS INT), i.ix, i.title, i.link, false FROM choice c JOIN items i USING (page_id) WHERE NOT by_links) """
+
+# The bodies by the kind they are of, and what each JSON rule shape takes of which kind.
+JSON_BODIES = f""", jb AS (SELECT body_id, 12 + CAST(floor(body_id / 6) AS BIGINT) % 7 AS s, body_id % 6 AS kind, 'https://api.example/list/' || CAST(body_id AS STRING) AS url,
+  CASE WHEN json_valid(body) AND regexp_matches(body, '^\\s*[{{\\[]') THEN json(body) END AS v, body FROM fx_json_bodies)"""
+JSON_ITEMS = JSON_BODIES + """, je AS (SELECT *, v->('$.data.list[' || CAST(i AS STRING) || ']') AS e FROM jb, (SELECT unnest([0, 1]) AS i) x WHERE kind = 1),
+jraw AS (
+  SELECT body_id, s, url, i AS ix, coalesce(nullif(e->>'$.title', ''), e->>'$.vod_name') AS title, CASE WHEN s = 12 THEN '/v/' || (e->>'$.aid') ELSE '' END AS href,
+    coalesce(e->>'$.vod_pic', '') AS pic, '' AS date FROM je WHERE s = 12 OR (s = 16 AND i = 1)
+  UNION ALL SELECT body_id, s, url, 0, coalesce(v->>'$[0].book.title', v->>'$.book.title'), '', '', '' FROM jb WHERE s = 13 AND kind IN (3, 4)
+  UNION ALL SELECT body_id, s, url, 1, v->>'$.box.rows2[0].book.title', '', '', '' FROM jb WHERE s = 13 AND kind = 4
+  UNION ALL SELECT body_id, s, url, 0, regexp_replace(v->>'$.data[0].name', '[aeiou]', '_', 'g'), v->>'$.data[0].id', '', '2024' FROM jb WHERE s = 14 AND kind = 2
+  UNION ALL SELECT body_id, s, url, 0, v->>'$.data[0].name', 'https://x.example/' || (v->>'$.data[0].id') || '?t=2!02!4', '', '2024' FROM jb WHERE s = 15 AND kind = 2 AND body_id > 50
+  UNION ALL SELECT body_id, s, url, 0, v->>'$[0].book.title', v->>'$[0].url', '', '' FROM jb WHERE s = 18 AND kind = 3
+  UNION ALL SELECT body_id, s, url, 0, CASE WHEN kind = 2 THEN v->>'$.data[0].name' ELSE 'top' END, '', '', CASE WHEN kind = 2 THEN '2024' ELSE '' END FROM jb WHERE s = 18 AND kind IN (2, 4))
+"""
+
 _MEMO: dict[tuple[str, str], tuple] = {}
 
 
 def extracted(spark, sf):
-    """Containers and items of all pages, extracted once per session and written."""
+    """Containers and items of all pages, HTML and JSON, extracted in one plan, once per session, and written."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MEMO or not all(map(is_there, _MEMO[key])):
-        pages, nodes, sources = rule_pages(spark, sf), nodes_table(spark, sf), rule_sources(spark, sf)
-        boxes = materialize(lists.extract_containers(pages, nodes, sources), "containers")
-        _MEMO[key] = boxes, materialize(lists.extract_list(pages, nodes, sources, boxes), "items")
+        sources = rule_sources(spark, sf)
+        pages, nodes = web_pages(spark, sf)
+        rules = lists.page_rules(pages, nodes, sources)
+        boxes = materialize(lists.extract_containers(pages, nodes, sources, rules), "containers")
+        values = materialize(lists.json_containers(pages, rules), "values")
+        items = materialize(lists.extract_list(pages, nodes, sources, boxes, rules, values), "items")
+        _MEMO[key] = materialize(lists.all_containers(rules, boxes, values), "all_containers"), items
     return _MEMO[key]
 
 
-def with_ix(items):
-    """Items numbered by the last node of the path they were reached by."""
-    return items.withColumn("ix", F.element_at("box_ord", -1))
+def shown(spark, sf):
+    """What the listing of each given page shows."""
+    pages, nodes, sources = rule_pages(spark, sf), nodes_table(spark, sf), rule_sources(spark, sf)
+    return lists.link_fallback(pages, extracted(spark, sf)[1], lists.content_links(nodes, pages), sources)
 
 
-@query("d1_extract_list", LINKS + ITEMS + "SELECT page_id, CAST(source_no AS INT) AS source_no, title, link, '' AS image, '' AS date, kind FROM items")
+@query("d1_extract_list", duck_sql("fx_json_bodies") + ", " + ALL + ITEMS + JSON_ITEMS + f"""
+SELECT page_id, CAST(source_no AS INT) AS source_no, title, link, '' AS image, '' AS date, kind FROM items
+UNION ALL SELECT -1 - body_id, CAST(s AS INT), title, link, image, date, {duck.kind('title', 'link')} FROM (
+  SELECT body_id, s, {duck.clean('title')} AS title, {duck.resolve('href', 'url')} AS link, {duck.absolute('pic', 'url')} AS image, date FROM jraw) j""")
 def d1(spark, sf):
-    # Sources 3 and 7 have nothing to extract by: a bare address and a script.
-    items = extracted(spark, sf)[1].filter("source_no <> 3")
-    return items.select("page_id", "source_no", "title", "link", "image", "date", "kind")
+    """The items of all pages, HTML and JSON, under all rule shapes."""
+    return extracted(spark, sf)[1].select("page_id", "source_no", "title", "link", "image", "date", "kind")
 
 
 @query("d1_extract_json_list", duck_sql("fx_json_bodies") + f""", v AS (SELECT body_id, json(body) AS v FROM fx_json_bodies WHERE json_valid(body) AND body LIKE '{{"data":{{%'),
@@ -68,12 +105,10 @@ def d1_json(spark, sf):
 
 @query("d2_single_page_items", f"""
 SELECT page_id, CAST(page_id % 12 AS INT) AS source_no, title, {duck.kind('title', "''")} AS kind FROM (
-  SELECT page_id, {duck.clean(duck.parsed("regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'g'), '</?[a-zA-Z!][^>]*>', '', 'g')"))} AS title
-  FROM (SELECT page_id, replace(html, '"</p>"', '"' || chr(2) || '"') AS html FROM pages) h) t WHERE page_id % 12 IN (2, 3, 9)""")
+  SELECT page_id, {PAGE_TEXT} AS title FROM pages) t WHERE page_id % 12 IN (2, 3, 9)""")
 def d2(spark, sf):
-    mark = F.replace(F.col("title"), F.lit('"</p>"'), F.lit('"\x02"'))
     out = lists.single_page_items(rule_pages(spark, sf), nodes_table(spark, sf), rule_sources(spark, sf))
-    return out.select("page_id", "source_no", mark.alias("title"), "kind")
+    return out.select("page_id", "source_no", "title", "kind")
 
 
 @query("d3_field_value", f"WITH {duck.ANCHORS} SELECT page_id, min_by(t, ix) AS value FROM (SELECT page_id, ix, trim({duck.clean(duck.parsed('title'))}) AS t FROM anchors) a WHERE t <> '' GROUP BY page_id")
@@ -99,17 +134,9 @@ def d8(spark, sf):
     return lists.content_links(nodes_table(spark, sf), table(spark, sf, "pages"))
 
 
-@query("d9_link_fallback", LINKS + ITEMS + """, n AS (SELECT page_id, count(*) AS n_links FROM numbered GROUP BY page_id),
-o AS (SELECT page_id, count(CASE WHEN link <> '' THEN 1 END) AS n_open FROM items GROUP BY page_id),
-choice AS (SELECT p.page_id, p.page_id % 12 AS source_no, CASE p.page_id % 12 WHEN 3 THEN coalesce(n_links, 0) > 0 WHEN 7 THEN false
-  ELSE coalesce(n_open, 0) = 0 AND coalesce(n_links, 0) >= 3 END AS by_links FROM pages p LEFT JOIN n USING (page_id) LEFT JOIN o USING (page_id))
-SELECT c.page_id, CAST(c.source_no AS INT) AS source_no, l.title, l.link, true AS fallback FROM choice c JOIN numbered l USING (page_id) WHERE by_links
-UNION ALL SELECT c.page_id, CAST(c.source_no AS INT), i.title, i.link, false FROM choice c JOIN items i USING (page_id) WHERE NOT by_links
-UNION ALL SELECT page_id, CAST(source_no AS INT), t, link, false FROM raw JOIN choice c USING (page_id, source_no) WHERE source_no = 3 AND NOT by_links""")
+@query("d9_link_fallback", LINKS + ITEMS + SHOWN + "SELECT page_id, source_no, title, link, fallback FROM shown")
 def d9(spark, sf):
-    pages, nodes, sources = rule_pages(spark, sf), nodes_table(spark, sf), rule_sources(spark, sf)
-    shown = lists.link_fallback(pages, extracted(spark, sf)[1], lists.content_links(nodes, pages), sources)
-    return shown.select("page_id", "source_no", "title", "link", "fallback")
+    return shown(spark, sf).select("page_id", "source_no", "title", "link", "fallback")
 
 
 @query("d10_infer_list_rule", f"WITH {duck.ANCHORS} SELECT page_id, 'ul li@all' AS rule, count(*) AS matches FROM anchors GROUP BY page_id HAVING count(*) >= 3")
@@ -123,14 +150,13 @@ b AS (SELECT page_id, count(*) AS lis FROM anchors GROUP BY page_id),
 s AS (SELECT p.page_id, p.page_id % 12 AS k, coalesce(n_links, 0) AS l, coalesce(openable, 0) AS o, coalesce(lis, 0) AS b FROM pages p
   LEFT JOIN n USING (page_id) LEFT JOIN o USING (page_id) LEFT JOIN b USING (page_id)),
 f AS (SELECT *, CASE k WHEN 2 THEN l >= 3 WHEN 3 THEN l >= 1 ELSE false END AS shown,
-  CASE WHEN k IN (1, 2, 7) THEN 0 WHEN k IN (3, 9) THEN CASE WHEN b >= 3 THEN b ELSE 0 END WHEN k = 11 THEN greatest(b - 1, 0) ELSE b END AS boxes FROM s)
+  CASE WHEN k IN (1, 7) THEN 0 WHEN k = 2 THEN 1 WHEN k IN (3, 9) THEN CASE WHEN b >= 3 THEN b ELSE 1 END WHEN k = 11 THEN greatest(b - 1, 0) ELSE b END AS boxes FROM s)
 SELECT page_id, CAST(k AS INT) AS source_no, k NOT IN (3, 9) AND NOT shown AS has_rule, CASE WHEN shown THEN 0 ELSE boxes END AS containers,
   CASE WHEN shown THEN l ELSE o END AS openable, CASE WHEN shown OR (o = 0 AND k <> 7 AND l >= 3) THEN l ELSE 0 END AS fallback_links,
   CASE WHEN k IN (3, 9) OR shown THEN NULL WHEN boxes = 0 AND o = 0 AND k <> 7 AND l >= 3 THEN 'rule_matched_nothing' WHEN boxes > 0 AND o = 0 THEN 'nothing_openable' END AS diagnosis FROM f""")
 def d11(spark, sf):
     pages, nodes, sources = rule_pages(spark, sf), nodes_table(spark, sf), rule_sources(spark, sf)
     boxes, items = extracted(spark, sf)
-    items = items.filter("source_no <> 3")
     return lists.diagnose_list(lists.list_shape(pages, sources, boxes, items, lists.content_links(nodes, pages)))
 
 

@@ -32,13 +32,11 @@ def _ranked(values):
 
 
 @query("c1_shred_pages", """
-SELECT page_id, t AS tag, CAST(length(html) - length(replace(html, '<' || t, '')) AS BIGINT) // (length(t) + 1) AS n FROM pages, (SELECT unnest(['nav', 'ul', 'li>', 'a href', 'article', 'footer', 'h1', 'p>', 'br', 'title', 'meta']) AS t) x""")
+SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(
+  regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<script[^>]*>).*?</script>', '\\1', 'g')), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) t GROUP BY page_id, tag""")
 def c1(spark, sf):
-    # Named as they are written, so that the count of the text is the count of the elements.
-    written = {"nav": "nav", "ul": "ul", "li": "li>", "a": "a href", "article": "article", "footer": "footer", "h1": "h1", "p": "p>", "br": "br",
-               "title": "title", "meta": "meta"}
-    name = F.create_map(*[F.lit(x) for p in written.items() for x in p])[F.col("tag")]
-    return _nodes(spark, sf).filter(F.col("tag").isin(list(written))).groupBy("page_id", name.alias("tag")).agg(F.count("*").alias("n"))
+    """Elements by name: each page writes every start tag that it means, also those of html, head and body."""
+    return _nodes(spark, sf).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query("c1_node_texts", f"""

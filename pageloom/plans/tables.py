@@ -35,7 +35,7 @@ DIALECT = {
     },
 }
 
-# The twelve rule shapes a page's source can have; pages are spread over them.
+# The rule shapes a page's source can have: pages are spread over the first twelve, JSON bodies over the others.
 RULE_SHAPES = """
 SELECT * FROM (VALUES
  (0, 'healthy list', 'tag.nav@tag.li', 'a@text', 'a@href', '', '', '', false),
@@ -49,7 +49,14 @@ SELECT * FROM (VALUES
  (8, 'no address rule', 'ul li@all', 'a@text', '', '', '', '', true),
  (9, 'inferred', '', 'a@text', 'a@href', '', '', '', false),
  (10, 'parent step', 'nav@li@a@parent', 'a@text', 'a@href', '', '', 'article@p', false),
- (11, 'sibling step', 'nav@li@next', 'a@all@text', 'a@href', 'img@src', '', '', false)
+ (11, 'sibling step', 'nav@li@next', 'a@all@text', 'a@href', 'img@src', '', '', false),
+ (12, 'json path', '$.data.list', '$.title', '/v/{{$.aid}}', '', '', '<h3>{{$.data.list[0].title}}</h3><img src="/i/{{$.data.list[0].aid}}.png">', false),
+ (13, 'json descent', '$..book', '$.title', '$.url', '', '', '$..title', false),
+ (14, 'json inferred', '', '$.name##[aeiou]##_', '$.book.none||$.url||$.id', '', '', '', false),
+ (15, 'json filter', '$.data[?(@.id > 50)]', '$.name', 'https://x.example/{{$.id}}?t={{$.time##2##$0!}}', '', '$.time', '$.data[?(@.time == ''2024'')].name', false),
+ (16, 'json slice', '$.data.list[-1:]', '$.none||$.title||$.vod_name', 'u/{{$.aid}}', '$.vod_pic', '', '$.data.list[1].title', false),
+ (17, 'json bad path', '$.data[', '$.title', '', '', '', '$.data[?(', false),
+ (18, 'json any member', '$[*]', '$.book[''title'']', '$.url', '', '', '$[0].book.title', false)
 ) AS t(source_no, source_name, rule_articles, rule_title, rule_link, rule_image, rule_pub_date, rule_content, enable_js)
 """
 
@@ -149,6 +156,10 @@ SELECT p_partkey AS body_id,
        WHEN p_partkey % 6 = 4 THEN '{{"box":{{"rows2":[{{"book":{{"title":"deep ' || p_brand || '"}}}}]}},"book":{{"title":"top"}},"data":[]}}'
        ELSE '{{"broken":' || p_name END AS body
 FROM {part}""",
+    "fx_json_pages": """
+SELECT -1 - p_partkey AS page_id, 'https://api.example/list/' || CAST(p_partkey AS STRING) AS url, body AS html,
+  CAST(12 + CAST(floor(p_partkey / 6) AS BIGINT) % 7 AS INT) AS source_no
+FROM (SELECT body_id AS p_partkey, body FROM {fx_json_bodies}) b""",
     "fx_highlights": """
 SELECT doc_id * 10 + k AS hl_no, doc_id % 25 AS user_id, 'https://docs.example/' || CAST(doc_id AS STRING) AS url,
   'Doc ' || CAST(doc_id AS STRING) AS title, source AS source_name,
@@ -253,6 +264,12 @@ def nodes_table(spark: SparkSession, sf_dir: str, source: str = "pages") -> Data
     return _WRITTEN[key]
 
 
+def web_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All pages, the given ones and the JSON bodies, with their sources' numbers, and their nodes."""
+    pages = rule_pages(spark, sf_dir).unionByName(table(spark, sf_dir, "fx_json_pages"))
+    return pages, nodes_table(spark, sf_dir).unionByName(nodes_table(spark, sf_dir, "fx_json_pages"))
+
+
 def rule_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with the number of the source they belong to."""
     return table(spark, sf_dir, "pages").withColumn("source_no", (F.col("page_id") % 12).cast("int"))

@@ -105,3 +105,59 @@ def test_headers(one):
     assert one(r.parse_headers(F.lit('{"A":"x","B":2,"C":true,"D":{},"E":null}'))) == {"A": "x", "B": "2", "C": "true"}
     assert one(r.parse_headers(F.lit("A: x:y\n:z\njunk\nB :"))) == {"A": "x:y", "B": ""}
     assert one(r.parse_headers(F.lit("{broken"))) == {}
+
+
+STORE = {
+    "bins": [{"n": 1, "t": "a"}, {"n": 2, "t": "b", "x": {"n": 9}}, {"n": "3"}, {"m": None, "on": True}],
+    "t": "top", "box": {"t": "boxed"}, "it's?": {"q": 1}, "rows": [{"box": {"t": "x"}}, {"box": {"t": "y"}}]}
+FOUND = {
+    "$..t": ["top", "a", "b", "boxed", "x", "y"], "$.bins[0:2].n": ["1", "2"], "$.bins[-1].on": ["true"], "$.bins[?(@.n>1)].t": ["b"],
+    "$.bins[?(@.n > 1 && @.t == 'b')].n": ["2"], "$.bins[?(@.n==1 || @.x)].n": ["1", "2"], "$.bins[::2].n": ["1", "3"],
+    "$.bins[::-1].n": ["3", "2", "1"], "$.bins[0,2].n": ["1", "3"], "$['t','box'].t": ["boxed"], "bins.n": ["1", "2", "3"],
+    "$..n": ["1", "2", "9", "3"], "$.*.t": ["a", "b", "boxed"], '$["it\'s?"].q': ["1"], "$.bins[?(@.x.n == 9)].t": ["b"], "@.t": ["top"],
+    "$.bins[1:]..n": ["2", "9", "3"], "$.bins[?(@.t != 'a')].t": ["b"], "$.rows[-2:].box.t": ["x", "y"], "$.bins[:-1].n": ["1", "2", "3"],
+    "$.bins[3:0:-2].n": ["2"], "$.bins[?(@.m == null)].on": ["true"], "$.bins[?(@.on == true)].on": ["true"], "$.bins[?(@.n < 'z')].n": ["3"],
+    "$.bins[9].n": [], "$.bins[5:9].n": [], "$.bins[::0].n": []}
+NO_PATHS = ["$.bins[?(", "$.bins[a]", "$$.t", "$.bins[", "$.bins[?(@.n ~ 1)]", "$.bins[-]", "$.a]b"]
+
+
+def test_every_form_as_one_path_and_as_rows(one, spark):
+    paths = [*FOUND, *NO_PATHS]
+    for low in range(0, len(paths), 9):
+        some = paths[low: low + 9]
+        assert one(F.array(*[j.json_path(v(STORE), p) for p in some])) == [FOUND.get(p, []) for p in some]
+    assert all(j.path_steps(p) is None for p in NO_PATHS) and all(j.path_steps(p) is not None for p in FOUND)
+    df = spark.createDataFrame([(p, json.dumps(STORE)) for p in paths], "path string, body string").withColumn("steps", j.path_plan(F.col("path")))
+    rows = df.select("path", F.col("steps").isNotNull().alias("ok"), F.transform(j.json_select(F.parse_json("body"), F.col("steps")), j.json_text).alias("t")).collect()
+    assert {x.path: x.t for x in rows} == FOUND | dict.fromkeys(NO_PATHS, [])
+    assert {x.path for x in rows if not x.ok} == set(NO_PATHS)
+
+
+def test_one_deep_document_leaves_the_plan_of_others_alone(spark):
+    deep = {"k": 0}
+    for i in range(400):
+        deep = {"a": deep, "k": i + 1} if i % 2 else [deep]
+    rows = [(1, json.dumps(deep)), (2, '{"k":7}'), (3, None), (4, "{"), (5, "")]
+    df = spark.createDataFrame(rows, "id int, body string")
+    found = j.json_descend(df, "k")
+    assert {(x["id"], x["n"]) for x in found.groupBy("id").agg(F.count("*").alias("n")).collect()} == {(1, 201), (2, 1)}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+RULES = {
+    "$.t": "top", "$.none||$.box.t": "boxed", "/v/{{$.bins[0].n}}?q={{ $.t##o(.)##<$1> }}&z={{none}}": "/v/1?q=t<p>&z=", "$.t##P!##<$0>$$$7": "to<p>$",
+    "$.t##(open##x": "top", "$.t##(?<w>o)##[${w}${u}]": "t[o]p", "'a||b'||$.box.t": "boxed", "$..t": "top", "$.bins[?(": "", "": "", "{{$.bins[}}x": "x"}
+
+
+def test_rules_as_rows_agree_with_single_rules(one, spark):
+    df = spark.createDataFrame([(x, json.dumps(STORE)) for x in RULES], "rule string, body string").withColumn("plan", r.rule_plan(F.col("rule")))
+    got = df.select("rule", F.get(r.json_fields_by(F.parse_json("body"), F.array("plan"), ["ruleImage"]), F.lit(0)).alias("t")).collect()
+    assert {x.rule: x.t for x in got} == RULES
+    assert one(F.array(*[r.json_field(v(STORE), rule, "ruleImage") for rule in RULES])) == list(RULES.values())
+
+
+def test_usual_keys_stand_in_for_rules_that_find_nothing(spark):
+    df = spark.createDataFrame([("$.x", '{"name":"n","url":"/u","pic":"/p"}')], "rule string, body string")
+    plan = F.transform(F.array(F.col("rule"), F.lit(""), F.lit("$["), F.lit("$.y||$.z")), r.rule_plan)
+    row = df.select(r.json_fields_by(F.parse_json("body"), plan, ["ruleTitle", "ruleLink", "ruleImage", "rulePubDate"]).alias("f")).first()
+    assert row.f == ["n", "/u", "/p", ""]
