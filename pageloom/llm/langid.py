@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.arrays import mix, slices, text_buffer
-from pageloom.llm.tables import bare
+from pageloom.llm.tables import bare, packed, unpacked
 
 GRAM = 5  # bytes
 SAMPLE = 4000  # documents of each language
@@ -134,7 +134,7 @@ def _has_letters(texts: pa.Array) -> np.ndarray:
 
 
 def _judged(batches: Iterator[pa.RecordBatch], text: str, shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    model: Model = shared.value
+    model: Model = unpacked(shared)
     for batch in batches:
         for part in slices(batch, text):
             n = part.num_rows
@@ -162,7 +162,7 @@ def _judged(batches: Iterator[pa.RecordBatch], text: str, shared: Broadcast) ->
 
 def _identified(docs: DataFrame, model: Model, columns: list[str], text: str) -> DataFrame:
     """Some columns under names of their own (``c0``, ...), so that none clashes, and what is found."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = packed(docs.sparkSession, model)
     read = bare(docs, *columns).toDF(*[f"c{i}" for i in range(len(columns))])
     at = f"c{columns.index(text)}"
     shape = ", ".join([f"c{i} {read.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(columns))] + ["lang_pred string, score double, n_grams long"])

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.arrays import slices
-from pageloom.llm.tables import bare
+from pageloom.llm.tables import bare, packed, unpacked
 
 # Fixed patterns; what is found counts if it, or its second group, is long enough.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -253,7 +253,7 @@ def highest(net: Network, texts: list[str], spans: list[tuple[int, int, int]]) -
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    net: Network | None = shared.value
+    net: Network | None = unpacked(shared)
     for batch in (part for batch in batches for part in slices(batch, "text")):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         base = [base_findings(t) for t in texts]
@@ -272,7 +272,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[p
 
 def scan_secrets(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document its ``findings``: kind, start, end, by start and kind."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = packed(docs.sparkSession, net)
     read = bare(docs, key, text).toDF("key", "text")
     shape = f"key {docs.schema[key].dataType.simpleString()}, findings array<struct<kind: string, start: long, end: long>>"
     return read.mapInArrow(lambda it: _scanned(it, shared), shape).withColumnRenamed("key", key)

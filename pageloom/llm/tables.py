@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pickle
+from typing import Any
+
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,3 +23,12 @@ def parts(df: DataFrame) -> int:
 def slot(value: Column, n: int | Column) -> Column:
     """A number from 0 to ``n - 1`` by the hash of a value."""
     return F.pmod(F.xxhash64(value), F.lit(n) if isinstance(n, int) else n)
+
+
+def packed(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast of an object of this package's classes; their code goes with it, as executors need not have the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unpacked(shared: Broadcast) -> Any:
+    return pickle.loads(shared.value)

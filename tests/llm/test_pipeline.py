@@ -36,4 +36,4 @@ def test_each_stage_takes_effect(spark, tmp_path):
 
 
 def test_registered():
-    assert "pipeline" in LLM_QUERIES and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in LLM_QUERIES} - {"pipeline"}
+    assert "pipeline" in LLM_QUERIES and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in LLM_QUERIES} - {"pipeline"}
