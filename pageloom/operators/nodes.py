@@ -55,7 +55,6 @@ NODE_SCHEMA = T.StructType([
     T.StructField("type_ix", T.IntegerType()),
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("anc", T.ArrayType(T.IntegerType())),
     T.StructField("src_from", T.LongType()),
     T.StructField("src_to", T.LongType()),
     T.StructField("in_from", T.LongType()),
@@ -81,6 +80,7 @@ class _Shredder(HTMLParser):
         self.bytes_out = 0
         self.nodes: list[dict] = []
         self.open: list[dict] = []
+        self.places: dict[str, list[int]] = {}  # where in ``open`` the elements of each name are
         self._push("html", {}, 0, 0)
         self.body = None
         self.feed(html)
@@ -95,7 +95,7 @@ class _Shredder(HTMLParser):
         up = self.open[-1] if self.open else None
         node = {
             "id": len(self.nodes), "parent": up["id"] if up else None, "tag": tag, "attrs": attrs,
-            "anc": [o["id"] for o in self.open], "sib": up["kids"] if up else 0,
+            "depth": len(self.open), "sib": up["kids"] if up else 0,
             "src": [start, end], "inner": [end, end], "t": [self.bytes_out, self.bytes_out], "kids": 0, "types": {},
         }
         if up:
@@ -106,27 +106,29 @@ class _Shredder(HTMLParser):
         node["last"] = node["id"]
         self.nodes.append(node)
         if not empty:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def _pop_to(self, size: int, inner_end: int, end: int) -> None:
         """Close elements until ``size`` stay open; the lowest one owns the end tag."""
         while len(self.open) > size:
             node = self.open.pop()
+            self.places[node["tag"]].pop()
             lowest = len(self.open) == size
             node["inner"][1] = inner_end
             node["src"][1] = end if lowest else inner_end
             node["t"][1] = self.bytes_out
             node["last"] = len(self.nodes) - 1
 
+    def _innermost(self, tags) -> int:
+        """The place of the innermost open element of these names; 0, the root's, where there is none."""
+        return max((places[-1] for tag in tags if (places := self.places.get(tag))), default=0)
+
     def _end_open(self, targets, limits, at: int) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i]["tag"]
-            if tag in limits:
+        while (i := self._innermost(targets)) > self._innermost(limits):
+            self._pop_to(i, at, at)
+            if len(targets) == 1:
                 return
-            if tag in targets:
-                self._pop_to(i, at, at)
-                if len(targets) == 1:
-                    return
 
     def _need_body(self, at: int) -> None:
         if self.body is None:
@@ -173,10 +175,8 @@ class _Shredder(HTMLParser):
         end = close + 1 if close >= 0 else len(self.html)
         if tag in ("html", "body") or tag in VOID:
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i]["tag"] == tag:
-                self._pop_to(i, at, end)
-                return
+        if i := self._innermost([tag]):
+            self._pop_to(i, at, end)
 
     def handle_data(self, data):
         if self.body is None and len(self.open) <= 2 and self.open[-1]["tag"] in ("html", "head"):
@@ -205,8 +205,8 @@ def page_rows(page_id: int, html: str) -> Iterator[tuple]:
     whole = "".join(page.text).encode("utf-8", "replace")
     for n in page.nodes:
         yield (
-            page_id, n["id"], n["parent"], n["last"], len(n["anc"]), n["sib"], n["type"], n["tag"],
-            list(n["attrs"].items()), n["anc"],
+            page_id, n["id"], n["parent"], n["last"], n["depth"], n["sib"], n["type"], n["tag"],
+            list(n["attrs"].items()),
             to_byte(n["src"][0]), to_byte(n["src"][1]), to_byte(n["inner"][0]), to_byte(n["inner"][1]),
             n["t"][0], n["t"][1], whole if n["id"] == 0 else None,
         )

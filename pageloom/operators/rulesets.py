@@ -16,9 +16,13 @@ from pageloom.functions.text import html_to_text
 from pageloom.operators.nodes import page_texts
 from pageloom.operators.select import (
     FRONTIER, KEYS, PREFIXES, TERMINAL, XPATH_SEGMENT, XPATH_SKIPPED, XPATH_TAIL, best_text_matches, class_list, compile_rules, node_text, text_candidates,
+    with_last,
 )
+from pageloom.operators.within import inside
 from pageloom.session import Scratch, materialize
 
+RUNNING = [*FRONTIER, "last"]  # a frontier under way knows where its nodes end
+
 
 def selector_parts(css: Column) -> Column:
     """A selector as ``array<struct<tag,id,classes,attr,value,nth>>``, outermost first."""
@@ -97,43 +101,36 @@ def _part_holds(p: Column) -> Column:
 
 
 def _matches(active: DataFrame, here: DataFrame, nodes: DataFrame, longest: int, scratch: Scratch, name: str) -> DataFrame:
-    """Nodes matching each active selector on its pages: ``page_id, rule_id, node_id, anc``."""
+    """Nodes matching each active selector on its pages: ``page_id, rule_id, _to, _to_last``."""
     wanted = active.select("page_id", "rule_id", "parts").dropDuplicates(["page_id", "rule_id"])
     wanted = wanted.select("page_id", "rule_id", F.size("parts").alias("_len"), F.posexplode("parts").alias("_j", "_part"))
     wanted = wanted.withColumn("_token", _part_token(F.col("_part")))
     # Elements no rule of this step could look up are dropped before anything moves.
     # The tokens in use are as few as the rules' words, whatever the pages hold.
     used = here.filter(F.col("parts").isNotNull()).select(F.explode(F.transform("parts", _part_token)).alias("_token")).distinct()
-    known = nodes.select("page_id", "node_id", "anc", "tag", "attrs", "type_ix", F.explode(_tokens()).alias("_token"))
+    known = nodes.select("page_id", F.col("node_id").alias("_to"), F.col("last_desc").alias("_to_last"), "tag", "attrs", "type_ix", F.explode(_tokens()).alias("_token"))
     known = known.join(used, "_token", "left_semi")
     hits = known.join(wanted, ["page_id", "_token"]).filter(_part_holds(F.col("_part")))
-    hits = hits.select("page_id", "rule_id", "node_id", "anc", "_j", "_len")
+    hits = hits.select("page_id", "rule_id", "_to", "_to_last", "_j", "_len")
     if longest > 1:
         # Each level below reads the hits again.
         hits = scratch.keep(hits, f"hits-{name}")
     level = hits.filter(F.col("_j") == 0)
     done = [level.filter(F.col("_len") == 1)]
     for j in range(1, longest):
-        above = level.select("page_id", "rule_id", F.col("node_id").alias("_up"))
-        below = hits.filter(F.col("_j") == j)
-        under = (
-            below.select("page_id", "rule_id", "node_id", F.explode("anc").alias("_up"))
-            .join(above, ["page_id", "rule_id", "_up"], "left_semi").select("page_id", "rule_id", "node_id").distinct()
-        )
-        level = below.join(under, ["page_id", "rule_id", "node_id"], "left_semi")
+        above = level.select("page_id", "rule_id", F.col("_to").alias("_up"), F.col("_to_last").alias("_up_last"))
+        level = inside(above, hits.filter(F.col("_j") == j), ["page_id", "rule_id"], "_up", "_up_last", "_to", "left_semi", itself=False)
         done.append(level.filter(F.col("_len") == j + 1))
-    return reduce(DataFrame.unionByName, done).select("page_id", "rule_id", "node_id", "anc")
+    return reduce(DataFrame.unionByName, done).select("page_id", "rule_id", "_to", "_to_last")
 
 
 def _found(active: DataFrame, here: DataFrame, nodes: DataFrame, longest: int, in_container: bool, scratch: Scratch, name: str) -> DataFrame:
     """Matches inside each frontier node; ``src`` is the node they were found in."""
     matched = _matches(active, here, nodes, longest, scratch, name)
-    offered = matched.select("page_id", "rule_id", F.col("node_id").alias("_to"),
-                             F.explode(F.array_append("anc", F.col("node_id"))).alias("node_id"))
-    found = active.join(offered, ["page_id", "rule_id", "node_id"]).withColumnRenamed("node_id", "src")
-    is_self = F.col("_to") == F.col("src")
+    found = inside(active.withColumnRenamed("node_id", "src"), matched, ["page_id", "rule_id"], "src", "last", "_to")
     if in_container:
         return found
+    is_self = F.col("_to") == F.col("src")
     w = Window.partitionBy("page_id", "rule_id", "src", "ctx")
     found = found.withColumn("_own", F.max(is_self & F.col("simple")).over(w))
     return found.filter((F.col("_own") & is_self) | (~F.col("_own") & ~is_self)).drop("_own")
@@ -154,7 +151,7 @@ def run_rules(nodes: DataFrame, start: DataFrame, steps: DataFrame, in_container
 def _run(nodes: DataFrame, start: DataFrame, steps: DataFrame, in_container: bool, scratch: Scratch) -> DataFrame:
     # Every step reads these again: written once, they also have a known size, so
     # Catalyst may broadcast a small rule set and will not broadcast a large one.
-    steps, frontier = scratch.keep(steps, "steps"), scratch.keep(start.select(FRONTIER), "start")
+    steps, frontier = scratch.keep(steps, "steps"), scratch.keep(with_last(start.select(FRONTIER), nodes), "start")
     used = steps.groupBy("step_no", "op").agg(F.max(F.coalesce(F.size("parts"), F.lit(0))).alias("longest")).collect()
     last = max((r["step_no"] for r in used), default=-1)
     finished = []
@@ -169,43 +166,40 @@ def _run(nodes: DataFrame, start: DataFrame, steps: DataFrame, in_container: boo
             break
         moved = []
         first = in_container and k == 0
+        there = [*KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord"), F.col("_to_last").alias("last")]
+        to = [F.col("node_id").alias("_to"), F.col("last_desc").alias("_to_last")]
         if "select" in ops:
             act = cur.filter((F.col("op") == "select") & ((F.trim("arg") != "")))
-            moved.append(_found(act, here, nodes, ops["select"], first, scratch, f"select{k}").select(
-                *KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord")))
+            moved.append(_found(act, here, nodes, ops["select"], first, scratch, f"select{k}").select(there))
             # An empty selector stays where it is: the document or the container.
-            moved.append(cur.filter((F.col("op") == "select") & (F.trim("arg") == "")).select(FRONTIER))
+            moved.append(cur.filter((F.col("op") == "select") & (F.trim("arg") == "")).select(RUNNING))
         if "indexed" in ops:
             w = Window.partitionBy("page_id", "rule_id", "src", "ctx").orderBy("_to")
             hit = _found(cur.filter(F.col("op") == "indexed"), here, nodes, ops["indexed"], first, scratch, f"indexed{k}")
-            hit = hit.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == F.col("n") + 1)
-            moved.append(hit.select(*KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord")))
+            moved.append(hit.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == F.col("n") + 1).select(there))
         family = [op for op in ("all", "children", "child") if op in ops]
         if family:
             act = cur.filter(F.col("op").isin(family))
-            kids = nodes.select("page_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("_to"), "sib_ix")
+            kids = nodes.select("page_id", F.col("parent_id").alias("node_id"), *to, "sib_ix")
             down = act.join(kids, ["page_id", "node_id"]).filter((F.col("op") != "child") | (F.col("sib_ix") == F.col("n")))
-            following = steps.filter(F.col("step_no") == k + 1).select("rule_id").distinct()
             # "all" at the end of a rule only means "every match".
-            down = down.filter(F.col("op") != "all").select(*FRONTIER, "_to").unionByName(
-                down.filter(F.col("op") == "all").join(following, "rule_id", "left_semi").select(*FRONTIER, "_to"))
-            moved.append(down.select(*KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord")))
-            moved.append(act.filter(F.col("op") == "all").select(*KEYS, "node_id", F.array_append("ord", F.col("node_id")).alias("ord")))
+            following = steps.filter(F.col("step_no") == k + 1).select("rule_id", F.lit(True).alias("_goes_on")).distinct()
+            down = down.join(following, "rule_id", "left").filter((F.col("op") != "all") | F.col("_goes_on"))
+            moved.append(down.select(there))
+            moved.append(act.filter(F.col("op") == "all").select(*KEYS, "node_id", F.array_append("ord", F.col("node_id")).alias("ord"), "last"))
         if "parent" in ops:
             up = nodes.select("page_id", "node_id", F.col("parent_id").alias("_to")).filter(F.col("_to").isNotNull())
             hit = cur.filter(F.col("op") == "parent").join(up, ["page_id", "node_id"])
-            moved.append(hit.select(*KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord")))
+            moved.append(hit.join(nodes.select("page_id", *to), ["page_id", "_to"]).select(there))
         if "next" in ops or "prev" in ops:
             at = nodes.select("page_id", "node_id", "parent_id", "sib_ix")
-            to = nodes.select("page_id", "parent_id", "sib_ix", F.col("node_id").alias("_to"))
             hit = cur.filter(F.col("op").isin("next", "prev")).join(at, ["page_id", "node_id"])
             hit = hit.withColumn("sib_ix", F.col("sib_ix") + F.when(F.col("op") == "next", 1).otherwise(-1))
-            hit = hit.join(to, ["page_id", "parent_id", "sib_ix"])
-            moved.append(hit.select(*KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord")))
+            moved.append(hit.join(nodes.select("page_id", "parent_id", "sib_ix", *to), ["page_id", "parent_id", "sib_ix"]).select(there))
         if "text_match" in ops:
             act = cur.filter(F.col("op") == "text_match")
             moved.append(best_text_matches(act, text_candidates(nodes, act.select("page_id", "arg").distinct())))
-        step = reduce(DataFrame.unionByName, moved).groupBy(*KEYS, "node_id").agg(F.min("ord").alias("ord")).select(FRONTIER)
+        step = reduce(DataFrame.unionByName, moved).groupBy(*KEYS, "node_id").agg(F.min("ord").alias("ord"), F.any_value("last").alias("last")).select(RUNNING)
         frontier = scratch.keep(step, f"frontier{k}")
     return reduce(DataFrame.unionByName, finished)
 

@@ -2,9 +2,8 @@
 
 A frontier is ``page_id, rule_id, ctx, node_id, ord``. ``ord`` is the path of
 node numbers a result was reached by; comparing paths gives the order of the
-result list without numbering rows. Containment is an equality join: every
-matching node offers itself under each of its ancestors (``anc``), and a
-frontier node takes the ones offered under its own number.
+result list without numbering rows. Containment is an interval join over blocks of node
+numbers (:mod:`pageloom.operators.within`).
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.text import clean_text, html_to_text
 from pageloom.operators.nodes import page_texts
+from pageloom.operators.within import inside
 
 # --- fixed values -----------------------------------------------------------
 SELECTOR_TAGS = (
@@ -203,23 +203,19 @@ def match_simple(selector: str) -> Column:
 
 
 def match_selector(nodes: DataFrame, selector: str) -> DataFrame:
-    """All nodes a selector matches, wherever they are: ``page_id, node_id, anc``.
+    """All nodes a selector matches, wherever they are: ``page_id, node_id, last_desc``.
 
     A compound after a blank needs an ancestor that the compounds before it match.
     """
     parts = parse_selector(selector)
     if parts is None:
-        return nodes.filter(F.lit(False)).select("page_id", "node_id", "anc")
+        return nodes.filter(F.lit(False)).select("page_id", "node_id", "last_desc")
     out = None
     for part in parts:
-        hits = nodes.filter(match_part(part)).select("page_id", "node_id", "anc")
+        hits = nodes.filter(match_part(part)).select("page_id", "node_id", "last_desc")
         if out is not None:
-            above = out.select("page_id", F.col("node_id").alias("_up"))
-            under = (
-                hits.select("page_id", "node_id", F.explode("anc").alias("_up"))
-                .join(above, ["page_id", "_up"], "left_semi").select("page_id", "node_id").distinct()
-            )
-            hits = hits.join(under, ["page_id", "node_id"], "left_semi")
+            above = out.select("page_id", F.col("node_id").alias("_up"), F.col("last_desc").alias("_up_last"))
+            hits = inside(above, hits, ["page_id"], "_up", "_up_last", "node_id", "left_semi", itself=False)
         out = hits
     return out
 
@@ -239,18 +235,17 @@ def dedup_nodes(f: DataFrame) -> DataFrame:
     return f.groupBy(*KEYS, "node_id").agg(F.min("ord").alias("ord")).select(FRONTIER)
 
 
-def _offer(matched: DataFrame, simple: bool) -> DataFrame:
-    """Matches under every frontier node that could take them: ``page_id, src, node_id, own``."""
-    under = F.array_append(F.col("anc"), F.col("node_id")) if simple else F.col("anc")
-    return matched.select("page_id", "node_id", F.explode(under).alias("src"))
+def with_last(f: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Frontier rows with ``last``, the number of their node's last descendant."""
+    return f.join(nodes.select("page_id", "node_id", F.col("last_desc").alias("last")), ["page_id", "node_id"])
 
 
 def _within(frontier: DataFrame, nodes: DataFrame, selector: str) -> DataFrame:
     """Matches inside each frontier node, with ``src`` the node they were found in."""
     simple = is_simple(selector)
-    offered = _offer(match_selector(nodes, selector), simple)
-    f = frontier.withColumnRenamed("node_id", "src")
-    found = f.join(offered, ["page_id", "src"])
+    matched = match_selector(nodes, selector).select("page_id", "node_id")
+    f = with_last(frontier, nodes).withColumnRenamed("node_id", "src")
+    found = inside(f, matched, ["page_id"], "src", "last", "node_id", itself=simple)
     if simple:
         # A frontier node that matches keeps itself and is not descended into.
         w = Window.partitionBy("page_id", "src", "rule_id", "ctx")
@@ -321,39 +316,41 @@ def with_text(f: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def text_candidates(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Nodes whose text contains a wanted text: ``page_id, arg, node_id, anc, text``.
+    """Nodes whose text contains a wanted text: ``page_id, arg, node_id, last_desc, text``.
 
     ``wanted``: ``page_id, arg``. A node's text is a stretch of its page's, so pages
     without the wanted text drop out before their nodes are looked at.
     """
     holds = clean_text(F.col("doc_text").cast("string")).contains(F.col("arg"))
     pages = wanted.join(page_texts(nodes), "page_id").filter(holds)
-    rows = nodes.select("page_id", "node_id", "anc", "t_from", "t_to").join(pages, "page_id")
+    rows = nodes.select("page_id", "node_id", "last_desc", "t_from", "t_to").join(pages, "page_id")
     rows = rows.withColumn("text", node_text(F.col("t_from"), F.col("t_to"), F.col("doc_text")))
-    return rows.filter(F.col("text").contains(F.col("arg"))).select("page_id", "arg", "node_id", "anc", "text")
+    return rows.filter(F.col("text").contains(F.col("arg"))).select("page_id", "arg", "node_id", "last_desc", "text")
 
 
 def best_text_matches(active: DataFrame, candidates: DataFrame) -> DataFrame:
-    """C12 for frontier rows that carry the text they want in ``arg``."""
-    offered = candidates.select("page_id", "arg", "anc", "text", F.col("node_id").alias("_to"),
-                                F.explode(F.array_append("anc", F.col("node_id"))).alias("node_id"))
-    pool = active.select(*FRONTIER, "arg").join(offered, ["page_id", "arg", "node_id"])
+    """C12 for frontier rows that carry ``last`` and the text they want in ``arg``; with ``last`` of the matches."""
+    offered = candidates.select("page_id", "arg", "text", F.col("node_id").alias("_to"), F.col("last_desc").alias("_to_last"))
+    pool = inside(active.select(*FRONTIER, "last", "arg"), offered, ["page_id", "arg"], "node_id", "last", "_to")
     pool = pool.groupBy(*KEYS, "arg", "_to").agg(
         F.min(F.array_append("ord", F.col("_to"))).alias("ord"), F.max(F.col("_to") == F.col("node_id")).alias("_self"),
-        F.any_value("text").alias("text"), F.any_value("anc").alias("anc"))
+        F.any_value("text").alias("text"), F.any_value("_to_last").alias("_to_last"))
     exact = F.col("text") == F.col("arg")
     rank = F.when(exact & F.col("_self"), 0).when(exact, 1).otherwise(2)
     best = F.min("_rank").over(Window.partitionBy(*KEYS))
     hits = pool.withColumn("_rank", rank).withColumn("_best", best).filter(F.col("_rank") == F.col("_best"))
-    above = hits.filter(F.col("_rank") == 2).select(*KEYS, F.explode("anc").alias("_to"), F.lit(2).alias("_rank")).distinct()
-    return hits.join(above, [*KEYS, "_to", "_rank"], "left_anti").select(*KEYS, F.col("_to").alias("node_id"), "ord")
+    # In the order of node numbers, an element that holds a match holds the next one.
+    following = F.lead("_to").over(Window.partitionBy(*KEYS).orderBy("_to"))
+    hits = hits.withColumn("_holds", F.coalesce(following <= F.col("_to_last"), F.lit(False)))
+    return hits.filter((F.col("_rank") < 2) | ~F.col("_holds")).select(
+        *KEYS, F.col("_to").alias("node_id"), "ord", F.col("_to_last").alias("last"))
 
 
 def text_match(f: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """Nodes whose text is ``text``: in the frontier, else below it, else the
     deepest nodes that contain it."""
-    active = f.withColumn("arg", F.lit(text.strip()))
-    return best_text_matches(active, text_candidates(nodes, active.select("page_id", "arg").distinct()))
+    active = with_last(f, nodes).withColumn("arg", F.lit(text.strip()))
+    return best_text_matches(active, text_candidates(nodes, active.select("page_id", "arg").distinct())).select(FRONTIER)
 
 
 def each(f: DataFrame, nodes: DataFrame) -> DataFrame:

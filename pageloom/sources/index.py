@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.text import clean_text
 from pageloom.functions.urls import absolute_url, is_detail_link, numeric_id, origin_of
 from pageloom.operators.nodes import page_texts
+from pageloom.operators.within import inside
 from pageloom.operators.select import class_list, node_text
 from pageloom.session import materialize
 
@@ -80,17 +81,17 @@ def read_collection_index(nodes: DataFrame, pages: DataFrame, paths: IndexPaths
     """
     has = lambda name: F.array_contains(class_list(F.col("attrs")), name)
     cards = nodes.filter(has(CARD_CLASS)).select("page_id", F.col("node_id").alias("box"), "last_desc", F.lit(True).alias("card"))
-    bodies = nodes.filter(F.col("tag") == "tbody").select("page_id", F.col("node_id").alias("body"), has(TABLE_CLASS).alias("styled"))
-    rows = nodes.filter(F.col("tag") == "tr").select("page_id", F.col("node_id").alias("box"), "last_desc", F.explode("anc").alias("body"))
-    rows = rows.join(bodies, ["page_id", "body"]).groupBy("page_id", "box", "last_desc").agg(F.max("styled").alias("styled"))
+    bodies = nodes.filter(F.col("tag") == "tbody").select(
+        "page_id", F.col("node_id").alias("body"), F.col("last_desc").alias("body_last"), has(TABLE_CLASS).alias("styled"))
+    rows = nodes.filter(F.col("tag") == "tr").select("page_id", F.col("node_id").alias("box"), "last_desc")
+    rows = inside(bodies, rows, ["page_id"], "body", "body_last", "box", itself=False).groupBy("page_id", "box", "last_desc").agg(F.max("styled").alias("styled"))
     styled = rows.groupBy("page_id").agg(F.max("styled").alias("page_styled"))
     rows = rows.join(styled, "page_id").filter(F.col("styled") == F.col("page_styled"))
     boxes = cards.unionByName(rows.select("page_id", "box", "last_desc", F.lit(False).alias("card")))
 
     parts = nodes.filter(F.col("tag").isin("a", "span", "p", "td")).select(
-        "page_id", "node_id", "tag", F.coalesce(F.col("attrs")["href"], F.lit("")).alias("href"), "t_from", "t_to",
-        F.explode(F.array_append("anc", F.col("node_id"))).alias("box"))
-    parts = parts.join(boxes, ["page_id", "box"]).join(page_texts(nodes), "page_id")
+        "page_id", "node_id", "tag", F.coalesce(F.col("attrs")["href"], F.lit("")).alias("href"), "t_from", "t_to")
+    parts = inside(boxes, parts, ["page_id"], "box", "last_desc", "node_id").join(page_texts(nodes), "page_id")
     parts = parts.withColumn("text", node_text(F.col("t_from"), F.col("t_to"), F.col("doc_text"))).drop("doc_text")
     parts = materialize(parts, "index_parts")
     is_a = F.col("tag") == "a"

@@ -97,17 +97,20 @@ def test_node_table_is_a_tree():
     ids = {r[1]: r for r in rows}
     assert [r[1] for r in rows] == list(range(len(rows)))
     for r in rows:
-        anc = r[9]
+        anc, up = [], r[2]
+        while up is not None:
+            anc.insert(0, up)
+            up = ids[up][2]
         assert r[4] == len(anc) and (not anc or anc[-1] == r[2])
         assert all(a < r[1] <= ids[a][3] for a in anc)
-        assert r[10] <= r[12] <= r[13] <= r[11] and r[14] <= r[15]
+        assert r[9] <= r[11] <= r[12] <= r[10] and r[13] <= r[14]
         for a in anc:
-            assert ids[a][10] <= r[10] and r[11] <= ids[a][11] and ids[a][14] <= r[14] and r[15] <= ids[a][15]
+            assert ids[a][9] <= r[9] and r[10] <= ids[a][10] and ids[a][13] <= r[13] and r[14] <= ids[a][14]
     tags = [r[7] for r in rows]
     assert tags.count("p") == 2 and tags.count("li") == 2 and tags.count("td") == 3 and tags.count("tr") == 2
     raw = html.encode()
-    assert [raw[r[10]:r[11]].decode() for r in rows if r[7] == "li"] == ["<li>1", "<li>2"]
-    whole = rows[0][16].decode()
+    assert [raw[r[9]:r[10]].decode() for r in rows if r[7] == "li"] == ["<li>1", "<li>2"]
+    whole = rows[0][15].decode()
     assert whole == "ab12xyzét" + "var a='</p>'"
 
 
