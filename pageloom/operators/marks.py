@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.hashing import highlight_id
 from pageloom.functions.text import SPACE, strip
-from pageloom.operators.common import contains_any, first_per_key
+from pageloom.operators.common import contains_any, first_per_key, join_skewed
 from pageloom.session import materialize
 
 # --- fixed values -----------------------------------------------------------
@@ -74,7 +74,7 @@ def locate_highlights(highlights: DataFrame, articles: DataFrame) -> DataFrame:
     """
     bare = lambda c: F.regexp_replace(c, rf"[{SPACE}\x{{FEFF}}]+", "")
     flat = articles.select("url", bare(F.col("article_text")).alias("_flat"))
-    rows = highlights.withColumn("_needle", bare(F.col("text"))).join(flat, "url", "left")
+    rows = join_skewed(highlights.withColumn("_needle", bare(F.col("text"))), flat, ["url"], "left")
     count = F.floor((F.length("_flat") - F.length(F.replace("_flat", F.col("_needle"), F.lit("")))) / F.length("_needle"))
     found = F.when((F.col("_needle") == "") | F.col("_flat").isNull(), 0).otherwise(count).cast("bigint")
     return rows.withColumn("occurrences", found).drop("_flat", "_needle")

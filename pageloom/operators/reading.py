@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.times import epoch_micros, local_day
-from pageloom.operators.common import contains_any, first_per_key, top_per_group
+from pageloom.operators.common import contains_any, first_per_key, join_skewed, top_per_group
 
 # --- fixed values -----------------------------------------------------------
 ARTICLE_CAP_SECONDS = 30 * 60
@@ -155,25 +155,18 @@ def contents_marks(items: DataFrame, progress: DataFrame) -> DataFrame:
     return rows.withColumn("mark", mark)
 
 
-LISTS_PER_LINK = 64
-
-
 def _items_read(shelf: DataFrame, items: DataFrame, progress: DataFrame) -> DataFrame:
-    """Positions on the items of lists: ``user_id, source_id, category, ratio``.
+    """Positions on the items of the lists on each reader's shelf: ``user_id, source_id, category, ratio``.
 
-    Most links stand in one list or a few, and a position joins those. A link
-    that stands in very many lists (a banner on every page) would pair each of
-    its readers with all of them; its positions go through the reader's own shelf
-    instead and only meet the lists that are on it.
+    Readers come first: what is on a shelf names the lists, these name the reader's
+    links, and only those are looked up among the reader's positions. So a link that
+    stands in very many lists meets nobody who has none of them, and the rows in between
+    are the items that shelves hold. A list that a third of all shelves hold is dealt over many parts.
     """
-    where = items.select("source_id", "category", "link")
-    seen = progress.select("user_id", F.col("url").alias("link"), "ratio")
-    wide = where.groupBy("link").count().filter(F.col("count") > LISTS_PER_LINK).select("link")
-    near = where.join(wide, "link", "left_anti").join(seen, "link")
     owned = shelf.select("user_id", "source_id", "category").distinct()
-    far = seen.join(wide, "link", "left_semi").join(owned, "user_id").join(where, ["link", "source_id", "category"])
-    columns = ["user_id", "source_id", "category", "ratio"]
-    return near.select(columns).unionByName(far.select(columns))
+    wanted = join_skewed(owned, items.select("source_id", "category", "link"), ["source_id", "category"])
+    seen = progress.select("user_id", F.col("url").alias("link"), "ratio")
+    return wanted.join(seen, ["user_id", "link"]).select("user_id", "source_id", "category", "ratio")
 
 
 def shelf_progress(shelf: DataFrame, sources: DataFrame, items: DataFrame, progress: DataFrame) -> DataFrame:
@@ -181,7 +174,7 @@ def shelf_progress(shelf: DataFrame, sources: DataFrame, items: DataFrame, progr
 
     ``sources``: ``source_id`` of the library; ``items``: ``source_id, category,
     link`` of first pages plus ``has_next``. Positions are counted per reader and
-    list before the shelf is joined.
+    list.
     """
     lists = items.groupBy("source_id", "category").agg(F.count("*").alias("total"), F.bool_or("has_next").alias("more"))
     read = _items_read(shelf, items, progress).groupBy("user_id", "source_id", "category").agg(

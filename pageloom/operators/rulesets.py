@@ -19,7 +19,7 @@ from pageloom.operators.select import (
     with_last,
 )
 from pageloom.operators.within import inside
-from pageloom.session import Scratch, materialize
+from pageloom.session import Scratch, joining_in_place, materialize
 
 RUNNING = [*FRONTIER, "last"]  # a frontier under way knows where its nodes end
 
@@ -144,7 +144,7 @@ def run_rules(nodes: DataFrame, start: DataFrame, steps: DataFrame, in_container
     ``in_container`` starts rules inside list containers, where the container
     counts as part of the searched fragment.
     """
-    with Scratch(nodes.sparkSession) as scratch:
+    with Scratch(nodes.sparkSession) as scratch, joining_in_place(nodes.sparkSession):
         return materialize(_run(nodes, start, steps, in_container, scratch), "selected")
 
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import audit, library, lyrics, marks, reading
+from pageloom.operators import audit, common, library, lyrics, marks, reading
 from pageloom.operators.common import first_per_key, top_per_group
 
 H = "user_id long, url string, source_id string, source_name string, title string, viewed_at timestamp_ntz"
@@ -140,12 +140,23 @@ def test_shelf_progress_notes(spark):
     assert got == {"gone": (None, 0, 0, "source_gone"), "empty": (0, 0, 0, "list_empty"), "long": (3, 1, 1, "first_page_only"), "short": (1, 0, 0, "")}
 
 
+def test_skewed_join_against_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_SHARE", 4)
+    monkeypatch.setattr(common, "SPLITS", 5)
+    rnd = random.Random(2)
+    left = spark.createDataFrame([(0 if i % 5 else rnd.randrange(9), rnd.choice("ab"), i // 3) for i in range(400)], "k int, c string, x int")
+    right = spark.createDataFrame([(k, c, f"{k}{c}{i}") for k in range(7) for c in "ab" for i in range(k % 3)] + [(0, "a", "z"), (0, "b", "z")], "k int, c string, y string")
+    for how in ("inner", "left"):
+        got, want = common.join_skewed(left, right, ["k", "c"], how), left.join(right, ["k", "c"], how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_shelf_progress_with_a_link_on_every_list(spark, monkeypatch):
-    """The banner stands in more lists than the limit; its readers still count right."""
-    monkeypatch.setattr(reading, "LISTS_PER_LINK", 5)
+    """The banner stands in every list, and one list is on every shelf."""
+    monkeypatch.setattr(common, "HEAVY_SHARE", 10)
     rnd = random.Random(9)
     links = [(f"s{i}", "all", link, False) for i in range(20) for link in ("banner", f"l{i}a", f"l{i % 4}b")]
-    shelf = [(u, f"s{s}", "all", at("2024-01-01")) for u in range(6) for s in rnd.sample(range(20), 5)]
+    shelf = [(u, f"s{s}", "all", at("2024-01-01")) for u in range(6) for s in {0, *rnd.sample(range(20), 5)}]
     seen = [(u, link, rnd.choice([0.01, 0.5, 1.0]), at("2024-01-01")) for u in range(6) for link in {x[2] for x in links} if rnd.random() < 0.6]
     ratio = {(u, link): r for u, link, r, _ in seen}
     out = reading.shelf_progress(
