@@ -103,8 +103,12 @@ def record_history(history: DataFrame, opened: DataFrame, keep: int = HISTORY_KE
 
     ``event_id`` breaks ties between equal times, the later one wins.
     """
-    both = history.unionByName(opened, allowMissingColumns=True)
-    latest = first_per_key(both, ["user_id", "url"], [newest("viewed_at"), -F.col("event_id")])
+    return latest_history(history.unionByName(opened, allowMissingColumns=True), keep)
+
+
+def latest_history(rows: DataFrame, keep: int = HISTORY_KEPT) -> DataFrame:
+    """Of rows of a history the newest per reader and address, the newest ``keep`` per reader."""
+    latest = first_per_key(rows, ["user_id", "url"], [newest("viewed_at"), -F.col("event_id")])
     kept = top_per_group(latest, ["user_id"], [F.col("viewed_at").desc(), F.col("event_id").desc()], keep, ["url"])
     return kept.drop("_rank")
 
@@ -128,9 +132,14 @@ def upsert_progress(progress: DataFrame | None, events: DataFrame, keep: int = P
         # Positions stored without the event they are from lose ties against new ones.
         event = F.col("event_id") if "event_id" in progress.columns else F.lit(-1).cast("bigint")
         new = new.unionByName(progress.select("user_id", "url", "ratio", "updated_at", event.alias("event_id")))
-    latest = first_per_key(new, ["user_id", "url"], [newest("updated_at"), -F.col("event_id")])
+    return latest_positions(new, keep).select("user_id", "url", "ratio", "updated_at", *["event_id"] * with_event)
+
+
+def latest_positions(rows: DataFrame, keep: int = PROGRESS_KEPT) -> DataFrame:
+    """Of positions with their ``event_id`` the latest per reader and address, the newest ``keep`` per reader."""
+    latest = first_per_key(rows, ["user_id", "url"], [newest("updated_at"), -F.col("event_id")])
     kept = top_per_group(latest, ["user_id"], [F.col("updated_at").desc(), F.col("event_id").desc()], keep, ["url"])
-    return kept.select("user_id", "url", "ratio", "updated_at", *["event_id"] * with_event)
+    return kept.select("user_id", "url", "ratio", "updated_at", "event_id")
 
 
 def progress_for(progress: DataFrame, urls: DataFrame) -> DataFrame:

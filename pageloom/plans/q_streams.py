@@ -31,7 +31,7 @@ def _replay(df, parts: int = 3):
 def i1(spark, sf):
     stream, target, checkpoint = _replay(table(spark, sf, "fx_progress_events"))
     inc.stream_progress(stream, target, checkpoint).awaitTermination()
-    return spark.read.parquet(target).select("user_id", "url", "ratio", "updated_at")
+    return inc.progress_table(spark, target).read().select("user_id", "url", "ratio", "updated_at")
 
 
 @query("i2_stream_audit", LATEST + "SELECT source_id, run_no, ok FROM latest")
@@ -39,19 +39,20 @@ def i2(spark, sf):
     health = _health(spark, sf).select("source_id", "run_no", "checked_s", "ok", "any_fail", "any_warn")
     stream, target, checkpoint = _replay(health)
     inc.stream_audit(stream, target, checkpoint).awaitTermination()
-    return spark.read.parquet(target).select("source_id", "run_no", "ok")
+    return inc.audit_table(spark, target).read().select("source_id", "run_no", "ok")
 
 
 @query("i3_stream_pages", LINKS + "SELECT DISTINCT CAST(page_id % 12 AS INT) AS source_no, link FROM numbered WHERE n <= 200")
 def i3(spark, sf):
     stream, target, checkpoint = _replay(rule_pages(spark, sf))
     inc.stream_pages(stream, target, checkpoint).awaitTermination()
-    return spark.read.parquet(target).select("source_no", "link")
+    return inc.links_table(spark, target).read().select("source_no", "link")
 
 
 @query("i4_stream_reading_minutes", READING + "SELECT user_id, day, articles, secs FROM daily")
 def i4(spark, sf):
     opened, root, checkpoint = _replay(table(spark, sf, "fx_opened"), 2)
     positions, _, _ = _replay(table(spark, sf, "fx_progress_events"), 2)
-    inc.stream_reading_minutes(opened, positions, f"{root}/history", f"{root}/progress", f"{root}/daily", checkpoint)
-    return spark.read.parquet(f"{root}/daily").select("user_id", "day", "articles", "secs")
+    tables = f"{root}/history", f"{root}/progress", f"{root}/daily"
+    inc.stream_reading_minutes(opened, positions, *tables, checkpoint).awaitTermination()
+    return inc.reading_tables(spark, *tables)[2].read().select("user_id", "day", "articles", "secs")

@@ -1,99 +1,80 @@
 """Keeping record tables current from streams.
 
-Each job is a ``foreachBatch`` over a target table. A batch works on the keys it
-brings, merges with the stored rows of those keys' buckets and replaces only
-those buckets, so the cost of a batch follows what changed and not the table.
-Batches may be replayed after a failure; every merge is idempotent (one row per
-key wins whatever the order), so a replay changes nothing. No operator keeps state in the
+Each job is a ``foreachBatch`` that appends what a batch brings to a table kept as
+a log of changes (:mod:`pageloom.streaming.changelog`); every ``fold_every`` batches
+the log is folded, which :meth:`ChangeLog.compact` may do as a job of its own as well. Of each key one row wins
+whatever the order of arrival, so a replayed batch changes nothing. No operator keeps state in the
 stream: a stateful de-duplication of addresses would grow without bound.
 """
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pageloom.operators.audit import outcome
 from pageloom.operators.common import first_per_key
-from pageloom.operators.nodes import shred_pages
 from pageloom.operators.lists import content_links
-from pageloom.operators.reading import daily_reading, record_history, upsert_progress
-from pageloom.session import materialize
+from pageloom.operators.nodes import shred_pages
+from pageloom.operators.reading import daily_reading, latest_history, latest_positions, upsert_progress
+from pageloom.session import Scratch
+from pageloom.streaming.changelog import ChangeLog
 
-BUCKETS = 64
+FOLD_EVERY = 16  # batches
 POSITIONS = "user_id long, url string, ratio float, updated_at timestamp_ntz"  # of a table that is not there yet
 
 
-def _fs(spark: SparkSession, path: str):
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
-
+def _start(stream: DataFrame, checkpoint: str, run: Callable[[DataFrame, int], None], trigger: dict | None) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, hpath = _fs(spark, path)
-    return fs.exists(hpath)
 
+def _stream_id(checkpoint: str) -> str:
+    """Batches are numbered by checkpoint; another checkpoint begins numbers of its own."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-def bucket_of(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
+def progress_table(spark: SparkSession, target: str, keep: int = 500) -> ChangeLog:
+    return ChangeLog(spark, target, "user_id", lambda rows: latest_positions(rows, keep))
 
-def merge_into(batch: DataFrame, path: str, key: str, aside: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
-    """Rewrite the buckets of ``path`` that hold keys of ``batch``.
 
-    ``merge(stored, batch)`` gets the stored rows of those buckets (``None`` when
-    there is no table yet) and returns what they shall hold. The result is first
-    completed in ``aside``, a folder of this very batch under the checkpoint: if
-    the job dies while buckets are being replaced, the replay finds it finished
-    and only repeats the replacing.
-    """
-    spark = batch.sparkSession
-    if not exists(spark, aside + "/_SUCCESS"):
-        batch = batch.withColumn("bucket", bucket_of(key))
-        touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        if not touched:
-            return
-        stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket") if exists(spark, path) else None
-        merged = merge(stored, batch.drop("bucket")).withColumn("bucket", bucket_of(key))
-        merged.write.mode("overwrite").parquet(aside)
-    done = spark.read.parquet(aside)
-    writer = done.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("bucket").parquet(path)
-
-
-def stream_progress(events: DataFrame, target: str, checkpoint: str, keep: int = 500) -> StreamingQuery:
+def stream_progress(events: DataFrame, target: str, checkpoint: str, keep: int = 500, fold_every: int = FOLD_EVERY, trigger: dict | None = None) -> StreamingQuery:
     """Reading positions to the latest clamped position per reader and address.
 
-    ``events``: ``user_id, url, ratio_raw, updated_at, event_id``.
+    ``events``: ``user_id, url, ratio_raw, updated_at, event_id``. :func:`progress_table` reads the result.
     """
-
-    def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
-        return upsert_progress(stored, batch, keep, with_event=True)
+    table = progress_table(events.sparkSession, target, keep)
 
     def run(batch: DataFrame, n: int) -> None:
-        merge_into(batch, target, "user_id", f"{checkpoint}/merges/{n}", merge)
+        table.append(upsert_progress(None, batch, keep, with_event=True), _stream_id(checkpoint), n)
+        table.compact(fold_every)
 
-    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(events, checkpoint, run, trigger)
 
 
-def stream_audit(results: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def audit_table(spark: SparkSession, target: str) -> ChangeLog:
+    return ChangeLog(spark, target, "source_id", lambda rows: first_per_key(rows, ["source_id"], [-F.col("checked_s"), -F.col("run_no")]))
+
+
+def stream_audit(results: DataFrame, target: str, checkpoint: str, fold_every: int = FOLD_EVERY, trigger: dict | None = None) -> StreamingQuery:
     """Audit results to the latest verdict per source.
 
-    ``results``: ``source_id, run_no, checked_s, ok, any_fail, any_warn``. Counters
-    come from :func:`audit_counters` over the target.
+    ``results``: ``source_id, run_no, checked_s, ok, any_fail, any_warn``. :func:`audit_table` reads the
+    result, :func:`audit_counters` counts over it.
     """
-
-    def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
-        both = batch if stored is None else stored.unionByName(batch)
-        return first_per_key(both, ["source_id"], [-F.col("checked_s"), -F.col("run_no")])
+    table = audit_table(results.sparkSession, target)
 
     def run(batch: DataFrame, n: int) -> None:
-        merge_into(batch, target, "source_id", f"{checkpoint}/merges/{n}", merge)
+        table.append(batch, _stream_id(checkpoint), n)
+        table.compact(fold_every)
 
-    return results.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(results, checkpoint, run, trigger)
 
 
 def audit_counters(latest: DataFrame) -> DataFrame:
@@ -102,66 +83,72 @@ def audit_counters(latest: DataFrame) -> DataFrame:
                       F.count_if(kind == "warn").alias("warn"), F.count_if(kind == "failed").alias("failed"))
 
 
-def stream_pages(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def links_table(spark: SparkSession, target: str) -> ChangeLog:
+    return ChangeLog(spark, target, "link", lambda rows: first_per_key(rows, ["source_no", "link"], [F.col("page_id"), F.col("ix")]))
+
+
+def stream_pages(pages: DataFrame, target: str, checkpoint: str, fold_every: int = FOLD_EVERY, trigger: dict | None = None) -> StreamingQuery:
     """Page snapshots to the links of each source not seen before.
 
     ``pages``: ``page_id, url, html, source_no``. Whatever a source listed first
-    stays; later pages only append what is new.
+    stays; later pages only add what is new. :func:`links_table` reads the result.
     """
-
-    def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
-        both = batch if stored is None else stored.unionByName(batch)
-        return first_per_key(both, ["source_no", "link"], [F.col("page_id"), F.col("ix")])
+    table = links_table(pages.sparkSession, target)
 
     def run(batch: DataFrame, n: int) -> None:
         # Shredding is the costly part and is read several times below.
-        nodes = materialize(shred_pages(batch), "nodes")
-        links = content_links(nodes, batch).join(batch.select("page_id", "source_no"), "page_id")
-        merge_into(links.select("source_no", "link", "title", "kind", "page_id", "ix"), target, "link",
-                   f"{checkpoint}/merges/{n}", merge)
+        with Scratch(batch.sparkSession) as scratch:
+            nodes = scratch.keep(shred_pages(batch), "nodes")
+            links = content_links(nodes, batch).join(batch.select("page_id", "source_no"), "page_id")
+            table.append(links.select("source_no", "link", "title", "kind", "page_id", "ix"), _stream_id(checkpoint), n)
+        table.compact(fold_every)
+
+    return _start(pages, checkpoint, run, trigger)
+
+
+def _last_written(rows: DataFrame) -> DataFrame:
+    """The days that were written last for each reader."""
+    last = rows.groupBy("user_id").agg(F.max("written_us").alias("_last"))
+    return rows.join(last, "user_id").filter(F.col("written_us") == F.col("_last")).drop("_last")
 
-    return pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def reading_tables(spark: SparkSession, history: str, progress: str, daily: str) -> tuple[ChangeLog, ChangeLog, ChangeLog]:
+    return ChangeLog(spark, history, "user_id", latest_history), progress_table(spark, progress), ChangeLog(spark, daily, "user_id", _last_written)
+
+
+def _tagged(kind: str, stream: DataFrame, columns: dict[str, T.DataType]) -> DataFrame:
+    there = [F.col(c) if c in stream.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+    return stream.select(F.lit(kind).alias("_kind"), *there)
 
 
 def stream_reading_minutes(opened: DataFrame, positions: DataFrame, history: str, progress: str, daily: str, checkpoint: str,
-                           tz: str = "UTC") -> list[StreamingQuery]:
-    """I4: history, positions and daily totals kept from the two record streams.
+                           tz: str = "UTC", fold_every: int = FOLD_EVERY, trigger: dict | None = None) -> StreamingQuery:
+    """I4: history, positions and daily totals kept from the two record streams, read as one.
 
+    Both streams are tagged and united, so a batch holds what has arrived of either and
+    the two keep step; ``trigger`` may be ``{"processingTime": "1 minute"}`` for a job that goes on.
     A late position changes the window of an article already counted, and the
     30-minute cap makes that change unequal to an increment; so the days of every
-    reader a batch touches are recomputed from the stored records.
+    reader a batch touches are computed anew from the stored records. :func:`reading_tables` reads the results.
     """
     spark = opened.sparkSession
+    stored, placed, days = reading_tables(spark, history, progress, daily)
+    columns = {f.name: f.dataType for s in (opened, positions) for f in s.schema}
 
-    def recompute(users: DataFrame, aside: str) -> None:
-        """Rewrite the daily rows of the readers in ``users``."""
-        if not exists(spark, history):
-            return
-        users = materialize(users.distinct(), "users")
-        buckets = [r[0] for r in users.select(bucket_of("user_id")).distinct().collect()]  # at most BUCKETS numbers
-        mine = lambda path: spark.read.parquet(path).filter(F.col("bucket").isin(buckets)).join(users, "user_id", "left_semi")
-        placed = mine(progress) if exists(spark, progress) else spark.createDataFrame([], POSITIONS)
-        days = materialize(daily_reading(mine(history), placed, tz), "days")
-
-        def merge(stored: DataFrame | None, fresh: DataFrame) -> DataFrame:
-            return fresh if stored is None else stored.join(users, "user_id", "left_anti").unionByName(fresh)
-
-        merge_into(days, daily, "user_id", aside, merge)
-
-    def on_opened(batch: DataFrame, n: int) -> None:
-        merge_into(batch, history, "user_id", f"{checkpoint}/opened-merges/{n}",
-                   lambda stored, new: record_history(new if stored is None else stored, new))
-        recompute(batch.select("user_id"), f"{checkpoint}/opened-days/{n}")
-
-    def on_positions(batch: DataFrame, n: int) -> None:
-        merge_into(batch, progress, "user_id", f"{checkpoint}/position-merges/{n}",
-                   lambda stored, new: upsert_progress(stored, new, with_event=True))
-        recompute(batch.select("user_id"), f"{checkpoint}/position-days/{n}")
-
-    out = []
-    # One after the other: both rewrite the daily table.
-    for name, stream, run in (("opened", opened, on_opened), ("positions", positions, on_positions)):
-        q = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
-        q.awaitTermination()
-        out.append(q)
-    return out
+    def run(batch: DataFrame, n: int) -> None:
+        name = _stream_id(checkpoint)
+        with Scratch(spark) as scratch:
+            batch = scratch.keep(batch, "batch")
+            stored.append(batch.filter("_kind = 'opened'").select(opened.columns), name, n)
+            placed.append(upsert_progress(None, batch.filter("_kind = 'position'").select(positions.columns), with_event=True), name, n)
+            users = scratch.keep(batch.select("user_id").distinct(), "users")
+            buckets = [r[0] for r in users.select(stored.bucket()).distinct().collect()]  # at most as many numbers as there are buckets
+            if buckets:
+                mine = lambda table: table.read(buckets).join(users, "user_id", "left_semi")
+                fresh = daily_reading(mine(stored), mine(placed), tz)
+                days.append(fresh.withColumn("written_us", F.lit(time.time_ns() // 1000)), name, n)
+        for table in (stored, placed, days):
+            table.compact(fold_every)
+
+    both = _tagged("opened", opened, columns).unionByName(_tagged("position", positions, columns))
+    return _start(both, checkpoint, run, trigger)
