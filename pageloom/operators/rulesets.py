@@ -100,16 +100,20 @@ def _part_holds(p: Column) -> Column:
     )
 
 
-def _matches(active: DataFrame, here: DataFrame, nodes: DataFrame, longest: int, scratch: Scratch, name: str) -> DataFrame:
+BROADCAST_WORDS = 100_000  # words of a step's selectors, some hundred bytes each
+
+
+def _matches(active: DataFrame, here: DataFrame, nodes: DataFrame, longest: int, words: int, scratch: Scratch, name: str) -> DataFrame:
     """Nodes matching each active selector on its pages: ``page_id, rule_id, _to, _to_last``."""
     wanted = active.select("page_id", "rule_id", "parts").dropDuplicates(["page_id", "rule_id"])
     wanted = wanted.select("page_id", "rule_id", F.size("parts").alias("_len"), F.posexplode("parts").alias("_j", "_part"))
     wanted = wanted.withColumn("_token", _part_token(F.col("_part")))
     # Elements no rule of this step could look up are dropped before anything moves.
-    # The tokens in use are as few as the rules' words, whatever the pages hold.
+    # The tokens in use are as few as the rules' words, whatever the pages hold; they were
+    # counted, so that a set too large to be sent around is joined by sorting.
     used = here.filter(F.col("parts").isNotNull()).select(F.explode(F.transform("parts", _part_token)).alias("_token")).distinct()
     known = nodes.select("page_id", F.col("node_id").alias("_to"), F.col("last_desc").alias("_to_last"), "tag", "attrs", "type_ix", F.explode(_tokens()).alias("_token"))
-    known = known.join(used, "_token", "left_semi")
+    known = known.join(F.broadcast(used) if words <= BROADCAST_WORDS else used, "_token", "left_semi")
     hits = known.join(wanted, ["page_id", "_token"]).filter(_part_holds(F.col("_part")))
     hits = hits.select("page_id", "rule_id", "_to", "_to_last", "_j", "_len")
     if longest > 1:
@@ -124,9 +128,9 @@ def _matches(active: DataFrame, here: DataFrame, nodes: DataFrame, longest: int,
     return reduce(DataFrame.unionByName, done).select("page_id", "rule_id", "_to", "_to_last")
 
 
-def _found(active: DataFrame, here: DataFrame, nodes: DataFrame, longest: int, in_container: bool, scratch: Scratch, name: str) -> DataFrame:
+def _found(active: DataFrame, here: DataFrame, nodes: DataFrame, longest: int, words: int, in_container: bool, scratch: Scratch, name: str) -> DataFrame:
     """Matches inside each frontier node; ``src`` is the node they were found in."""
-    matched = _matches(active, here, nodes, longest, scratch, name)
+    matched = _matches(active, here, nodes, longest, words, scratch, name)
     found = inside(active.withColumnRenamed("node_id", "src"), matched, ["page_id", "rule_id"], "src", "last", "_to")
     if in_container:
         return found
@@ -152,7 +156,8 @@ def _run(nodes: DataFrame, start: DataFrame, steps: DataFrame, in_container: boo
     # Every step reads these again: written once, they also have a known size, so
     # Catalyst may broadcast a small rule set and will not broadcast a large one.
     steps, frontier = scratch.keep(steps, "steps"), scratch.keep(with_last(start.select(FRONTIER), nodes), "start")
-    used = steps.groupBy("step_no", "op").agg(F.max(F.coalesce(F.size("parts"), F.lit(0))).alias("longest")).collect()
+    parts = F.coalesce(F.size("parts"), F.lit(0))
+    used = steps.groupBy("step_no", "op").agg(F.max(parts).alias("longest"), F.sum(parts).alias("words")).collect()
     last = max((r["step_no"] for r in used), default=-1)
     finished = []
     for k in range(last + 2):
@@ -168,15 +173,17 @@ def _run(nodes: DataFrame, start: DataFrame, steps: DataFrame, in_container: boo
         first = in_container and k == 0
         there = [*KEYS, F.col("_to").alias("node_id"), F.array_append("ord", F.col("_to")).alias("ord"), F.col("_to_last").alias("last")]
         to = [F.col("node_id").alias("_to"), F.col("last_desc").alias("_to_last")]
-        if "select" in ops:
-            act = cur.filter((F.col("op") == "select") & ((F.trim("arg") != "")))
-            moved.append(_found(act, here, nodes, ops["select"], first, scratch, f"select{k}").select(there))
+        chosen = [op for op in ("select", "indexed") if op in ops]
+        if chosen:
+            act = cur.filter(F.col("op").isin(chosen) & (F.trim("arg") != ""))
+            words = sum(r["words"] for r in used if r["step_no"] == k)
+            hit = _found(act, here, nodes, max(ops[op] for op in chosen), words, first, scratch, f"select{k}")
+            if "indexed" in ops:
+                w = Window.partitionBy("page_id", "rule_id", "src", "ctx").orderBy("_to")
+                hit = hit.withColumn("_rn", F.row_number().over(w)).filter((F.col("op") == "select") | (F.col("_rn") == F.col("n") + 1))
+            moved.append(hit.select(there))
             # An empty selector stays where it is: the document or the container.
             moved.append(cur.filter((F.col("op") == "select") & (F.trim("arg") == "")).select(RUNNING))
-        if "indexed" in ops:
-            w = Window.partitionBy("page_id", "rule_id", "src", "ctx").orderBy("_to")
-            hit = _found(cur.filter(F.col("op") == "indexed"), here, nodes, ops["indexed"], first, scratch, f"indexed{k}")
-            moved.append(hit.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == F.col("n") + 1).select(there))
         family = [op for op in ("all", "children", "child") if op in ops]
         if family:
             act = cur.filter(F.col("op").isin(family))

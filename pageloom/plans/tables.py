@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pageloom.operators.nodes import shred_pages
 from pageloom.session import is_there, shared_dir, spread
+from pageloom.sources.tables import save_nodes
 
 GIVEN = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
          "conversations").split()
@@ -251,6 +252,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _WRITTEN: dict[tuple[str, str], DataFrame] = {}
+NODE_BUCKETS = 16  # a table for a cluster has thousands
 
 
 def nodes_table(spark: SparkSession, sf_dir: str, source: str = "pages") -> DataFrame:
@@ -259,8 +261,7 @@ def nodes_table(spark: SparkSession, sf_dir: str, source: str = "pages") -> Data
     if key not in _WRITTEN or not is_there(_WRITTEN[key]):
         tag = hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
         path = os.path.join(shared_dir(spark), "tables", f"nodes-{tag}")
-        shred_pages(table(spark, sf_dir, source)).write.mode("overwrite").parquet(path)
-        _WRITTEN[key] = spark.read.parquet(path)
+        _WRITTEN[key] = save_nodes(shred_pages(table(spark, sf_dir, source)), f"nodes_{tag}", path, NODE_BUCKETS)
     return _WRITTEN[key]
 
 

@@ -7,6 +7,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made.rstrip("/")
 
 
+@contextmanager
+def joining_in_place(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside let a table that is laid out by one of a join's keys stay as it lies, and bring the other side to it."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 PART_BYTES = 128 << 20  # the size of a file split
 SMALL_PART_BYTES = 256 << 10
 

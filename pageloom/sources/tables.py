@@ -69,8 +69,8 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 def save_nodes(nodes: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
     """The node table of a snapshot, bucketed and sorted by page.
 
-    Joins on the page alone read it in place; those on the page and a node still
-    shuffle it. Choose ``buckets`` for a few hundred megabytes each.
+    Rule runs read it in place, also where they join on the page and a node: their own
+    rows, which are few, come to it. Choose ``buckets`` for a few hundred megabytes each.
     """
     writer = nodes.write.mode("overwrite").option("path", path)
     writer.bucketBy(buckets, "page_id").sortBy("page_id", "node_id").saveAsTable(table)

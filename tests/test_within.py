@@ -66,3 +66,48 @@ def test_selection_in_a_deep_page(spark):
     assert nodes.filter("depth > 3000").count() == 2
     found = sel.select(nodes, ".c7 .c8 a@text").select(F.count("*").alias("n")).first()
     assert found.n == 1
+
+
+def test_a_run_reads_bucketed_nodes_where_they_lie(spark, tmp_path, monkeypatch):
+    """No plan of a run shuffles the node table; only the run's own rows move."""
+    from pageloom import session
+    from pageloom.operators.rulesets import plan_steps, run_rules
+    from pageloom.sources.tables import save_nodes
+
+    html = "<ul>" + "<li><a href=/x>t</a><b>u</b></li>" * 4 + "</ul>"
+    pages = spark.createDataFrame([(i, "u", html) for i in range(40)], "page_id long, url string, html string")
+    nodes = save_nodes(shred_pages(pages), "bucketed_nodes", str(tmp_path / "nodes"), 4)
+    plans = []
+    keep = session.Scratch.keep
+
+    def seen(self, df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(self, df, name)
+
+    monkeypatch.setattr(session.Scratch, "keep", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the run's rows were many
+    try:
+        rules = ["ul@li@a@href", "ul@children@a.0@text", "ul li@next@b", "ul@child.1@parent@li"]
+        start = nodes.filter("node_id = 0").select("page_id", F.explode(F.array(*map(F.lit, rules))).alias("rule_id"), F.lit(0).alias("ctx"),
+                                                   "node_id", F.array().cast("array<int>").alias("ord"))
+        got = run_rules(nodes, start, plan_steps(spark.createDataFrame([(r, r) for r in rules], "rule_id string, rule string")))
+        assert got.groupBy("rule_id").count().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_nodes")
+    reading = [p for _, p in plans if "bucketed_nodes" in p]
+    assert len(reading) >= 3
+    for plan in reading:
+        lines = plan.split("\n")
+        for k, line in enumerate(lines):
+            if "Scan parquet" in line and "bucketed_nodes" in line:
+                # Up the tree from the scan to the first join: no exchange but one for a broadcast or a token lookup.
+                depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+                for above in reversed(lines[:k]):
+                    d = len(above) - len(above.lstrip(" :+-*()0123456789"))
+                    if d >= depth:
+                        continue
+                    depth = d
+                    if "Join" in above:
+                        break
+                    assert "Exchange" not in above, plan
