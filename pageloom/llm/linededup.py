@@ -1,24 +1,23 @@
-"""Line dedup by content-defined chunks.
+"""Line dedup by content-defined chunks that grow.
 
-A rolling hash over the hashes of ``SPAN`` lines chooses after which lines a
-chunk ends, so boundaries move with the content: text inserted above leaves the
-chunks below as they are. A chunk of several lines that stands in the corpus
-more than once, byte for byte, stays where it stands first (in order of key,
-text and place) and is removed elsewhere.
+A rolling hash over the hashes of ``SPAN`` lines chooses after which lines a chunk
+ends; the chunk is what the hash has seen, so it moves with its content and no
+text above or below it matters. Five lines in eight end one. A chunk that
+stands in the corpus more than once stays where it stands first (in order of key,
+text and place) and goes elsewhere. Where a chunk repeats, the pairs of lines between it and the next
+chunks, which end at no boundary, are looked up as well: so a repeat grows
+line by line until its bytes differ.
 
-Only whole chunks inside a repeated passage are removed; what it has before its
-first and behind its last boundary stays, so in other surroundings short
-passages are mostly missed (the README gives measured shares by length).
-
-Chunks are first counted by hash alone, in rows of a few numbers. Only chunks
-whose hash repeats are cut out of their texts and compared byte by byte, in a
-join on hash and text with the first place of each, so a group of any number of
+Chunks are first counted by hash alone, in rows of a few numbers. Only those
+whose hash repeats, and what they grow into, are cut out of their texts and compared byte by byte, in a
+join on hash and bytes with the first place of each, so a group of any number of
 copies is an aggregate and a join with one row. Joins with the texts are by
-sorting at every size: what they are joined with grows with them.
+sorting at every size: what they are joined with grows with them. Of a line that is removed
+an equal one stands at an earlier place; following these places, one stays.
 
 Defined results: a null text stays null, has no lines and loses none; an empty
-text has one empty line. Chunks of one line, and those of blank lines only, are
-kept. A text all of whose chunks are removed is left empty. Rows repeated or
+text has one empty line. Single lines, and chunks of blank lines only, are
+kept. A text all of whose lines are removed is left empty. Rows repeated or
 with a null key are documents of their own. Extra columns are kept as they are.
 """
 
@@ -35,55 +34,59 @@ from pageloom.llm.arrays import grams, lines, slices, text_buffer
 from pageloom.llm.tables import bare
 from pageloom.session import Scratch, materialize
 
-SPAN = 2  # lines the rolling hash sees
-EVERY = 3  # one line in so many could end a chunk
-LEAST = 2  # lines of a chunk that may be removed
+SPAN = 2  # lines of a chunk: what the rolling hash sees
+OF, BOUNDARIES = 8, 5  # so many lines of so many end a chunk
+
+
+def _is_chunk(value):
+    """Whether a boundary stands where the rolling hash has this value (a column or an array of 64-bit integers)."""
+    return value % OF < BOUNDARIES if isinstance(value, np.ndarray) else F.pmod(value, F.lit(OF)) < BOUNDARIES
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's chunks: byte ranges (with the closing line feed), hashes, numbers of lines."""
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("hash", pa.int64()), ("lines", pa.int32())]))
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text where its lines end (behind their line feeds), and the rolling hash of each line with the next; null for blank ones."""
     for batch in batches:
         for part in slices(batch, "text"):
             buffer, borders = text_buffer(part.column("text"))
             spans = lines(buffer, borders)
-            rolling = np.concatenate([np.full(min(SPAN - 1, len(spans.hash)), 1, np.uint64), grams(spans.hash, SPAN)])
-            wanted = rolling % np.uint64(EVERY) == 0
-            wanted[spans.first[:-1]] = False  # the hash of a text's first line sees the text before it
-            wanted[1:] &= ~wanted[:-1]  # of neighbours only the first, so a chunk has two lines, whatever stands before it
-            blank = np.concatenate([[0], np.cumsum(spans.end > spans.start)])
-            owner, at, first, last = [], [], [], []
-            for i, (low, high) in enumerate(zip(spans.first[:-1].tolist(), spans.first[1:].tolist())):
-                begin = low
-                ends = (np.flatnonzero(wanted[low + SPAN - 1: high]) + low + SPAN).tolist()
-                place = 0
-                for end in [*ends, high]:
-                    if end > begin:
-                        owner.append(i), at.append(place), first.append(begin), last.append(end)
-                        begin, place = end, place + 1
-            owner, first, last = np.array(owner, np.int64), np.array(first, np.int64), np.array(last, np.int64)
-            count = last - first
-            with np.errstate(over="ignore"):
-                # A chunk's hash: its lines' hashes, each by its place.
-                number = np.repeat(np.arange(len(first)), count)
-                place = np.arange(len(number)) - np.repeat(np.cumsum(count) - count, count)
-                weighted = spans.hash * ((place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1))
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(weighted, dtype=np.uint64)])
-                value = sums[last] - sums[first]
-            filled = (count >= LEAST) & (blank[last] > blank[first])
-            start = spans.start[first] - borders[owner]
-            stop = np.minimum(spans.end[last - 1] + 1, borders[1:][owner]) - borders[owner]
-            values = pa.StructArray.from_arrays(
-                [pa.array(np.array(at, np.int32)), pa.array(start), pa.array(stop - start), pa.array(value.view(np.int64)),
-                 pa.array(np.where(filled, count, -count).astype(np.int32))], names=[f.name for f in kind.value_type])
-            offsets = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32))
+            ends = np.minimum(spans.end + 1, np.repeat(borders[1:], np.diff(spans.first))) - np.repeat(borders[:-1], np.diff(spans.first))
+            rolling = grams(spans.hash, SPAN)
+            filled = spans.end > spans.start
+            inside = np.ones(len(rolling), bool)
+            last = spans.first[1:] - 1
+            inside[last[last < len(rolling)]] = False  # a text's last line has no next one
+            said = inside & (filled[:-1] | filled[1:]) if len(rolling) else inside
+            values = pa.array(np.append(rolling.view(np.int64), 0)[: len(ends)], mask=~np.append(said, False)[: len(ends)])
+            offsets = pa.array(spans.first.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), part.column("mark"), pa.array(np.diff(spans.first)), pa.ListArray.from_arrays(offsets, values).cast(kind)],
-                names=["key", "mark", "n_lines", "chunks"])
+                [part.column("key"), part.column("mark"), pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32))),
+                 pa.ListArray.from_arrays(offsets, values)], names=["key", "mark", "ends", "hashes"])
+
+
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks that repeat, and the pairs of lines from them to the next chunks on either side."""
+    for batch in batches:
+        out = []
+        for hashes, repeated in zip(batch.column("hashes"), batch.column("repeated")):
+            value = hashes.values
+            there = np.array(value.is_valid())
+            chunk = there & _is_chunk(value.fill_null(0).to_numpy())
+            seed = np.zeros(len(there), bool)
+            seed[repeated.values.to_numpy()] = True
+            # The nearest chunk on each side, or what ends a stretch of pairs.
+            stop = chunk | ~there
+            at = np.arange(len(there))
+            before = np.maximum.accumulate(np.where(stop, at, -1))
+            after = np.minimum.accumulate(np.where(stop, at, len(at))[::-1])[::-1]
+            near = np.append(seed, False)
+            out.append(np.flatnonzero(seed | (there & ~chunk & ((near[before] & (before >= 0)) | near[after]))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key"), batch.column("mark"), batch.column("ends"), batch.column("hashes"), pa.array(out, pa.list_(pa.int32()))],
+            names=["key", "mark", "ends", "hashes", "places"])
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool = True) -> DataFrame:
-    """``docs`` with repeated chunks taken out of its text, its other columns as they are.
+    """``docs`` with repeated chunks of lines taken out of its text, its other columns as they are.
 
     With ``report``, columns ``n_lines``, ``n_removed_lines``, ``n_removed_chunks``
     say what was removed; they take the place of columns of that name.
@@ -94,33 +97,41 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", report
     read = bare(docs, key, text).toDF("key", "text").filter("text is not null").withColumn("mark", F.xxhash64("text"))
     shape = f"key {kind}, mark long, n_lines long, chunks array<struct<at: int, start: long, length: long, hash: long, lines: int>>"
     with Scratch(docs.sparkSession) as scratch:
-        chunked = scratch.keep(read.mapInArrow(_chunks, shape), "chunked")
-        rows = chunked.select("key", "mark", F.inline("chunks")).filter(F.col("lines") >= LEAST)
+        found = scratch.keep(read.mapInArrow(_lines, f"key {kind}, mark long, ends array<int>, hashes array<long>"), "lines")
+        chunks = found.select("key", "mark", F.posexplode("hashes").alias("at", "hash")).filter(F.col("hash").isNotNull() & _is_chunk(F.col("hash")))
         place = F.struct("key", "mark", "at")
-        repeated = rows.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.count("*").alias("n")).filter("n > 1 and a <> z").select("hash")
-        doubtful = scratch.keep(
-            rows.join(repeated, "hash").groupBy("key", "mark").agg(F.collect_set(F.struct("at", "start", "length", "hash", "lines")).alias("doubtful")), "doubtful")
+        repeated = chunks.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a <> z").select("hash")
+        doubtful = scratch.keep(chunks.join(repeated, "hash").groupBy("key", "mark").agg(F.collect_set("at").alias("repeated")), "doubtful")
         pair = lambda a, b: a["key"].eqNullSafe(b["key"]) & (a["mark"] == b["mark"])
-        bytes_of = F.substring(F.col("text").cast("binary"), F.col("d.start").cast("int") + 1, F.col("d.length").cast("int"))
-        cut = scratch.keep(
-            doubtful.join(read.hint("merge"), pair(doubtful, read)).select(doubtful["key"], doubtful["mark"], "text", F.explode("doubtful").alias("d"))
-            .select("key", "mark", "d.at", "d.hash", "d.lines", bytes_of.alias("bytes")), "cut")
+        once = found.dropDuplicates(["key", "mark"])
+        grown = scratch.keep(
+            doubtful.join(once, pair(doubtful, once)).select(once["key"], once["mark"], "ends", "hashes", "repeated")
+            .mapInArrow(_grown, f"key {kind}, mark long, ends array<int>, hashes array<long>, places array<int>"), "grown")
+        start = lambda p: F.when(p > 0, F.get("ends", p - 1)).otherwise(0)
+        wanted = grown.select("key", "mark", F.transform("places", lambda p: F.struct(
+            p.alias("at"), start(p).alias("start"), F.get("ends", p + SPAN - 1).alias("end"), F.get("hashes", p).alias("hash"))).alias("cs"))
+        # A pair's bytes without the line feed behind it, which a text's last line lacks.
+        bytes_of = lambda whole, c: F.regexp_replace(F.substring(whole, c["start"] + 1, c["end"] - c["start"]).cast("string"), "\\n$", "")
+        parts = F.transform(F.array(F.col("text").cast("binary")), lambda whole: F.transform(
+            "cs", lambda c: F.struct(c["at"].alias("at"), c["hash"].alias("hash"), bytes_of(whole, c).alias("bytes"))))
+        cut = scratch.keep(wanted.join(read.hint("merge"), pair(wanted, read)).select(wanted["key"], wanted["mark"], F.inline(F.get(parts, F.lit(0)))), "cut")
         firsts = cut.groupBy("hash", "bytes").agg(F.min(place).alias("first"))
         removed = scratch.keep(
             cut.join(firsts, ["hash", "bytes"]).filter(~place.eqNullSafe(F.col("first")))
             .groupBy("key", "mark").agg(F.collect_set("at").alias("gone")), "removed")
         # What is kept of the documents that lose something; the others' rows pass by.
-        plan = removed.join(chunked.dropDuplicates(["key", "mark"]), pair(removed, chunked)).select(
-            removed["key"].alias("of_key"), removed["mark"].alias("of_mark"), "n_lines", "gone", "chunks")
-        left = F.filter("chunks", lambda c: ~F.array_contains("gone", c["at"]))
+        plan = removed.join(grown, pair(removed, grown)).select(removed["key"].alias("of_key"), removed["mark"].alias("of_mark"), "gone", "ends")
+        lost = F.array_distinct(F.flatten(F.transform("gone", lambda at: F.array(*[at + i for i in range(SPAN)]))))
+        plan = plan.withColumn("lost", F.map_from_arrays(lost, lost))
+        left = F.filter(F.transform("ends", lambda e, i: F.struct(
+            i.alias("at"), start(i).alias("start"), e.alias("end"))), lambda c: ~F.map_contains_key("lost", c["at"]))
         plan = plan.select(
-            "of_key", "of_mark", F.size("gone").cast("long").alias("n_removed_chunks"),
-            (F.col("n_lines") - F.aggregate(left, F.lit(0).cast("long"), lambda s, c: s + F.abs(c["lines"]))).alias("n_removed_lines"),
-            F.transform(left, lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length"))).alias("left"))
+            "of_key", "of_mark", F.size("gone").cast("long").alias("n_removed_chunks"), F.size("lost").cast("long").alias("n_removed_lines"),
+            F.transform(left, lambda c: F.struct(c["start"].alias("start"), (c["end"] - c["start"]).alias("length"))).alias("left"))
         plan = materialize(plan, "removed-lines")
     mine, its = lambda c: F.col(f"docs.`{c}`"), lambda c: F.col(f"plan.{c}")
-    whole = mine(text).cast("binary")
-    kept = F.array_join(F.transform(its("left"), lambda c: F.substring(whole, c["start"].cast("int") + 1, c["length"].cast("int")).cast("string")), "")
+    kept = F.array_join(F.get(F.transform(F.array(mine(text).cast("binary")), lambda whole: F.transform(
+        its("left"), lambda c: F.substring(whole, c["start"] + 1, c["length"]).cast("string"))), F.lit(0)), "")
     joined = docs.alias("docs").hint("merge").join(
         plan.alias("plan"), mine(key).eqNullSafe(its("of_key")) & (F.xxhash64(F.coalesce(mine(text), F.lit(""))) == its("of_mark")), "left")
     told = {

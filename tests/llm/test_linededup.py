@@ -3,7 +3,7 @@ from collections import Counter
 
 import pyarrow as pa
 
-from pageloom.llm.linededup import _chunks, dedup_lines
+from pageloom.llm.linededup import BOUNDARIES, OF, _lines, dedup_lines
 from tests.llm.helpers import empty, frame, prose
 
 
@@ -40,25 +40,82 @@ def test_repeated_blocks_go_and_all_else_stays(spark):
     assert sorted(((r.doc_id, r.text) for r in plain.collect()), key=repr) == sorted(((r.doc_id, r.text) for r in found), key=repr)
 
 
+def hashes_of(texts):
+    """The rolling hash of each line with the next, as the operator finds it."""
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], names=["key", "mark", "text"])
+    return [h for part in _lines(iter([batch])) for h in part.column("hashes").to_pylist()]
+
+
 def test_chunks_of_a_text_do_not_depend_on_the_text_before_it(spark):
     rng = random.Random(13)
     copies = ["\n".join(prose(rng, 5) for _ in range(rng.randint(2, 9))) for _ in range(60)]
-
-    def chunks(texts):
-        n = len(texts)
-        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], names=["key", "mark", "text"])
-        return [c for part in _chunks(iter([batch])) for c in part.column("chunks").to_pylist()]
-
-    alone = [chunks([t])[0] for t in copies]
+    alone = [hashes_of([t])[0] for t in copies]
     for _ in range(5):
         mixed = [x for t in copies for x in (prose(rng, 3) + "\n" + prose(rng, 4), t)]
-        assert chunks(mixed)[1::2] == alone
+        assert hashes_of(mixed)[1::2] == alone
     rows = [(i, t) for i, t in enumerate(copies)]
     rows += [(1000 + 2 * i + j, x) for i, t in enumerate(copies) for j, x in enumerate((prose(rng, 6), t))]
     for parts in (1, 7):
         lost = {r.doc_id: r.n_removed_lines for r in dedup_lines(frame(spark, rows, parts)).collect()}
         for i, own in enumerate(alone):
-            assert lost[i] == 0 and lost[1000 + 2 * i + 1] == sum(c["lines"] for c in own if c["lines"] >= 2)
+            whole = any(h is not None and h % OF < BOUNDARIES for h in own)
+            assert lost[i] == 0 and lost[1000 + 2 * i + 1] == (len(own) if whole else 0)
+
+
+def brute(rows):
+    """Pair by pair over plain lists: chunks that repeat, the stretches beside them, the first place of each pair's bytes."""
+    texts = {d: t.split("\n") for d, t in rows}
+    hashes = {d: hashes_of([t])[0] for d, t in rows}
+    places = Counter((hashes[d][i]) for d in texts for i in range(len(texts[d]) - 1) if hashes[d][i] is not None)
+    is_chunk = lambda h: h is not None and h % OF < BOUNDARIES
+    candidates = []
+    for d in sorted(texts):
+        h = hashes[d]
+        seeds = {i for i in range(len(h)) if is_chunk(h[i]) and places[h[i]] > 1}
+        taken = set(seeds)
+        for i in seeds:
+            for step in (1, -1):
+                j = i + step
+                while 0 <= j < len(h) and h[j] is not None and not is_chunk(h[j]):
+                    taken.add(j)
+                    j += step
+        candidates += [(d, i, "\n".join(texts[d][i: i + 2])) for i in sorted(taken)]
+    first = {}
+    for d, i, b in candidates:
+        first[b] = min(first.get(b, (d, i)), (d, i))
+    gone = {(d, j) for d, i, b in candidates if (d, i) != first[b] for j in (i, i + 1)}
+    out = {}
+    for d, t in rows:
+        pieces = t.split("\n")
+        ended = [x + "\n" for x in pieces[:-1]] + [pieces[-1]]
+        out[d] = "".join(x for j, x in enumerate(ended) if (d, j) not in gone)
+    return out
+
+
+def test_against_pairs_over_plain_lists(spark):
+    rng = random.Random(21)
+    words = ["a", "b", "", "c d", "é"]
+    rows = [(i, "\n".join(rng.choice(words) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    passages = ["\n".join(prose(rng, 7) for _ in range(n)) for n in (4, 5, 6, 9)]
+    rows += [(100 + i, f"{prose(rng, 5)}\n{rng.choice(passages)}\n{prose(rng, 5)}") for i in range(60)]
+    assert {r.doc_id: r.text for r in dedup_lines(frame(spark, rows, 4)).collect()} == brute(rows)
+
+
+def test_passages_in_other_surroundings_are_found(spark):
+    """Of passages of four lines or more, nine lines in ten go."""
+    rng = random.Random(17)
+    other = lambda: "\n".join(prose(rng, 6) for _ in range(5))
+    for n in (4, 6, 10):
+        rows = []
+        for i in range(300):
+            passage = "\n".join(prose(rng, 6) for _ in range(n))
+            rows += [(2 * i, f"{other()}\n{passage}\n{other()}"), (2 * i + 1, f"{other()}\n{passage}\n{other()}")]
+        found = dedup_lines(frame(spark, rows)).collect()
+        removed = {r.doc_id: r.n_removed_lines for r in found}
+        assert all(removed[2 * i] == 0 for i in range(300))
+        assert sum(removed[2 * i + 1] for i in range(300)) >= 0.9 * n * 300
+        assert all(removed[2 * i + 1] in (*range(2, n + 1), 0) for i in range(300))
 
 
 def test_empty(spark):
