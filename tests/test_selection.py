@@ -7,19 +7,20 @@ from pageloom.operators.content import extract_content, page_title
 from pageloom.operators.nodes import page_rows, shred_pages
 from pageloom.operators.rulesets import plan_steps, rule_values, run_rules
 
-LIST = """<html><head><title>T</title></head><body><div class="list">
-<div class="item"><a href="/p/1" title="one"><img src="/i/1.png" alt="A1"><span>First</span></a></div>
-<div class="item"><a href="/p/2"><img src="/i/2.png" alt="A2"><span>Second</span></a></div>
-<div class="item big"><a href="/p/3"><img src="/i/3.png" alt="A3"><span>Third &amp; last</span></a></div>
-</div><div id="content"><p>Body <b>text</b></p><p>More</p></div>
-<div class="pager"><a href="javascript:x()">next</a><a href="/list?page=2">Next page</a></div></body></html>"""
+YARD = """<html><head><title>Sheds</title></head><body><section class="yard">
+<figure class="entry"><img src="/pic/oak.webp" alt="oak"><figcaption><a href="/hut/oak" rel="o">Oak hut</a></figcaption></figure>
+<figure class="entry low"><img src="/pic/pine.webp" alt="pine"><figcaption><a href="/hut/pine">Pine hut</a></figcaption></figure>
+<figure class="entry"><img src="/pic/clay.webp" alt="clay"><figcaption><a href="/hut/clay">Clay &amp; straw</a></figcaption></figure>
+<figure class="entry"><img src="/pic/tin.webp" alt="tin"><figcaption><a href="/hut/tin">Tin hut</a></figcaption></figure>
+</section><article id="terms"><h3>Rules</h3><p>Wipe <i>boots</i></p></article>
+<nav class="turn"><a href="javascript:go()">next</a><a href="/yard/2">next yard</a></nav></body></html>"""
 TIMES = """<table><tr><td><a href="/row/7">Seven</a></td><td>fetch it</td></tr><tr><td><a href="/row/8">Eight</a></td><td>read on</td></tr></table>"""
 NESTED = "<main id=w><i>→ open every chapter</i><div id=v>before<b>open</b></div></main>"
 
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    rows = [(1, "https://s.example/list", LIST), (2, "https://s.example/b", TIMES), (3, "https://s.example/n", NESTED)]
+    rows = [(1, "https://s.example/yard", YARD), (2, "https://s.example/b", TIMES), (3, "https://s.example/n", NESTED)]
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
@@ -34,26 +35,27 @@ def values(nodes, rule, page, pages=None):
 
 
 @pytest.mark.parametrize("page,rule,want", [
-    (1, "class.item@all", ["First", "Second", "Third & last"]),
-    (1, "class.item@a@href", ["/p/1", "/p/2", "/p/3"]),
-    (1, "div.item.big@a@data-x", [""]),
-    (1, "class.item@all@img@alt", ["A1", "A2", "A3"]),
-    (1, "class.list@children@a@href", ["/p/1", "/p/2", "/p/3"]),
-    (1, "class.list@child.1@a@href", ["/p/2"]),
-    (1, "class.list@child.9@a@href", []),
-    (1, "class.big@prev@a@href", ["/p/2"]),
-    (1, "class.big@next@a@href", []),
-    (1, "class.item@prev@text", ["First", "Second"]),
-    (1, "span@parent@parent@parent@class", ["list"]),
-    (1, "id.content@text", ["Body textMore"]),
-    (1, "#content@p.1@text", ["More"]),
-    (1, "[title]@href", ["/p/1"]),
-    (1, "div.list span", ["First", "Second", "Third & last"]),
-    (1, "//div.item/a[\\@title='one']/text()", ["First"]),
-    (1, "//div.item[2]//img@src", ["/i/2.png"]),
+    (1, "class.entry@all", ["Oak hut", "Pine hut", "Clay & straw", "Tin hut"]),
+    (1, "figcaption@a@href", ["/hut/oak", "/hut/pine", "/hut/clay", "/hut/tin"]),
+    (1, "figure.entry.low@img@data-x", [""]),
+    (1, "class.entry@all@img@alt", ["oak", "pine", "clay", "tin"]),
+    (1, "class.yard@children@img@src", ["/pic/oak.webp", "/pic/pine.webp", "/pic/clay.webp", "/pic/tin.webp"]),
+    (1, "class.yard@child.2@a@href", ["/hut/clay"]),
+    (1, "class.yard@child.7@a@href", []),
+    (1, "class.low@prev@a@href", ["/hut/oak"]),
+    (1, "class.low@next@a@href", ["/hut/clay"]),
+    (1, "class.turn@next@text", []),
+    (1, "figure@next@text", ["Pine hut", "Clay & straw", "Tin hut"]),
+    (1, "figcaption@parent@parent@class", ["yard"]),
+    (1, "id.terms@text", ["RulesWipe boots"]),
+    (1, "#terms@tag.p.0@text", ["Wipe boots"]),
+    (1, "[rel]@href", ["/hut/oak"]),
+    (1, "section.yard figcaption", ["Oak hut", "Pine hut", "Clay & straw", "Tin hut"]),
+    (1, "//figure.entry/figcaption/a[\\@rel='o']/text()", ["Oak hut"]),
+    (1, "//section.yard/figure[3]//img@src", ["/pic/clay.webp"]),
     (1, "class.none@text", []),
-    (1, "1bad..@x", []),
-    (1, "class.pager@text.Next page@href", ["/list?page=2"]),
+    (1, "9x..@y", []),
+    (1, "class.turn@text.next yard@href", ["/yard/2"]),
     (2, "table@tr@a.0@href", ["/row/7", "/row/8"]),
     (2, "tr@all@text.fetch it", ["fetch it"]),
     (2, "table@tag.a.1@href", ["/row/8"]),
@@ -67,8 +69,8 @@ def test_rules(nodes, page, rule, want):
 
 
 def test_both_ways_of_running_rules_agree(spark, nodes, pages):
-    rules = ["class.item@a@href", "//div.item[2]//img@src", "table@tr@a.0@href", "tr@all@text.fetch it", "id.w@text.ope", "class.list@child.1@a@href",
-             "class.big@prev@a@href", "span@parent@parent@parent@class", "@text", "div.list span", "id.content@ownText", "p@html", "b@outerHtml"]
+    rules = ["class.entry@a@href", "//figure[2]//img@src", "table@tr@a.0@href", "tr@all@text.fetch it", "id.w@text.ope", "class.yard@child.1@a@href",
+             "class.low@prev@a@href", "figcaption@parent@parent@class", "@text", "section.yard figcaption", "id.terms@ownText", "p@html", "i@outerHtml"]
     start = nodes.filter("node_id = 0").select("page_id", F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule_id"), F.lit(0).alias("ctx"),
                                                "node_id", F.array().cast("array<int>").alias("ord"))
     steps = plan_steps(spark.createDataFrame([(r, r) for r in rules], "rule_id string, rule string"))
@@ -81,9 +83,9 @@ def test_both_ways_of_running_rules_agree(spark, nodes, pages):
 
 
 def test_markup_is_the_source(nodes, pages):
-    assert values(nodes, "id.content@p.0@outerHtml", 1, pages) == ["<p>Body <b>text</b></p>"]
-    assert values(nodes, "id.content@html", 1, pages) == ["<p>Body <b>text</b></p><p>More</p>"]
-    assert values(nodes, "id.content@ownText", 1, pages) == ["Body  text\nMore"]
+    assert values(nodes, "id.terms@p.0@outerHtml", 1, pages) == ["<p>Wipe <i>boots</i></p>"]
+    assert values(nodes, "id.terms@html", 1, pages) == ["<h3>Rules</h3><p>Wipe <i>boots</i></p>"]
+    assert values(nodes, "id.terms@ownText", 1, pages) == ["Rules  Wipe  boots"]
 
 
 def test_a_match_keeps_itself_and_is_not_descended_into(nodes):
@@ -121,7 +123,7 @@ def test_odd_pages_do_not_stop_the_job():
 
 
 SOURCES = [
-    (0, "class.item@all", "span@text", "a@href", "img@src", "", "id.content", False),
+    (0, "class.entry@all", "figcaption@text", "a@href", "img@src", "", "id.terms", False),
     (1, "tr@all", "a@text", "td@onclick", "", "", "", True),
     (2, "class.gone", "a@text", "a@href", "", "", "", False),
 ]
@@ -131,7 +133,7 @@ SOURCES = [
 def shop(spark):
     sources = spark.createDataFrame(SOURCES, "source_no int, rule_articles string, rule_title string, rule_link string, rule_image string, "
                                              "rule_pub_date string, rule_content string, enable_js boolean")
-    rows = [(1, "https://s.example/list", LIST, 0), (2, "https://s.example/b", TIMES, 1), (3, "https://s.example/x", LIST, 2), (4, "https://s.example/q", "<p>quiet</p>", 2)]
+    rows = [(1, "https://s.example/yard", YARD, 0), (2, "https://s.example/b", TIMES, 1), (3, "https://s.example/x", YARD, 2), (4, "https://s.example/q", "<p>quiet</p>", 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, source_no int")
     nodes = shred_pages(pages).cache()
     boxes = lists.extract_containers(pages, nodes, sources).cache()
@@ -140,9 +142,8 @@ def shop(spark):
 
 def test_list_items(shop):
     got = [(r["title"], r["link"], r["image"], r["kind"]) for r in shop[4].filter("page_id = 1").orderBy("box_ord").collect()]
-    assert got == [("First", "https://s.example/p/1", "https://s.example/i/1.png", "article"),
-                   ("Second", "https://s.example/p/2", "https://s.example/i/2.png", "article"),
-                   ("Third & last", "https://s.example/p/3", "https://s.example/i/3.png", "article")]
+    names = {"oak": "Oak hut", "pine": "Pine hut", "clay": "Clay & straw", "tin": "Tin hut"}
+    assert got == [(name, f"https://s.example/hut/{k}", f"https://s.example/pic/{k}.webp", "article") for k, name in names.items()]
     assert [r["link"] for r in shop[4].filter("page_id = 2").collect()] == ["", ""]
 
 
@@ -157,25 +158,25 @@ def test_links_stand_in_for_a_dead_rule(shop):
     pages, nodes, sources, _, items = shop
     shown = lists.link_fallback(pages, items, lists.content_links(nodes, pages), sources)
     per_page = {(r["page_id"], r["fallback"]): r["count"] for r in shown.groupBy("page_id", "fallback").count().collect()}
-    assert per_page == {(1, False): 3, (2, False): 2, (3, True): 4}
+    assert per_page == {(1, False): 4, (2, False): 2, (3, True): 5}
 
 
 def test_render_list_and_next_page(shop):
     pages, nodes, sources, _, items = shop
     assert [r["page_id"] for r in lists.needs_render(pages, items, sources).collect()] == [2]
     assert {r["page_id"]: r["next_url"] for r in lists.next_page(pages, nodes).collect()} == {
-        1: "https://s.example/list?page=2", 3: "https://s.example/list?page=2"}
+        1: "https://s.example/yard/2", 3: "https://s.example/yard/2"}
 
 
 def test_list_rule_is_inferred(shop):
-    assert {r["page_id"]: r["rule"] for r in lists.infer_list_rule(shop[1]).collect()} == {1: "class.item@all", 3: "class.item@all"}
+    assert {r["page_id"]: r["rule"] for r in lists.infer_list_rule(shop[1]).collect()} == {1: "class.entry@all", 3: "class.entry@all"}
 
 
 def test_content_falls_back_step_by_step(spark, shop):
     pages, nodes, sources, _, _ = shop
     got = {r["page_id"]: (r["origin"], r["content_text"]) for r in extract_content(pages, nodes, sources).collect()}
-    assert got[1] == ("rule", "Body  text\nMore") and got[4] == ("page", "quiet")
-    assert {r["page_id"]: r["title"] for r in page_title(pages, nodes).collect()} == {1: "T", 2: "", 3: "T", 4: ""}
+    assert got[1] == ("rule", "Rules  Wipe  boots") and got[4] == ("page", "quiet")
+    assert {r["page_id"]: r["title"] for r in page_title(pages, nodes).collect()} == {1: "Sheds", 2: "", 3: "Sheds", 4: ""}
 
 
 MUSIC = "<h1>m</h1><ul>" + "".join(
