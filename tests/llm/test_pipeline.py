@@ -12,6 +12,8 @@ def test_each_stage_takes_effect(spark, tmp_path):
     text = lambda n: "\n".join(prose(rng, 12, WORDS) for _ in range(n))
     base, item, block = text(15), prose(rng, 30, WORDS), text(30)
     rows = [(i, text(rng.randint(3, 9))) for i in range(40)]
+    single = prose(rng, 150, WORDS)  # one line: nothing for the line stage
+    rows += [(110, single), (111, single + " lastly")]
     rows += [(100, base), (101, base.replace("thod", "THOD")), (102, base + "\nlast words"), (103, f"{text(3)}\n{item}\n{text(3)}"), (104, "!!! 12"), (105, None)]
     rows += [(200, block), (201, f"{text(4)}\n{block}\n{text(4)}"), (40, text(2)), (None, text(3))]
     docs = frame(spark, rows)
@@ -29,7 +31,10 @@ def test_each_stage_takes_effect(spark, tmp_path):
     clean = {*range(41), None}
     assert all(clean <= ids for ids in seen.values())
     assert not seen["language_id"] & {104, 105} and 103 in seen["near_duplicates"] and 103 not in seen["decontamination"]
-    assert {100, 101} <= seen["line_dedup"] and seen["near_duplicates"] & {100, 101} == {100}
+    assert {110, 111} <= seen["line_dedup"] and seen["near_duplicates"] & {110, 111} == {110}
+    old, left = base.replace("thod", "THOD").split("\n"), texts["line_dedup"].get(101, "").split("\n")
+    assert 100 in seen["line_dedup"] and all("THOD" in line for line in old if line in left and line not in base.split("\n"))
+    assert all(line in left for line in old if "THOD" in line)  # what is new in a copy stays
     assert len(texts["line_dedup"][102]) < len(base) / 2  # what is left of it is alike nothing
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in final.collect()} == seen["packing"]
