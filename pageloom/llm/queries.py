@@ -20,7 +20,7 @@ from pageloom.llm.linededup import dedup_lines
 from pageloom.llm.neardup import jaccard_join
 from pageloom.llm.packing import pack
 from pageloom.llm.runs import periodic_runs
-from pageloom.llm.shards import read_shards, write_shards
+from pageloom.llm.shards import read_by_key, write_shards
 from pageloom.llm.substrings import remove_repeats
 from pageloom.llm.sql import CODES_SQL, DECONTAMINATION_SQL, LICENSES_SQL
 from pageloom.session import shared_dir
@@ -49,8 +49,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = os.path.join(shared_dir(spark), "shards", uuid.uuid4().hex)
-    write_shards(_documents(spark, sf_dir), folder, TOKENIZER)
-    return read_shards(spark, folder, keep=F.crc32).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.col("ids").alias("ids_crc32"))
+    docs = _documents(spark, sf_dir)
+    write_shards(docs, folder, TOKENIZER)
+    return read_by_key(docs, folder, keep=F.crc32).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.col("ids").alias("ids_crc32"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 from pageloom.llm.arrays import mix, slices
 from pageloom.llm.tables import bare
 from pageloom.llm.tokens import TOGETHER, Encoder
+from pageloom.session import materialize
 
 END = 2
 PER_BUCKET = 4
@@ -158,6 +158,19 @@ class ShardReader:
             return None
         return int(found["record"]), int(found["run"])
 
+    def find_all(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of many keys those that are there, as places in ``keys``, the first record and how many each has; reads the whole index once."""
+        none = np.zeros(0, np.int64)
+        if not self.n_keys or not len(keys):
+            return none, none, none
+        seeds = np.frombuffer(self.file.read_at(8 * self.buckets, self.seeds_at), "<i8")
+        slots = np.frombuffer(self.file.read_at(_SLOT.itemsize * self.n_keys, self.slots_at), _SLOT)
+        seed = seeds[(_hash(keys, 0) % np.uint64(self.buckets)).astype(np.int64)]
+        found = slots[np.where(seed < 0, -seed - 1, (_hash(keys, seed) % np.uint64(self.n_keys)).astype(np.int64))]
+        first = found["record"].astype(np.int64)
+        at = np.flatnonzero((found["print"] == _hash(keys, -1) >> np.uint64(32)) & (self.records(0, self.n)["key"][first] == keys))
+        return at, first[at], found["run"][at].astype(np.int64)
+
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END,
                  n_shards: int | None = None) -> DataFrame:
@@ -169,7 +182,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
     spark = docs.sparkSession
     read = bare(docs, key, text).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).withColumn("mark", F.xxhash64("text"))
     if n_shards is None:
-        n_shards = max(1, -(-(read.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES), 2 * spark.sparkContext.defaultParallelism)
+        n_shards = max(1, -(-(read.agg(F.sum(16 + F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0) // SHARD_BYTES), 2 * spark.sparkContext.defaultParallelism)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, closing, writer = Encoder.of(tokenizer), np.array([end], "<u4").tobytes(), None
@@ -205,10 +218,31 @@ def _drop_strays(folder: str, named: set[str]) -> None:
             files.delete_file(found.path)
 
 
-def read_shards(spark: SparkSession, folder: str, keep=lambda ids: ids) -> DataFrame:
+def _batches(shard: ShardReader, base: int, number: int, low: int, high: int, known: bool = True) -> Iterator[pa.RecordBatch]:
+    """Records ``low`` to ``high`` of a shard, some at a time; without ``known`` those of null keys, which are the first."""
+    for low in range(low, high, 512):
+        table = shard.records(low, min(high, low + 512))
+        if not known:
+            table = table[: np.count_nonzero(table["known"][:-1] == 0) + 1]
+        if len(table) > 1:
+            start = table["start"].astype(np.int64)
+            ids, cuts = shard.ids(int(start[0]), int(start[-1])), (start - start[0]).tolist()
+            yield pa.RecordBatch.from_arrays([
+                pa.array([int(k) if has else None for k, has in zip(table["key"][:-1], table["known"][:-1])], pa.int64()),
+                pa.array([number] * (len(table) - 1), pa.int32()), pa.array(start[:-1] + base), pa.array(np.diff(start)),
+                pa.array([ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["key", "shard", "start", "n_tokens", "ids"])
+        if not known and len(table) < min(high, low + 512) - low + 1:
+            return
+
+
+_RECORDS = "key long, shard int, start long, n_tokens long, ids binary"
+
+
+def read_shards(spark: SparkSession, folder: str, keep=lambda ids: ids, known: bool = True) -> DataFrame:
     """Every record: ``key``, ``shard``, ``start`` (ids of all records before it), ``n_tokens``, ``ids`` as little-endian 32-bit bytes.
 
-    ``keep`` is what is made of the ids in the plan.
+    ``keep`` is what is made of the ids in the plan; without ``known``, only the
+    records of null keys, which no index knows, are read.
     """
     manifest = spark.read.parquet(f"{folder}/manifest").select("shard", "file", "start")
 
@@ -216,46 +250,81 @@ def read_shards(spark: SparkSession, folder: str, keep=lambda ids: ids) -> DataF
         for batch in frames:
             for row in batch.to_pylist():
                 shard = ShardReader(f"{folder}/files", row["file"])
-                for low in range(0, shard.n, 512):
-                    table = shard.records(low, min(shard.n, low + 512))
-                    ids, base = shard.ids(int(table["start"][0]), int(table["start"][-1])), int(table["start"][0])
-                    cuts = (table["start"].astype(np.int64) - base).tolist()
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([int(k) if known else None for k, known in zip(table["key"][:-1], table["known"][:-1])], pa.int64()),
-                        pa.array([row["shard"]] * (len(table) - 1), pa.int32()), pa.array(table["start"][:-1].astype(np.int64) + row["start"]),
-                        pa.array(np.diff(table["start"].astype(np.int64))),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["key", "shard", "start", "n_tokens", "ids"])
+                yield from _batches(shard, row["start"], row["shard"], 0, shard.n, known)
 
     tasks = max(1, min(manifest.count(), 1 << 16))
-    out = manifest.repartition(tasks, "shard").mapInArrow(records, "key long, shard int, start long, n_tokens long, ids binary")
+    out = manifest.repartition(tasks, "shard").mapInArrow(records, _RECORDS)
     return out.withColumn("ids", keep(F.col("ids")))
 
 
-def lookup(keys: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
-    """The records of given keys, each by its index: ``key``, ``start``, ``n_tokens``, ``ids``; none for keys that are not there.
+def _routed(keys: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Each different key with the shards whose range it is in (several where its rows go on in the next).
 
-    Keys go to the shards whose range they are in by a join with the manifest.
+    The ranges are searched by bisection in every task; there is one for each ``SHARD_BYTES`` of text, 16 bytes of them for 64 MB.
     """
-    spark = keys.sparkSession
-    manifest = spark.read.parquet(f"{folder}/manifest").select("file", "start", "low", "high")
-    wanted = keys.select(F.col(key).cast("bigint").alias("key")).filter("key is not null").distinct()
-    routed = wanted.join(manifest, (F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high")))
+    ranges = manifest.filter("low is not null").select("shard", "low", "high").orderBy("shard").toPandas()
+    shard, lows, highs = (ranges[c].to_numpy(np.int64) for c in ("shard", "low", "high"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            first = np.searchsorted(highs, key, "left")
+            n = np.maximum(np.searchsorted(lows, key, "right") - first, 0)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, n)), pa.array(shard[np.repeat(first, n) + place].astype(np.int32))], names=["key", "shard"])
+
+    return keys.filter("key is not null").distinct().mapInArrow(route, "key long, shard int")
+
 
-    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def lookup(keys: DataFrame, folder: str, key: str = "doc_id", many: bool = False, keep=lambda ids: ids) -> DataFrame:
+    """The records of given keys, each by its index: ``key``, ``shard``, ``start``, ``n_tokens``, ``ids``; none for keys that are not there.
+
+    A key reads one seed, one slot and one record. With ``many`` keys, a large
+    part of all, a shard's index is read once for all keys that go there, and records that
+    follow each other are read together.
+    """
+    manifest = keys.sparkSession.read.parquet(f"{folder}/manifest")
+    routed = _routed(keys.select(F.col(key).cast("bigint").alias("key")), manifest).join(manifest.select("shard", "file", "start"), "shard")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, name = None, None
-        for frame in frames:
-            rows = []
-            for k, file, start in zip(frame.key, frame.file, frame.start):
-                if file != name:
-                    shard, name = ShardReader(f"{folder}/files", file), file
-                hit = shard.find(int(k))
-                if hit:
-                    table = shard.records(hit[0], hit[0] + hit[1])["start"].astype(np.int64)
-                    rows += [(k, start + a, b - a, shard.ids(int(a), int(b)).tobytes()) for a, b in zip(table[:-1], table[1:])]
-            yield pd.DataFrame(rows, columns=["key", "start", "n_tokens", "ids"])
-
-    return routed.repartition("file").sortWithinPartitions("file", "key").select("key", "file", "start").mapInPandas(
-        found, "key long, start long, n_tokens long, ids binary")
+        for batch in batches:
+            of, wanted = batch.column("file").to_numpy(zero_copy_only=False), batch.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if of[a] != name:
+                    shard, name = ShardReader(f"{folder}/files", of[a]), of[a]
+                if many:
+                    _, first, run = shard.find_all(wanted[a:b])
+                else:
+                    hits = [hit for hit in map(shard.find, wanted[a:b].tolist()) if hit]
+                    first, run = (np.array([hit[i] for hit in hits], np.int64) for i in (0, 1))
+                if not len(first):
+                    continue
+                order = np.argsort(first)
+                first, last = first[order], (first + run)[order]
+                breaks = np.flatnonzero(first[1:] != last[:-1]) + 1
+                for low, high in zip(first[[0, *breaks]].tolist(), last[[*(breaks - 1), -1]].tolist()):
+                    yield from _batches(shard, batch.column("start")[a].as_py(), batch.column("shard")[a].as_py(), low, high)
+
+    out = routed.repartition("shard").sortWithinPartitions("shard", "key").select("key", "shard", "file", "start").mapInArrow(found, _RECORDS)
+    return out.withColumn("ids", keep(F.col("ids")))
+
+
+def read_by_key(keys: DataFrame, folder: str, key: str = "doc_id", keep=lambda ids: ids) -> DataFrame:
+    """What :func:`read_shards` gives, each known key found by its shard's index; null keys, which have none, are read in order.
+
+    ``keys`` has all keys of the shards. That their records are all those written, and their ids, is checked.
+    """
+    spark = keys.sparkSession
+    out = materialize(lookup(keys, folder, key, many=True, keep=keep).union(read_shards(spark, folder, keep=keep, known=False)), "by-key")
+    have = out.agg(F.count("*"), F.sum("n_tokens")).first()
+    want = spark.read.parquet(f"{folder}/manifest").agg(F.sum("n_records"), F.sum("n_ids")).first()
+    if (have[0], have[1] or 0) != (want[0] or 0, want[1] or 0):
+        raise RuntimeError(f"the index found {have[0]} records with {have[1]} ids, but {want[0]} with {want[1]} were written")
+    return out
 
 
 def crc(ids: Column) -> Column:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from pageloom.llm import shards
@@ -87,6 +88,22 @@ def test_shards(spark, tmp_path):
     for r in found:
         by.setdefault(r.key, []).append(zlib.crc32(r.ids))
     assert {k: sorted(v) for k, v in by.items()} == {k: sorted(c for d, c in want if d == k) for k in (-40, 2003, 3002, 3001)}
+    # All of them by the index: the rows that reading in order gives.
+    every = frame(spark, rows).drop("extra")
+    assert sorted(map(repr, shards.read_by_key(every, folder).collect())) == sorted(map(repr, read))
+    with pytest.raises(RuntimeError, match="were written"):
+        shards.read_by_key(every.filter("doc_id <> 3001"), folder)
+    assert shards.lookup(keys, folder, many=True).orderBy("key", "start").collect() == shards.lookup(keys, folder).orderBy("key", "start").collect()
+
+
+def test_a_key_over_several_shards(spark, tmp_path):
+    rows = [(5, f"text {i}") for i in range(300)] + [(k, "other") for k in (1, 2, 9)] + [(None, f"none {i}") for i in range(700)]
+    folder = f"file://{tmp_path}/hot"
+    manifest = shards.write_shards(frame(spark, rows), folder, TOKENIZER, n_shards=12)
+    assert manifest.filter("low <= 5 and high >= 5").count() > 1
+    read = shards.read_shards(spark, folder).collect()
+    assert len(read) == len(rows)
+    assert sorted(map(repr, shards.read_by_key(frame(spark, rows), folder).collect())) == sorted(map(repr, read))
 
 
 def test_no_shards(spark, tmp_path):
@@ -94,3 +111,4 @@ def test_no_shards(spark, tmp_path):
     shards.write_shards(empty(spark), folder, TOKENIZER, n_shards=2)
     assert shards.read_shards(spark, folder).collect() == []
     assert shards.lookup(frame(spark, [(1, "")]), folder).collect() == []
+    assert shards.read_by_key(empty(spark), folder).collect() == []
