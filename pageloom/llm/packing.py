@@ -5,8 +5,9 @@ sequence by itself, the others are packed. Pieces are dealt out by hash into
 blocks of about ``BLOCK``. Each block is evolved on ``ISLANDS`` islands, rows
 that Spark spreads over its tasks. A chromosome is a set of bins. Crossover
 takes some of one parent's best-filled bins whole, removes the other parent's
-bins that hold the same pieces, and best-fits the pieces this displaces.
-Between epochs each island's best one migrates to the next island. Then the
+bins that hold the same pieces, and best-fits the pieces this displaces, after
+giving them to bins which they fill better than one or two pieces there. The
+first parents are packed in random order. Between epochs each island's best one migrates to the next island. Then the
 block's best solution counts: its well-filled bins are final, the pieces of the
 others are dealt out anew, together with other blocks'. So what is lost at the
 borders of blocks shrinks from round to round, and the last round takes all.
@@ -22,11 +23,12 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.arrays import slices
@@ -39,7 +41,8 @@ END = 0
 BLOCK = 2000  # pieces
 ISLANDS = 2
 EPOCHS = 2
-OFFSPRING = 16  # of an island in an epoch
+PATIENCE = 30  # generations of an island in an epoch that bring nothing better
+FEW = 6  # pieces of a bin, up to which pairs of them are exchanged, too
 POPULATION = 6
 WELL_FILLED = 0.998
 ROUNDS = 4
@@ -70,20 +73,61 @@ class Bins:
 
     def best_fit(self, items: list[int], length: list[int]) -> None:
         """Put each item, in order, where it leaves the least space; a new bin where it fits nowhere."""
-        order = sorted((s, b) for b, s in enumerate(self.space) if s)
+        by_space: dict[int, list[int]] = {}
+        spaces = 0  # bit s is set where some bin has s left
+        for b, s in enumerate(self.space):
+            if s:
+                by_space.setdefault(s, []).append(b)
+                spaces |= 1 << s
         for item in items:
-            at = bisect.bisect_left(order, (length[item], -1))
-            if at < len(order):
-                space, b = order.pop(at)
+            fits = spaces >> length[item]
+            if fits:
+                s = length[item] + (fits & -fits).bit_length() - 1
+                b = by_space[s].pop()
+                if not by_space[s]:
+                    spaces ^= 1 << s
                 self.bins[b].append(item)
-                space -= length[item]
+                s -= length[item]
             else:
-                b, space = len(self.bins), self.capacity - length[item]
+                b, s = len(self.bins), self.capacity - length[item]
                 self.bins.append([item])
-                self.space.append(space)
-            self.space[b] = space
-            if space:
-                bisect.insort(order, (space, b))
+                self.space.append(s)
+            self.space[b] = s
+            if s:
+                by_space.setdefault(s, []).append(b)
+                spaces |= 1 << s
+
+    def exchange(self, displaced: list[int], length: list[int]) -> list[int]:
+        """Give bins one or two displaced pieces for one or two of theirs where that fills them better; what is displaced then."""
+        out = sorted(displaced, key=length.__getitem__)
+        for b, items in enumerate(self.bins):
+            if not self.space[b] or not out:
+                continue
+            sizes = [length[i] for i in out]
+            leaving = [(i,) for i in items] + (list(combinations(items, 2)) if len(items) <= FEW else [])
+            gain, gone, come = 0, (), ()
+            for pieces in leaving:
+                had = sum(length[i] for i in pieces)
+                room = had + self.space[b]
+                high = bisect.bisect_right(sizes, room) - 1  # the longest that fits
+                if high >= 0 and sizes[high] - had > gain:
+                    gain, gone, come = sizes[high] - had, pieces, (high,)
+                low = 0
+                while low < high:  # two pointers: the longest two that fit together
+                    both = sizes[low] + sizes[high]
+                    if both > room:
+                        high -= 1
+                        continue
+                    if both - had > gain:
+                        gain, gone, come = both - had, pieces, (low, high)
+                    low += 1
+                if gain == self.space[b]:
+                    break
+            if gain:
+                self.bins[b] = [i for i in items if i not in gone] + [out[k] for k in come]
+                self.space[b] -= gain
+                out = sorted([i for k, i in enumerate(out) if k not in come] + list(gone), key=length.__getitem__)
+        return out
 
     def fitness(self) -> float:
         """Fewer bins are better; among as many, fuller ones besides emptier ones."""
@@ -108,8 +152,8 @@ class Bins:
 
 
 def crossed(giver: Bins, taker: Bins, length: list[int], rng: np.random.Generator) -> Bins:
-    """Some of the giver's best-filled bins, the taker's others, and what that displaces best-fitted."""
-    n = max(1, len(giver.bins) // 3)
+    """Some of the giver's best-filled bins, the taker's others, and what that displaces: exchanged for pieces that fit worse, then best-fitted."""
+    n = max(1, int(len(giver.bins) * rng.uniform(0.1, 0.5)))
     ranked = sorted(range(len(giver.bins)), key=giver.space.__getitem__)[: 2 * n]
     injected = [ranked[i] for i in rng.permutation(len(ranked))[:n]]
     inside = {item for b in injected for item in giver.bins[b]}
@@ -117,34 +161,39 @@ def crossed(giver: Bins, taker: Bins, length: list[int], rng: np.random.Generato
     for b in injected:
         child.bins.append(list(giver.bins[b]))
         child.space.append(giver.space[b])
-    worst = set(sorted(range(len(taker.bins)), key=taker.space.__getitem__)[-max(1, len(taker.bins) // 50):])  # mutation: these are emptied, too
+    # Mutation: the worst bins and a few others are emptied, too.
+    emptied = set(sorted(range(len(taker.bins)), key=taker.space.__getitem__)[-max(1, len(taker.bins) // 50):])
+    emptied.update(rng.integers(len(taker.bins), size=max(1, len(taker.bins) // 100)).tolist())
     for b, items in enumerate(taker.bins):
-        if b in worst or not inside.isdisjoint(items):
+        if b in emptied or not inside.isdisjoint(items):
             displaced += [i for i in items if i not in inside]
         else:
             child.bins.append(list(items))
             child.space.append(taker.space[b])
-    child.best_fit(sorted(displaced, key=lambda i: -length[i]), length)
+    child.best_fit(sorted(child.exchange(displaced, length), key=lambda i: -length[i]), length)
     return child
 
 
 def evolved(length: list[int], population: list[list[int]], capacity: int, seed: int) -> list[list[int]]:
-    """A population some generations later, best first; from nothing, one of noisy best-fit-decreasing packings."""
+    """A population some generations later, best first; from nothing, one of packings in random order.
+
+    It ends when ``PATIENCE`` generations in a row bring nothing better, or at the least number of bins there can be.
+    """
     rng = np.random.default_rng(seed)
     own = [Bins.of(p, length, capacity) for p in population]
-    while len(own) < POPULATION:
-        noise = rng.normal(0, 0 if not own else 60, len(length))
+    best_possible = -(-sum(length) // capacity)
+    while len(own) < POPULATION and not any(len(b.bins) <= best_possible for b in own):
         fresh = Bins(capacity)
-        fresh.best_fit(np.argsort(-(np.array(length) + noise), kind="stable").tolist(), length)
+        fresh.best_fit(rng.permutation(len(length)).tolist(), length)
         own.append(fresh)
-    best_possible = -(-sum(length) // capacity)
     scored = sorted(((b.fitness(), i, b) for i, b in enumerate(own)), reverse=True)
-    for k in range(OFFSPRING):
-        if len(scored[0][2].bins) <= best_possible:
-            break
+    born, idle = len(own), 0
+    while idle < PATIENCE and len(scored[0][2].bins) > best_possible:
         a, b = (min(rng.integers(len(scored), size=2)) for _ in range(2))  # tournaments
         child = crossed(scored[a][2], scored[b][2], length, rng)
-        scored = sorted([*scored, (child.fitness(), len(own) + k, child)], reverse=True)[:POPULATION]
+        fitness = child.fitness()
+        idle = 0 if fitness > scored[0][0] else idle + 1
+        scored, born = sorted([*scored, (fitness, born, child)], reverse=True)[:POPULATION], born + 1
     return [b.numbers(len(length)) for _, _, b in scored]
 
 
@@ -209,10 +258,9 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             done = joined.filter(final).select("pid", "length", "sequence_id")
             placed = done if placed is None else placed.union(done)
             open_items = scratch.keep(joined.filter(~final).select("pid", "length"), f"open-{turn}")
-        full = cut.filter(F.col("length") == size).select("pid", "length", F.col("pid").alias("sequence_id"))
-        members = (full if placed is None else placed.union(full)).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("pid", "length"))).alias("m"))
-        places = members.select("sequence_id", F.posexplode("m").alias("i", "x"), "m").select(
-            F.col("x.pid").alias("pid"), "sequence_id",
-            F.aggregate(F.slice("m", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda s, x: s + x["length"]).alias("offset"))
+        full = cut.filter(F.col("length") == size).select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        before = Window.partitionBy("sequence_id").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # a sequence has at most ``size`` pieces
+        places = full if placed is None else full.union(
+            placed.select("pid", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset")))
         out = cut.join(places, "pid").select(F.col("key").alias(key), "piece", "start", "length", "ids", "sequence_id", "offset")
         return materialize(out, "packed")
