@@ -41,7 +41,7 @@ END = 0
 BLOCK = 2000  # pieces
 ISLANDS = 2
 EPOCHS = 2
-PATIENCE = 30  # generations of an island in an epoch that bring nothing better
+PATIENCE = 10  # generations of an island in an epoch that bring nothing better
 FEW = 6  # pieces of a bin, up to which pairs of them are exchanged, too
 POPULATION = 6
 WELL_FILLED = 0.998
@@ -153,7 +153,7 @@ class Bins:
 
 def crossed(giver: Bins, taker: Bins, length: list[int], rng: np.random.Generator) -> Bins:
     """Some of the giver's best-filled bins, the taker's others, and what that displaces: exchanged for pieces that fit worse, then best-fitted."""
-    n = max(1, int(len(giver.bins) * rng.uniform(0.1, 0.5)))
+    n = max(1, int(len(giver.bins) * rng.uniform(0.02, 0.1)))
     ranked = sorted(range(len(giver.bins)), key=giver.space.__getitem__)[: 2 * n]
     injected = [ranked[i] for i in rng.permutation(len(ranked))[:n]]
     inside = {item for b in injected for item in giver.bins[b]}
