@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.times import epoch_micros, local_day
 from pageloom.operators.common import contains_any, first_per_key, join_skewed, top_per_group
+from pageloom.session import materialize
 
 # --- fixed values -----------------------------------------------------------
 ARTICLE_CAP_SECONDS = 30 * 60
@@ -167,15 +168,29 @@ def contents_marks(items: DataFrame, progress: DataFrame) -> DataFrame:
 def _items_read(shelf: DataFrame, items: DataFrame, progress: DataFrame) -> DataFrame:
     """Positions on the items of the lists on each reader's shelf: ``user_id, source_id, category, ratio``.
 
-    Readers come first: what is on a shelf names the lists, these name the reader's
-    links, and only those are looked up among the reader's positions. So a link that
-    stands in very many lists meets nobody who has none of them, and the rows in between
-    are the items that shelves hold. A list that a third of all shelves hold is dealt over many parts.
+    Each reader is looked up from the smaller side: the shelf, with all items of its lists,
+    or the positions, with all lists that hold their links. Which is smaller is
+    counted beforehand from the lengths of lists and the places of links, so neither long lists
+    nor a link that stands in very many of them is repeated for readers whose other side is
+    small. Keys that many rows share are dealt over many parts.
     """
-    owned = shelf.select("user_id", "source_id", "category").distinct()
-    wanted = join_skewed(owned, items.select("source_id", "category", "link"), ["source_id", "category"])
-    seen = progress.select("user_id", F.col("url").alias("link"), "ratio")
-    return wanted.join(seen, ["user_id", "link"]).select("user_id", "source_id", "category", "ratio")
+    keys = ["source_id", "category"]
+    # All three are read several times below.
+    owned = materialize(shelf.select("user_id", *keys).distinct(), "shelf_lists")
+    listed = materialize(items.select(*keys, "link"), "list_items")
+    seen = materialize(progress.select("user_id", F.col("url").alias("link"), "ratio"), "positions")
+    lengths = listed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    places = listed.groupBy("link").agg(F.count("*").alias("_n"))
+    by_shelf = join_skewed(owned, lengths, keys).groupBy("user_id").agg(F.sum("_n").alias("_items"))
+    by_links = join_skewed(seen.select("user_id", "link"), places, ["link"]).groupBy("user_id").agg(F.sum("_n").alias("_places"))
+    # Readers who lack one side have nothing to find.
+    first = materialize(by_shelf.join(by_links, "user_id").select("user_id", (F.col("_places") < F.col("_items")).alias("_by_links")), "readers")
+    own = owned.join(first.filter(~F.col("_by_links")), "user_id", "left_semi")
+    from_shelf = join_skewed(own, listed, keys).join(seen, ["user_id", "link"])
+    put = join_skewed(seen, first.filter("_by_links").select("user_id"), ["user_id"])
+    from_links = join_skewed(put, listed, ["link"]).join(owned, ["user_id", *keys])
+    out = ["user_id", *keys, "ratio"]
+    return from_shelf.select(out).unionByName(from_links.select(out))
 
 
 def shelf_progress(shelf: DataFrame, sources: DataFrame, items: DataFrame, progress: DataFrame) -> DataFrame:
