@@ -2,7 +2,9 @@
 
 import random
 
-from pageloom.operators import reading
+from pyspark.sql import functions as F
+
+from pageloom.operators import marks, reading
 
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
 
@@ -20,6 +22,19 @@ def parts(spark, folder, n=6000):
     return str(folder)
 
 
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_ids_of_highlights_are_computed_once(spark):
+    shape = "user_id long, id string, url string, text string, note string, created_s long"
+    stored = spark.createDataFrame([(1, "hx", "u", "old", "n", 1)], shape)
+    batch = spark.createDataFrame([(1, "", "u", " new ", "", 2), (1, "", "u", "old", "", 3), (1, "", "u", "new", "", 4)], shape)
+    added, _ = marks.add_highlights(stored, batch, "created_s")
+    assert "aggregate(" not in plan(marks.update_notes(added, added.select("user_id", "id", F.lit("x").alias("new_note")))[0]).lower()
+    assert {(r["text"], r["created_s"]) for r in added.collect()} == {("old", 1), ("new", 2)}
+
+
 def test_readers_are_looked_up_from_their_smaller_side(spark, monkeypatch):
     # Long lists on the shelves of readers with few positions, and a link on very many lists for a reader of short lists.
     items = [("long", "c", f"l{i}") for i in range(500)] + [(f"s{i}", "c", "hot") for i in range(500)] + [("s1", "c", "own"), ("s1", "c", "own")]
