@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from pageloom.operators import marks, reading
+from pageloom.operators.nodes import shred_pages
+from pageloom.plans.tables import table
 
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
 
@@ -26,6 +28,20 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_json_bodies_are_dealt_over_the_cores(spark, tmp_path):
+    bodies = table(spark, parts(spark, tmp_path), "fx_json_bodies")
+    assert bodies.select("body_id").distinct().count() == bodies.count() == 6000
+    used = bodies.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 3
+
+
+def test_pages_of_a_small_file_are_shredded_in_many_parts(spark, tmp_path):
+    noise = random.Random(3)
+    rows = [(i, f"<p>{noise.random()}{noise.random()}</p>") for i in range(3000)]
+    pages = spark.read.parquet(written(spark, tmp_path / "pages", rows, "page_id long, html string"))
+    assert shred_pages(pages).rdd.getNumPartitions() > 3
+
+
 def test_ids_of_highlights_are_computed_once(spark):
     shape = "user_id long, id string, url string, text string, note string, created_s long"
     stored = spark.createDataFrame([(1, "hx", "u", "old", "n", 1)], shape)
