@@ -160,9 +160,9 @@ SELECT body_id, CASE WHEN v IS NULL OR json_array_length(v, '$.data.list') IS NU
   CASE WHEN body_id % 6 = 1 THEN CASE WHEN v IS NULL THEN 'no_match' ELSE 'values' END WHEN body_id % 6 IN (3, 4) AND v IS NOT NULL THEN 'values' ELSE 'no_match' END AS deep
 FROM (SELECT body_id, {VALID} AS v FROM fx_json_bodies) t""")
 def e12(spark, sf):
-    v = F.try_parse_json("body")
-    check = lambda p: jsonpath.lookup_verdict(jsonpath.json_path(v, p), F.lit(jsonpath.path_steps(p) is not None))
-    return _bodies(spark, sf).select(
+    rows = _bodies(spark, sf).select("body_id", F.try_parse_json("body").alias("v"))  # parsed once for all checks
+    check = lambda p: jsonpath.lookup_verdict(jsonpath.json_path(F.col("v"), p), F.lit(jsonpath.path_steps(p) is not None))
+    return rows.select(
         "body_id", check("$.data.list[1].title").alias("verdict"), check("$.data[?(").alias("broken"), check("$.data[?(@.time=='2024')].name").alias("filtered"),
         check("$..title").alias("deep"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pageloom.operators import marks, reading
 from pageloom.operators.nodes import shred_pages
+from pageloom.plans import QUERIES
 from pageloom.plans.tables import table
 
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
@@ -35,6 +36,16 @@ def test_json_bodies_are_dealt_over_the_cores(spark, tmp_path):
     assert used > 3
 
 
+def test_lookups_parse_a_body_once(spark, tmp_path):
+    out = QUERIES["e12_lookup_verdict"](spark, parts(spark, tmp_path, 60))
+    optimized = plan(out).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("parseJson(") == 1
+    got = {r["body_id"]: (r["verdict"], r["broken"], r["filtered"], r["deep"]) for r in out.collect()}
+    assert got[1] == ("empty_values", "bad_path", "no_match", "values")
+    assert got[2] == ("no_match", "bad_path", "values", "no_match")
+    assert got[5] == ("no_match", "bad_path", "no_match", "no_match")
+
+
 def test_pages_of_a_small_file_are_shredded_in_many_parts(spark, tmp_path):
     noise = random.Random(3)
     rows = [(i, f"<p>{noise.random()}{noise.random()}</p>") for i in range(3000)]
