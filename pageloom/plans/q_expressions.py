@@ -76,7 +76,7 @@ def e4_forms(spark, sf):
     forms = spark.createDataFrame(list(enumerate(FORMS)), "form int, path string").select("form", jsonpath.path_plan(F.col("path")).alias("steps"))
     plans = F.array(*[F.struct(F.lit(i).alias("form"), F.lit(p).alias("path")) for i, p in enumerate(FORMS)])
     rows = _bodies(spark, sf).select("body_id", F.try_parse_json("body").alias("v"), F.explode(plans).alias("f"))
-    rows = rows.select("body_id", "v", F.col("f.form").alias("form")).join(forms, "form")
+    rows = rows.select("body_id", "v", F.col("f.form").alias("form")).join(F.broadcast(forms), "form")  # the forms above, no more
     texts = F.transform(jsonpath.json_select(F.col("v"), F.col("steps")), jsonpath.json_text)
     return rows.filter("v is not null").select("body_id", "form", F.posexplode(texts).alias("ix", "text"))
 

@@ -46,6 +46,14 @@ def test_lookups_parse_a_body_once(spark, tmp_path):
     assert got[5] == ("no_match", "bad_path", "no_match", "no_match")
 
 
+def test_forms_of_paths_come_to_the_bodies(spark, tmp_path):
+    out = QUERIES["e4_json_forms"](spark, parts(spark, tmp_path, 60))
+    physical = plan(out).split("== Physical Plan ==")[1]
+    assert "SortMergeJoin" not in physical and "BroadcastHashJoin" in physical
+    rows = {(r["form"], r["ix"]): r["text"] for r in out.filter("body_id = 7").collect()}
+    assert rows[1, 0] == "8" and rows[9, 0] == "8" and rows[9, 1] == "7"
+
+
 def test_pages_of_a_small_file_are_shredded_in_many_parts(spark, tmp_path):
     noise = random.Random(3)
     rows = [(i, f"<p>{noise.random()}{noise.random()}</p>") for i in range(3000)]
