@@ -10,8 +10,8 @@ from pageloom.functions.hashing import source_id
 from pageloom.operators import audit, library
 from pageloom.operators.nodes import shred_pages
 from pageloom.plans.registry import query
-from pageloom.plans.tables import duck_sql, table
-from pageloom.session import materialize, shared_dir
+from pageloom.plans.tables import DENSE_PART_BYTES, duck_sql, table
+from pageloom.session import materialize, shared_dir, spread
 from pageloom.sources import collections as coll
 from pageloom.sources import index as idx
 from pageloom.sources import tables as tabs
@@ -40,6 +40,7 @@ def _record_json(rows):
 def _files(spark, sf):
     """Collection files of at most ten records each, in four shapes."""
     rows = _record_json(table(spark, sf, "fx_source_records")).withColumn("file_no", F.floor(F.col("rec_no") / 10))
+    rows = spread(rows, "file_no", DENSE_PART_BYTES)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec_no", "text"))), lambda x: x["text"]), ",")
     files = rows.groupBy("file_no").agg(body.alias("list"))
     k = F.col("file_no") % 5
@@ -71,9 +72,9 @@ def a1(spark, sf):
 def a1_files(spark, sf):
     """The same files written out one by one and read back as a folder of collections."""
     folder = os.path.join(shared_dir(spark), "tables", f"collections-{spark.sparkContext.applicationId}")
-    bodies = _files(spark, sf)
-    bodies.write.mode("overwrite").partitionBy("file_no").text(folder)
-    good, _ = coll.read_collection(spark, folder + "/file_no=*")
+    # A file for each row, all in one folder: a folder for each file would be listed by a task of its own.
+    _files(spark, sf).select("body").write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
+    good, _ = coll.read_collection(spark, folder)
     return good.select(F.try_variant_get("record", F.lit("$.sourceUrl"), "string").alias("url"))
 
 

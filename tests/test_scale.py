@@ -1,5 +1,6 @@
 """Steps that grow with the tables: dealt over the cores, computed once, from the smaller side."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pageloom.plans import QUERIES
 from pageloom.plans.tables import table
 
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"
 
 
 def written(spark, path, rows, schema):
@@ -61,6 +63,21 @@ def test_pages_of_a_small_file_are_shredded_in_many_parts(spark, tmp_path):
     assert shred_pages(pages).rdd.getNumPartitions() > 3
 
 
+def test_collections_lie_in_one_folder(spark, tmp_path, monkeypatch):
+    from pageloom.plans import q_library
+
+    rows = [(i, f"C{i}", i % 25, "BUILDING") for i in range(200)]
+    written(spark, tmp_path / "customer.parquet", rows, CUSTOMER)
+    read = []
+    whole = q_library.coll.read_collection
+    monkeypatch.setattr(q_library.coll, "read_collection", lambda s, path: (read.append(path), whole(s, path))[1])
+    out = QUERIES["a1_read_collection"](spark, str(tmp_path))
+    files = [n for n in os.listdir(read[0].removeprefix("file:")) if n.startswith("part-")]
+    assert len(files) == 20  # ten records each
+    good = [i for i in range(200) if i // 10 % 5 < 3 and i % 19 and i % 17 and i % 13]
+    assert sorted(r["url"] for r in out.collect()) == sorted(f"https://site{i}.example/" for i in good)
+
+
 def test_ids_of_highlights_are_computed_once(spark):
     shape = "user_id long, id string, url string, text string, note string, created_s long"
     stored = spark.createDataFrame([(1, "hx", "u", "old", "n", 1)], shape)
