@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.arrays import mix, slices, text_buffer
 from pageloom.llm.tables import bare, packed, unpacked
+from pageloom.llm.tokens import let_go
 
 GRAM = 5  # bytes
 SAMPLE = 4000  # documents of each language
@@ -89,6 +90,7 @@ def _positions(gram: np.ndarray) -> list[np.ndarray]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each n-gram is in the texts of each language of a batch."""
+    let_go()
     for batch in batches:
         for part in slices(batch, "text"):
             languages = part.column("lang").dictionary_encode()
@@ -134,6 +136,7 @@ def _has_letters(texts: pa.Array) -> np.ndarray:
 
 
 def _judged(batches: Iterator[pa.RecordBatch], text: str, shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    let_go()
     model: Model = unpacked(shared)
     for batch in batches:
         for part in slices(batch, text):

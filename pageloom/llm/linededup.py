@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.arrays import grams, lines, slices, text_buffer
 from pageloom.llm.tables import bare
-from pageloom.session import Scratch, materialize
+from pageloom.llm.tokens import let_go
+from pageloom.session import Scratch, materialize, small_batches
 
 SPAN = 2  # lines of a chunk: what the rolling hash sees
 OF, BOUNDARIES = 8, 5  # so many lines of so many end a chunk
@@ -45,6 +46,7 @@ def _is_chunk(value):
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each text where its lines end (behind their line feeds), and the rolling hash of each line with the next; null for blank ones."""
+    let_go()
     for batch in batches:
         for part in slices(batch, "text"):
             buffer, borders = text_buffer(part.column("text"))
@@ -96,7 +98,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", report
     kind = docs.schema[key].dataType.simpleString()
     read = bare(docs, key, text).toDF("key", "text").filter("text is not null").withColumn("mark", F.xxhash64("text"))
     shape = f"key {kind}, mark long, n_lines long, chunks array<struct<at: int, start: long, length: long, hash: long, lines: int>>"
-    with Scratch(docs.sparkSession) as scratch:
+    with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession):
         found = scratch.keep(read.mapInArrow(_lines, f"key {kind}, mark long, ends array<int>, hashes array<long>"), "lines")
         chunks = found.select("key", "mark", F.posexplode("hashes").alias("at", "hash")).filter(F.col("hash").isNotNull() & _is_chunk(F.col("hash")))
         place = F.struct("key", "mark", "at")

@@ -33,6 +33,11 @@ def _worker() -> types.ModuleType:
     return sys.modules.setdefault("_pageloom_llm_worker", types.ModuleType("_pageloom_llm_worker"))
 
 
+def let_go() -> None:
+    """Drop the encoders this worker keeps: some 200 MB beside an operator that encodes nothing."""
+    _worker().__dict__.pop("encoders", None)
+
+
 class Encoder:
     """Ids of texts by one tokenizer file."""
 

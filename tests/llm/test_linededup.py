@@ -3,8 +3,10 @@ from collections import Counter
 
 import pyarrow as pa
 
+from pageloom.llm import linededup, tokens
 from pageloom.llm.linededup import BOUNDARIES, OF, _lines, dedup_lines
-from tests.llm.helpers import empty, frame, prose
+from pageloom.session import BATCH_BYTES
+from tests.llm.helpers import TOKENIZER, empty, frame, prose
 
 
 def test_repeated_blocks_go_and_all_else_stays(spark):
@@ -118,5 +120,32 @@ def test_passages_in_other_surroundings_are_found(spark):
         assert all(removed[2 * i + 1] in (*range(2, n + 1), 0) for i in range(300))
 
 
+def test_long_texts_go_to_python_in_small_batches(spark, tmp_path, monkeypatch):
+    """Batches of a number of rows would hold all of these texts at once."""
+    noted = str(tmp_path / "batches")
+
+    def seen(batches):
+        for batch in batches:
+            with open(noted, "a") as f:
+                f.write(f"{batch.nbytes}\n")
+            yield from _lines(iter([batch]))
+
+    monkeypatch.setattr(linededup, "_lines", seen)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = [(i, "\n".join(f"{i} {j} " + "x" * 500 for j in range(16))) for i in range(3000)]
+    assert dedup_lines(frame(spark, rows, 1), report=False).count() == len(rows)
+    with open(noted) as f:
+        sizes = [int(x) for x in f]
+    assert sum(sizes) > 5 * BATCH_BYTES and max(sizes) < 1.5 * BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_a_worker_that_encoded_before_lets_go_of_the_encoder():
+    tokens.Encoder.of(TOKENIZER)
+    assert tokens._worker().encoders
+    assert hashes_of(["one\ntwo"])
+    assert not hasattr(tokens._worker(), "encoders")
+
+
 def test_empty(spark):
     assert dedup_lines(empty(spark)).collect() == []
